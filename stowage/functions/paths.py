@@ -20,8 +20,10 @@ OUTSIDE_BASE = "OutsideBase"
 
 _ILLEGAL = r'[/\\:*?"<>|]'
 _CONTROL = r"[\x{00}-\x{1F}\x{7F}-\x{9F}]"
-# A name free of all this needs neither decoding nor the rule-by-rule check.
-_SUSPECT = r'(?U)[;:*?"<>|%\x{00}-\x{1F}\x{7F}-\x{9F}]|(^|/)[\s.]*(/|$)'
+# A path free of all this needs neither decoding nor the rule-by-rule check: no special character,
+# and no segment that is empty or starts with a dot or a space of any kind.
+_SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SUSPECT = (r'[;:*?"<>|%\x{00}-\x{1F}\x{7F}-\x{9F}]|^[./' + _SPACES + r"]|/[./" + _SPACES + r"]|/$")
 # One escape of ASCII, one well-formed UTF-8 escape sequence, or text that is not an escape.
 _ESCAPES = (
     "%[0-7][0-9A-Fa-f]"
@@ -40,12 +42,23 @@ def path_key(path: Column) -> Column:
 
 def file_name(path: Column) -> Column:
     """The part after the last slash of either kind."""
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(_slashed(path), "/", -1)
 
 
 def extension(name: Column) -> Column:
     """From the last dot, lower-cased; empty without one or when the dot ends the name."""
-    return F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
+    last = F.substring_index(name, ".", -1)
+    return F.when(name.contains(".") & (last != ""), F.lower(F.concat(F.lit("."), last))
+                  ).otherwise("")
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluates ``value`` once for all its uses in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _slashed(text: Column) -> Column:
+    return F.replace(text, F.lit("\\"), F.lit("/"))
 
 
 def percent_decode(text: Column) -> Column:
@@ -70,12 +83,12 @@ def encode_segment(segment: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, "\\", "/"), "/"), lambda s: s != "")
+    return F.filter(F.split(_slashed(text), "/"), lambda s: s != "")
 
 
 def parse_remote_path(text: Column) -> Column:
     """STRUCT<segments, is_collection, error>; the error is set when a segment is ``..``."""
-    normal = F.translate(text, "\\", "/")
+    normal = _slashed(text)
     decoded = F.transform(_split(text), percent_decode)
     kept = F.filter(decoded, lambda s: (s != "") & (s != "."))
     error = F.when(
@@ -189,20 +202,25 @@ def validate_segment(segment: Column) -> Column:
 
 def validate_relative_path(text: Column) -> Column:
     """The verdict on the first bad segment."""
-    segments = _split(text)
-    bad = F.filter(F.transform(segments, validate_segment), lambda v: v["reason"] != NONE)
-    return (F.when(F.size(segments) == 0, _verdict(EMPTY, F.lit("The path is empty.")))
-            .when(F.size(bad) > 0, F.try_element_at(bad, F.lit(1)))
-            .otherwise(_verdict(NONE, None)))
+
+    def judge(verdicts: Column) -> Column:
+        bad = F.filter(verdicts, lambda v: v["reason"] != NONE)
+        return F.when(F.size(verdicts) == 0, _verdict(EMPTY, F.lit("The path is empty."))
+                      ).otherwise(F.coalesce(F.try_element_at(bad, F.lit(1)), _verdict(NONE, None)))
+
+    return _let(F.transform(_split(text), validate_segment), judge)
 
 
 def relative_path(path: Column, base: str) -> Column:
     """The path below ``base`` in any case, with forward slashes; NULL when it lies outside."""
     root = base.replace("\\", "/").rstrip("/")
-    normal = F.translate(path, "\\", "/")
+    normal = _slashed(path)
+    # Only the prefix is folded.
+    inside = F.lower(F.substr(normal, F.lit(1), F.lit(len(root) + 1))) == root.lower() + "/"
     below = F.substr(normal, F.lit(len(root) + 2))
-    return (F.when(F.lower(F.regexp_replace(normal, "/+$", "")) == root.lower(), F.lit("."))
-            .when(F.lower(normal).startswith(root.lower() + "/") & ~below.startswith(".."), below))
+    itself = F.lower(F.rtrim(normal, F.lit("/"))) == root.lower()
+    return (F.when(inside & (below != "") & ~below.startswith(".."), below)
+            .when(itself, F.lit(".")))
 
 
 def root_segments(dest_root: str) -> list[str]:
@@ -218,52 +236,71 @@ def encoded_root(dest_root: str) -> str:
     return "/" + "".join(quote(p, safe="-._~@") + "/" for p in parts)
 
 
-def with_destination(df: DataFrame, base: str, dest_root: str, path: str = "path") -> DataFrame:
+def with_destination(df: DataFrame, base: str, dest_root: str, path: str = "path",
+                     resolved_only: bool = False) -> DataFrame:
     """Adds destination, folder, name, reason and message for every local path.
 
     ``destination`` and ``folder`` are encoded, ``name`` is decoded. Where the file has no safe
-    destination those three are NULL and reason and message say why.
+    destination those three are NULL and reason and message say why; ``resolved_only`` leaves
+    such files out. It does so with a generator, because a filter on the result would be pushed
+    below it and work everything out a second time.
     """
     root = root_segments(dest_root)
     prefix = encoded_root(dest_root)
     rel = F.col("_rel")
     suspect = rel.rlike(_SUSPECT) | (F.length(rel) > 120)
 
-    verdict = validate_relative_path(rel)
-    parsed = parse_remote_path(rel)
-    resolved = F.struct(
-        F.concat(F.array(*[F.lit(s) for s in root]).cast("array<string>"),
-                 parsed["segments"]).alias("segments"),
-        F.lit(False).alias("is_collection"))
-    checked = F.struct(
-        F.when(verdict["reason"] != NONE, verdict["reason"])
-        .when(parsed["error"].isNotNull(), F.lit(TRAVERSAL)).otherwise(F.lit(NONE)).alias("reason"),
-        F.coalesce(verdict["message"], parsed["error"]).alias("message"),
-        encode_path(resolved).alias("destination"),
-        encode_path(path_parent(resolved)).alias("folder"),
-        path_name(resolved).alias("name"))
+    nothing = F.lit(None).cast("string")
+
+    def refused(reason: Column, message: Column) -> Column:
+        return F.struct(reason.alias("reason"), message.alias("message"),
+                        nothing.alias("destination"), nothing.alias("folder"),
+                        nothing.alias("name"))
+
+    def placed(parsed: Column) -> Column:
+        target = F.struct(
+            F.concat(F.array(*[F.lit(s) for s in root]).cast("array<string>"),
+                     parsed["segments"]).alias("segments"),
+            F.lit(False).alias("is_collection"))
+        return F.when(parsed["error"].isNotNull(), refused(F.lit(TRAVERSAL), parsed["error"])
+                      ).otherwise(F.struct(
+                          F.lit(NONE).alias("reason"), nothing.alias("message"),
+                          encode_path(target).alias("destination"),
+                          encode_path(path_parent(target)).alias("folder"),
+                          path_name(target).alias("name")))
+
+    checked = _let(validate_relative_path(rel), lambda v: F.when(
+        v["reason"] != NONE, refused(v["reason"], v["message"])
+    ).otherwise(_let(parse_remote_path(rel), placed)))
 
     simple = F.concat(F.lit(prefix), F.replace(encode_segment(rel), F.lit("%2F"), F.lit("/")))
-    hard = F.col("_hard")
-    usable = hard.isNotNull() & (hard["reason"] == NONE)
-    is_simple = rel.isNotNull() & hard.isNull()
-
-    def pick(name: str, easy: Column) -> Column:
-        return F.when(is_simple, easy).when(usable, hard[name]).alias(name)
+    direct = F.struct(
+        F.lit(NONE).alias("reason"), nothing.alias("message"),
+        F.col("_simple").alias("destination"),
+        F.concat(F.lit(prefix), _parent_text(F.col("_simple"), len(prefix))).alias("folder"),
+        file_name(rel).alias("name"))
+    outside = refused(F.lit(OUTSIDE_BASE), F.concat(
+        F.lit("'"), F.col(path), F.lit(f"' is not inside '{base}'.")))
+    place = (F.when(F.col("_simple").isNotNull(), direct).when(rel.isNull(), outside)
+             .otherwise(checked))
 
     kept = [c for c in df.columns if c not in ("destination", "folder", "name", "reason", "message")]
-    staged = (
-        df.withColumn("_rel", relative_path(F.col(path), base))
-        .withColumn("_hard", F.when(suspect, checked)))
-    return staged.select(
-        *kept,
-        pick("destination", simple),
-        pick("folder", F.regexp_extract(simple, r"^(.*/)", 1)),
-        pick("name", file_name(rel)),
-        F.when(rel.isNull(), F.lit(OUTSIDE_BASE)).when(is_simple, F.lit(NONE))
-        .otherwise(hard["reason"]).alias("reason"),
-        F.when(rel.isNull(), F.concat(F.lit("'"), F.col(path), F.lit(f"' is not inside '{base}'.")))
-        .otherwise(hard["message"]).alias("message"))
+    fields = ("destination", "folder", "name", "reason", "message")
+    staged = (df.withColumn("_rel", relative_path(F.col(path), base))
+              .withColumn("_simple", F.when(~suspect, simple)))
+    if resolved_only:
+        one = F.filter(F.array(place), lambda p: p["reason"] == NONE)
+        staged = staged.select(*kept, F.explode(one).alias("_place"))
+    else:
+        staged = staged.withColumn("_place", place)
+    return staged.select(*kept, *[F.col(f"_place.{f}").alias(f) for f in fields])
+
+
+def _parent_text(encoded: Column, skip: int) -> Column:
+    """The folders between the root and the name, each closed by a slash."""
+    below = F.substr(encoded, F.lit(skip + 1))
+    last = F.length(F.substring_index(below, "/", -1))
+    return F.substr(below, F.lit(1), F.length(below) - last)
 
 
 def resolve_destination(path: Column, base: str, dest_root: str) -> Column:

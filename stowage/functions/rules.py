@@ -18,7 +18,7 @@ SIDECAR_EXTENSION = ".md5"
 def candidate_filter(path: Column, extensions: list[str] | tuple[str, ...] = ()) -> Column:
     """A file worth transferring: not a working file, and of a wanted extension if any is given."""
     name = file_name(path)
-    accepted = (name != "") & ~name.rlike(r"^[.~]")
+    accepted = (name != "") & ~name.startswith(".") & ~name.startswith("~")
     wanted = sorted({e.lower() for e in extensions})
     return accepted & extension(name).isin(wanted) if wanted else accepted
 

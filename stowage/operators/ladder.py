@@ -61,8 +61,8 @@ def conflict_policy(policy: Column) -> dict[str, Column]:
 
 def located(inventory: DataFrame, base: str, dest_root: str) -> DataFrame:
     """Files that have a destination; the rest belong to ``destination_plan``'s rejected side."""
-    return (with_destination(inventory, base, dest_root)
-            .where(F.col("destination").isNotNull()).drop("reason", "message"))
+    return (with_destination(inventory, base, dest_root, resolved_only=True)
+            .drop("reason", "message"))
 
 
 def with_ledger(files: DataFrame, ledger: DataFrame) -> DataFrame:
