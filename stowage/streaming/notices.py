@@ -17,12 +17,11 @@ _OUT = "path string, kind string, ts_ms bigint, seq bigint"
 class PassFirst(StatefulProcessor):
     """Holds when the last notice of a path passed; forgets paths that went quiet."""
 
-    def __init__(self, window_ms: int, keep_ms: int):
+    def __init__(self, window_ms: int, keep_ms: int | None):
         self.window_ms = window_ms
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # State left behind by paths that are never heard of again expires by itself.
         self.last = handle.getValueState("last_passed", "ts bigint", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -44,13 +43,15 @@ def stream_notices(notices: DataFrame, window_ms: int = SUPPRESSION_WINDOW_MS,
                    keep_ms: int | None = None) -> DataFrame:
     """Lets a notice pass unless its path's last passed notice is within the window.
 
-    The state of a path lives for ``keep_ms`` of processing time, at least four windows. One hour
-    by default, so that a replay of old notices is judged by their own times.
+    ``keep_ms`` is how long, by the clock, the state of a path outlives its last notice (at least
+    four windows); set it on a stream that stays open, so that paths which are never heard of
+    again cost nothing. A stream with such a clock has always another batch to run, so a replay
+    that is to end by itself leaves it out.
     """
-    keep = max(4 * window_ms, 3_600_000 if keep_ms is None else keep_ms)
+    keep = None if keep_ms is None else max(4 * window_ms, keep_ms)
     return (notices.select("path", "kind", "ts_ms", "seq",
                            path_key(F.col("path")).alias("path_key"))
             .groupBy("path_key")
             .transformWithStateInPandas(
                 PassFirst(window_ms, keep), outputStructType=_OUT, outputMode="Append",
-                timeMode="ProcessingTime"))
+                timeMode="None" if keep is None else "ProcessingTime"))

@@ -99,7 +99,7 @@ SELECT local_path, {Q.name_of('local_path')} AS file_name,
   CASE WHEN state IN (1, 2, 3) THEN 0 WHEN state IN (9, 6, 8) THEN 1 WHEN state IN (4, 5) THEN 2 ELSE 3 END AS band,
   CASE WHEN trim(phase) = '' THEN {Q.words('state', GRID_STATE)} ELSE phase END AS status,
   coalesce(message, '') AS detail, state = 2 AND total > 0 AS has_progress,
-  round({_FRACTION} * 100, 6) AS percent,
+  round(coalesce({_FRACTION}, CASE WHEN state IN (3, 4, 5) THEN 1 ELSE 0 END) * 100, 6) AS percent,
   CASE WHEN state = 2 AND rate > 0 THEN {Q.format_rate('rate')} ELSE '' END AS speed,
   coalesce(CASE WHEN state = 2 THEN {Q.format_eta(_ETA, True)} END, '') AS eta,
   CASE WHEN state IN (3, 4, 5) THEN CASE verification WHEN 2 THEN 'Verified (server MD5)'
@@ -161,10 +161,10 @@ def _(spark, d):
     return P.stalled(progress(spark, d), 1_706_659_200_000)
 
 
-@query("thin_progress", Q.kept_first("fx_progress", "local_path", "ts_ms", QUIET_MS, "o.bytes >= o.total") + f"""
+@query("thin_progress", Q.kept_first("fx_progress", "local_path", "ts_ms", 259_200_000, "o.bytes >= o.total") + f"""
 SELECT {_FIELDS} FROM fx_progress WHERE seq IN (SELECT seq FROM walk WHERE passes)""")
 def _(spark, d):
-    return R.thin_progress(progress(spark, d), QUIET_MS)
+    return R.thin_progress(progress(spark, d), 259_200_000)
 
 
 @query("stability_islands", cte("fx_observations") + """,
