@@ -7,72 +7,65 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stowage.functions.paths import encode_segment
 from stowage.functions.rules import parse_server_time, split_methods
 
-# Field names of a listing entry. Numbers may arrive as text, so all are read as text.
-_FIELDS = ("text", "collection", "leaf", "contentlength", "size", "contenttype", "etag",
-           "lastmodified", "creationdate", "createdby", "options", "canread", "canupload",
-           "canedit", "candelete", "canrename")
+# What is said of a document that is no listing.
 NOT_JSON = ("The server did not return a JSON directory listing. This usually means the request "
             "was not authenticated.")
 NO_FILES = "The directory listing contained no 'files' array."
 
 
-def _lowered(value: Column) -> Column:
-    """Folds the case of the field names, because servers differ in it and Spark does not.
-
-    A name counts only after ``{`` or ``,`` and before ``:``, outside of any quoted text.
-    """
-    names = "|".join(_FIELDS + ("files",))
-    found = F.regexp_extract_all(value, F.lit(rf'(?i)"({names})"\s*:'), F.lit(1))
-    odd = F.filter(F.array_distinct(found), lambda n: n != F.lower(n))
-    return F.aggregate(odd, value, lambda text, n: F.regexp_replace(
-        text, F.concat(F.lit(r'([{,]\s*)"'), n, F.lit(r'"(\s*:)')),
-        F.concat(F.lit('$1"'), F.lower(n), F.lit('"$2'))))
-
-
 def _without_trailing_commas(value: Column) -> Column:
     """Drops commas before a closing bracket, leaving quoted text alone."""
     return F.when(value.rlike(r",\s*[\]}]"), F.regexp_replace(
         value, r'("(?:[^"\\]++|\\.)*+")|,(?=\s*[\]}])', "$1")).otherwise(value)
 
 
+def _folded(entry: Column) -> Column:
+    """Field names in lower case, because servers differ in it; the later of two wins."""
+    return F.transform_keys(entry, lambda k, _: F.lower(k))
+
+
 def parse_listings(documents: DataFrame) -> DataFrame:
     """One row per entry of (folder, value); a document that is no listing gives one row with
-    ``problem`` set. ``folder`` is the encoded path of the listed folder."""
-    entry = "struct<" + ",".join(f"{f}:string" for f in _FIELDS) + ">"
-    schema = f"struct<files:array<{entry}>,broken:string>"
-    parsed = documents.select("folder", F.from_json(
-        _lowered(_without_trailing_commas(F.col("value"))), schema,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("doc"))
-    problem = (F.when(F.col("doc").isNull() | F.col("doc.broken").isNotNull(), NOT_JSON)
-               .when(F.col("doc.files").isNull(), NO_FILES))
-    rows = parsed.select("folder", problem.alias("problem"), F.explode_outer(
-        F.when(problem.isNull(), F.col("doc.files"))).alias("e"))
-    rows = rows.where(F.col("problem").isNotNull() | (F.coalesce("e.text", F.lit("")) != ""))
+    ``problem`` set. ``folder`` is the encoded path of the listed folder.
+
+    Entries are read as maps of text: field names may differ in case and numbers may be quoted.
+    """
+    top = _folded(F.from_json(_without_trailing_commas(F.col("value")), "map<string,string>"))
+    parsed = (documents.select("folder", top.alias("top"))
+              .select("folder", "top", F.col("top")["files"].alias("text"))
+              .select("folder", "top", "text",
+                      F.from_json("text", "array<map<string,string>>").alias("files")))
+    problem = (F.when(F.col("top").isNull(), NOT_JSON)
+               .when(F.col("text").isNull(), NO_FILES)
+               .when(F.col("files").isNull(), NOT_JSON))
+    named = F.filter(F.transform("files", _folded), lambda e: F.coalesce(e["text"], F.lit("")) != "")
+    rows = (parsed.select("folder", problem.alias("problem"), F.explode_outer(named).alias("e"))
+            .where(F.col("problem").isNotNull() | F.col("e").isNotNull()))
 
     def flag(name: str) -> Column:
-        return F.coalesce(F.col(f"e.{name}").try_cast("boolean"), F.lit(False))
+        return F.coalesce(F.col("e")[name].try_cast("boolean"), F.lit(False))
 
     is_collection = F.coalesce(
-        F.col("e.collection").try_cast("boolean"),
-        ~F.coalesce(F.col("e.leaf").try_cast("boolean"), F.lit(True)))
-    name = F.col("e.text")
+        F.col("e")["collection"].try_cast("boolean"),
+        ~F.coalesce(F.col("e")["leaf"].try_cast("boolean"), F.lit(True)))
+    name = F.col("e")["text"]
     return rows.select(
         "folder", "problem", name.alias("name"),
         F.concat("folder", encode_segment(name),
                  F.when(is_collection, "/").otherwise("")).alias("path"),
         F.when(name.isNotNull(), is_collection).alias("is_collection"),
         F.when(name.isNotNull(), F.coalesce(
-            F.col("e.contentlength").try_cast("bigint"), F.col("e.size").try_cast("bigint"),
+            F.col("e")["contentlength"].try_cast("bigint"), F.col("e")["size"].try_cast("bigint"),
             F.lit(0))).alias("length"),
-        F.coalesce(parse_server_time(F.col("e.lastmodified")),
-                   parse_server_time(F.col("e.creationdate"))).alias("last_modified"),
-        F.col("e.etag").alias("etag"), F.col("e.contenttype").alias("content_type"),
-        F.col("e.createdby").alias("created_by"),
+        F.coalesce(parse_server_time(F.col("e")["lastmodified"]),
+                   parse_server_time(F.col("e")["creationdate"])).alias("last_modified"),
+        F.col("e")["etag"].alias("etag"), F.col("e")["contenttype"].alias("content_type"),
+        F.col("e")["createdby"].alias("created_by"),
         F.struct(
             flag("canread").alias("can_read"), flag("canupload").alias("can_upload"),
             flag("canedit").alias("can_edit"), flag("candelete").alias("can_delete"),
             flag("canrename").alias("can_rename"),
-            split_methods(F.col("e.options")).alias("allowed_methods")).alias("permissions"))
+            split_methods(F.col("e")["options"]).alias("allowed_methods")).alias("permissions"))
 
 
 def listing_entries(parsed: DataFrame) -> DataFrame:
