@@ -80,7 +80,9 @@ def read_listing_json(spark: SparkSession, path: str, folder: Column | None = No
     """Listing documents, one file each. ``folder`` derives the listed folder from ``file_path``;
     the default takes the file name without its suffix, as an encoded path."""
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    # The reader reports file names as URIs.
+    location = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     default = F.concat(F.lit("/"), F.regexp_extract("file_path", r"([^/]*?)(\.json)?$", 1), F.lit("/"))
-    documents = (text.select(F.col("_metadata.file_path").alias("file_path"), "value")
+    documents = (text.select(location.alias("file_path"), "value")
                  .withColumn("folder", default if folder is None else folder))
     return parse_listings(documents.select("folder", "value"))

@@ -62,8 +62,9 @@ def parse_md5_single(documents: DataFrame, strict: bool = True) -> DataFrame:
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    # Manifest folders are named by the file that holds them.
-    return text.select(F.col("_metadata.file_path").alias("folder"), "value")
+    # A manifest stands for the folder it is named after; the reader reports names as URIs.
+    location = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return text.select(location.alias("folder"), "value")
 
 
 def read_md5_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
