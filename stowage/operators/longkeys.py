@@ -86,22 +86,25 @@ NOT_FORCED, FORCE_START, FORCE_CLEAR = 0, 1, 2
 
 
 def run_cycles(df: DataFrame, key: str, time_ms: str, seq: str, wait_ms: int, fires: Column,
-               forced: Column, restart: bool, width_ms: int = HOUR_MS) -> DataFrame:
+               forced: Column, restart: bool, width_ms: int = HOUR_MS,
+               chunk: Column | None = None) -> DataFrame:
     """Replays a timer per key whose start depends on what it did before.
 
     A row starts the timer when none runs. A later row that may fire does so once ``wait_ms`` has
     passed; the timer then restarts at that row, or stops. A forced row starts or clears the timer
     whatever its state. Adds ``code`` and ``since``, the start of the timer as the row found it.
+    ``chunk`` names a column that already holds ``time_chunk(time_ms, width_ms)``; rows that are
+    partitioned by it are not shuffled again.
 
     Such a chain has no window form. Each chunk is folded on its own for every start it could be
     entered with (only rows within ``wait_ms`` of the chunk's begin make a difference); composing
     those small maps per key gives each chunk's true entry, and the rows are then folded once.
     """
     width_ms = max(width_ms, wait_ms)
-    payload = [c for c in df.columns if c != key]
+    payload = [c for c in df.columns if c not in (key, "chunk")]
     none = F.lit(None).cast("bigint")
     rows = (
-        df.withColumn("_chunk", time_chunk(time_ms, width_ms))
+        df.withColumn("_chunk", time_chunk(time_ms, width_ms) if chunk is None else chunk)
         .groupBy(key, "_chunk")
         .agg(F.array_sort(F.collect_list(F.struct(
             F.col(time_ms).cast("bigint").alias("t"), F.col(seq).alias("s"),

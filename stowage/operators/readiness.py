@@ -40,12 +40,13 @@ def readiness(observations: DataFrame, quiet_ms: int = QUIET_PERIOD_MS,
               width_ms: int = HOUR_MS) -> DataFrame:
     """The verdict of every look, exactly as a tracker that sees them one by one would give it."""
     width_ms = max(width_ms, quiet_ms)
-    seen = _sighted(observations, width_ms).drop("run", "run_start", "position", "chunk")
+    seen = _sighted(observations, width_ms).drop("run", "run_start", "position")
     changed = F.col("previous").isNotNull() & (F.col("previous") != F.col("length"))
     forced = (F.when(F.col("probe").isin(*_GONE), FORCE_CLEAR)
               .when(changed, FORCE_START).otherwise(NOT_FORCED))
     cycled = run_cycles(seen, "path_key", "observed_ms", "seq", quiet_ms,
-                        F.col("probe") != R.LOCKED, forced, restart=False, width_ms=width_ms)
+                        F.col("probe") != R.LOCKED, forced, restart=False, width_ms=width_ms,
+                        chunk=F.col("chunk"))
     code, since = F.col("code"), F.col("since")
     reason = (F.when(code == CLEAR, F.col("probe"))
               .when((code == START) & since.isNull(), R.SETTLING)

@@ -12,7 +12,8 @@ _LEDGER_COLUMNS = ("remote_path", "size", "mtime_utc", "state", "verify_method",
 
 
 def keyed(df: DataFrame, path: str) -> DataFrame:
-    return df.withColumn("path_key", path_key(F.col(path)))
+    """Adds the join key, unless the table already stores it (as a bucketed ledger does)."""
+    return df if "path_key" in df.columns else df.withColumn("path_key", path_key(F.col(path)))
 
 
 def candidates(inventory: DataFrame, extensions: list[str] | tuple[str, ...] = ()) -> DataFrame:

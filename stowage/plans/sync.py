@@ -164,15 +164,16 @@ def one_pass_sync(spark: SparkSession, store: LedgerStore, options: SyncOptions,
     done = (final.withColumn("started", F.lit(1))
             .unionByName(settled.withColumn("started", F.lit(0))))
 
-    rows = _ledger_rows(done, ledger, now_ms)
+    updates = stage(_ledger_rows(done, ledger, now_ms), "rows")
     # A file without a destination is recorded too, so that it does not fail unseen.
     rejected = destination_plan(offered, o.root, o.dest_root).where(F.col("destination").isNull())
     unknown = ledger_fail_unknown(ledger, rejected.select(
         F.col("path").alias("local_path"), "length", "mtime_ms",
         F.col("message").alias("last_error"), F.lit(0).cast("bigint").alias("first_seen_seq")))
-    highest = F.coalesce(rows.agg(F.max("first_seen_seq")).scalar(), F.lit(0))
-    unknown = unknown.withColumn("first_seen_seq", highest + 1 + F.monotonically_increasing_id())
-    updates = stage(rows, "rows")
+    numbers = ledger.select("first_seen_seq").unionByName(updates.select("first_seen_seq"))
+    highest = F.coalesce(numbers.agg(F.max("first_seen_seq")).scalar(), F.lit(0))
+    unknown = stage(unknown.withColumn(
+        "first_seen_seq", highest + 1 + F.monotonically_increasing_id()), "unknown")
     store.commit(ledger_upsert(ledger, updates.unionByName(unknown)))
 
     sidecars = None

@@ -103,6 +103,15 @@ def apply_changes(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in _COLUMNS])
 
 
+def save_bucketed(ledger: DataFrame, table: str, buckets: int) -> None:
+    """Saves the ledger as a table bucketed and sorted by its join key.
+
+    A sweep against it shuffles the inventory only: the ledger side is read in place.
+    """
+    (keyed(ledger, "local_path").write.mode("overwrite").bucketBy(buckets, "path_key")
+     .sortBy("path_key").saveAsTable(table))
+
+
 def merge_into_table(updates: DataFrame, table: str) -> None:
     """The upsert as a MERGE, for tables whose catalog supports it."""
     payload = [c for c in _COLUMNS if c not in ("local_path", "first_seen_seq")]

@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from stowage.schema import OUTCOMES
-from stowage.sources.hashing import hash_stream, open_location
+from stowage.sources.hashing import dealt_out, hash_stream, open_location
 
 _ARROW = pa.schema([("path", pa.string()), ("destination", pa.string()), ("bytes", pa.int64()),
                     ("md5", pa.string()), ("sha256", pa.string()), ("elapsed_ms", pa.int64()),
@@ -50,8 +50,6 @@ def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
     The result must be written once and read from there: evaluating it again copies again.
     """
     listed = worklist.select("path", "target", F.col("mtime_ms").cast("bigint").alias("mtime_ms"))
-    if parallelism:
-        listed = listed.repartition(parallelism)
     root = dest_root.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,4 +67,4 @@ def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
                     path=row["path"], destination=target, bytes=count, md5=md5, sha256=sha,
                     elapsed_ms=spent, error=problem)], schema=_ARROW)
 
-    return listed.mapInArrow(run, OUTCOMES)
+    return dealt_out(listed, parallelism).mapInArrow(run, OUTCOMES)

@@ -38,14 +38,18 @@ def hash_stream(source, sink, sha256: bool) -> tuple[int, str, str | None]:
     return count, md5.hexdigest(), sha.hexdigest() if sha is not None else None
 
 
+def dealt_out(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows spread evenly over several tasks per slot, because what follows reads whole files: a
+    folder's worth of names in one task would be a straggler."""
+    return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def hash_files(files: DataFrame, sha256: bool = False, tasks: int | None = None,
                path: str = "path") -> DataFrame:
     """Adds md5, sha256 and error by reading each file once, whatever its size.
 
-    Files are dealt out evenly first, because reading them costs far more than moving their names.
     Every other column passes through untouched.
     """
-    spread = files.repartition(tasks) if tasks else files
     schema = T.StructType(files.schema.fields + [
         T.StructField(name, T.StringType()) for name in ("md5", "sha256", "error")])
 
@@ -65,7 +69,7 @@ def hash_files(files: DataFrame, sha256: bool = False, tasks: int | None = None,
                 batch.columns + [pa.array(c, pa.string()) for c in columns],
                 names=batch.schema.names + ["md5", "sha256", "error"])
 
-    return spread.mapInArrow(run, schema)
+    return dealt_out(files, tasks).mapInArrow(run, schema)
 
 
 def file_hasher(sha256: bool = False, tasks: int | None = None):

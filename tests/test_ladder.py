@@ -160,3 +160,38 @@ def test_stored_names_collide(rows):
            for r in S.stored_name_collisions(plan).collect()}
     assert got == {"a": ("x/run", 2, False), "b": ("x/run", 2, False),
                    "d": ("y z", 2, True), "e": ("y z", 2, True)}
+
+
+def test_bucketed_ledger_is_not_shuffled(spark, rows, ledger):
+    from stowage.sinks.ledger_store import save_bucketed
+
+    book = ledger(entry("C:\\D\\a.raw", 4), entry("C:\\D\\b.raw", 9, attempts=5, seq=2))
+    save_bucketed(book, "bucketed_ledger", 4)
+    tree = rows(FILES, ("C:\\D\\A.raw", 10, 5), ("C:\\D\\b.raw", 10, 5), ("C:\\D\\c.raw", 10, 5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        swept = S.sweep(tree, spark.table("bucketed_ledger"), BASE, ROOT)
+        plan = swept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert sorted((r.path[-5:], r.accounted) for r in swept.collect()) == [
+            ("A.raw", False), ("b.raw", True), ("c.raw", False)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_ledger")
+
+
+def test_one_hot_content_and_folder(spark, ledger):
+    """A third of all files share their bytes, their folder and their stored name."""
+    files = spark.range(3000).selectExpr(
+        "concat('p', id) as path", "if(id % 3 = 0, 0, id) as length",
+        "md5(cast(if(id % 3 = 0, 0, id) as string)) as md5")
+    zero = files.where("length = 0").first().md5
+    book = ledger(*[entry(f"k{i}", 4, size=0, md5=zero, seq=9 - i) for i in range(3)])
+    found = ladder.find_by_content(files, book)
+    assert found.count() == 3000
+    assert found.where("already_uploaded_as = 'k2'").count() == 1000
+    plan = files.select("path", F.array(F.lit("x"), F.when(
+        F.col("length") == 0, F.concat(F.lit("run;"), "path")).otherwise(F.col("path"))).alias("segments"))
+    clashes = S.stored_name_collisions(plan)
+    assert clashes.count() == 1000 and clashes.select("sources").distinct().collect()[0].sources == 1000
