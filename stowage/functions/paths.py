@@ -303,18 +303,26 @@ def _parent_text(encoded: Column, skip: int) -> Column:
     return F.substr(below, F.lit(1), F.length(below) - last)
 
 
-def resolve_destination(path: Column, base: str, dest_root: str) -> Column:
-    """The encoded destination alone, or NULL where the path has none."""
-    rel = relative_path(path, base)
+def destination_of(rel: Column, dest_root: str) -> Column:
+    """The encoded destination of a relative path, or NULL where it has none."""
     suspect = rel.rlike(_SUSPECT) | (F.length(rel) > 120)
-    parsed = parse_remote_path(rel)
-    root = F.array(*[F.lit(s) for s in root_segments(dest_root)]).cast("array<string>")
-    slow = encode_path(F.struct(F.concat(root, parsed["segments"]).alias("segments"),
-                                F.lit(False).alias("is_collection")))
     simple = F.concat(F.lit(encoded_root(dest_root)),
                       F.replace(encode_segment(rel), F.lit("%2F"), F.lit("/")))
-    ok = (validate_relative_path(rel)["reason"] == NONE) & parsed["error"].isNull()
-    return F.when(rel.isNotNull() & ~suspect, simple).when(rel.isNotNull() & ok, slow)
+    root = F.array(*[F.lit(s) for s in root_segments(dest_root)]).cast("array<string>")
+
+    def placed(parsed: Column) -> Column:
+        return F.when(parsed["error"].isNull(), encode_path(F.struct(
+            F.concat(root, parsed["segments"]).alias("segments"),
+            F.lit(False).alias("is_collection"))))
+
+    checked = _let(validate_relative_path(rel), lambda v: F.when(
+        v["reason"] == NONE, _let(parse_remote_path(rel), placed)))
+    return F.when(rel.isNull(), F.lit(None).cast("string")).when(~suspect, simple).otherwise(checked)
+
+
+def resolve_destination(path: Column, base: str, dest_root: str) -> Column:
+    """The encoded destination of a local path, or NULL where it has none."""
+    return destination_of(relative_path(path, base), dest_root)
 
 
 def stored_name(segments: Column) -> Column:

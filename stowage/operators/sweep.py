@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stowage.functions.paths import path_key, resolve_destination, stored_name, with_destination
+from stowage.functions.paths import (
+    destination_of, path_key, relative_path, stored_name, with_destination)
 from stowage.functions.rules import candidate_filter, is_accounted_for, stamp_matches
 from stowage.schema import INTERRUPTED_STATES, MAX_UPLOAD_ATTEMPTS
 
@@ -37,7 +38,9 @@ def sweep(inventory: DataFrame, ledger: DataFrame, base: str, dest_root: str,
           max_attempts: int = MAX_UPLOAD_ATTEMPTS) -> DataFrame:
     """Every candidate file with its destination and whether the ledger answers for it."""
     joined = join_ledger(candidates(inventory, extensions), ledger, _LEDGER_COLUMNS)
-    located = joined.withColumn("destination", resolve_destination(F.col("path"), base, dest_root))
+    # The relative path is a column of its own, so that it is worked out once.
+    located = (joined.withColumn("_rel", relative_path(F.col("path"), base))
+               .withColumn("destination", destination_of(F.col("_rel"), dest_root)))
     accounted = is_accounted_for(
         F.col("l_known"), F.col("l_state"), F.col("l_verify_method"), F.col("l_size"),
         F.col("l_mtime_utc"), F.col("l_remote_path"), F.col("l_attempts"),
