@@ -78,9 +78,9 @@ def test_is_under(spark, path, root, under):
 
 def test_uri_keeps_the_base_path(spark):
     path = P.parse_remote_path(F.lit("/_webdav/a b.raw"))
-    row = spark.range(1).select(P.to_uri(path, F.lit("https://host:8443/labkey/")).alias("u"),
+    row = spark.range(1).select(P.to_uri(path, F.lit("https://host:8443/base/")).alias("u"),
                                 P.to_uri(path, F.lit("HTTPS://host")).alias("v")).first()
-    assert row.u == "https://host:8443/labkey/_webdav/a%20b.raw"
+    assert row.u == "https://host:8443/base/_webdav/a%20b.raw"
     assert row.v == "https://host/_webdav/a%20b.raw"
 
 
