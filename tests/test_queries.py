@@ -7,6 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SMALL
 from workloads.check import compare, connect
+from workloads.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict = compare(spark, con, SMALL, queries()[name], oracle_sql().get(name))
     assert verdict.startswith(("ok", "rows only")), verdict
@@ -25,4 +26,4 @@ def test_entry(spark):
 
 
 def test_all_queries_have_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
