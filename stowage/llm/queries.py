@@ -1,6 +1,6 @@
 """Imports every module of this subpackage that registers queries."""
 
-from stowage.llm import near, packing, personal, quality  # noqa: F401
+from stowage.llm import language, near, packing, personal, quality, urls  # noqa: F401
 from stowage.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
