@@ -86,7 +86,7 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     dense = grams.select("label", array_to_vector(F.transform(
         F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.when(
             F.array_contains("grams", i), 1 / F.sqrt(F.size("grams"))).otherwise(F.lit(0.0)))).alias("features"))
-    model = LogisticRegression(maxIter=40, regParam=0.002, standardization=False, aggregationDepth=2).fit(
+    model = LogisticRegression(maxIter=40, regParam=0.0001, standardization=False, aggregationDepth=2).fit(
         dense.coalesce(1))
     return [float(w) for w in model.coefficients], float(model.intercept)
 
