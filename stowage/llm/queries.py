@@ -1,6 +1,6 @@
 """Imports every module of this subpackage that registers queries."""
 
-from stowage.llm import contamination, language, licenses, near, packing, personal, quality, urls, vectors  # noqa: F401
+from stowage.llm import contamination, language, licenses, near, packing, personal, quality, substring, urls, vectors  # noqa: F401
 from stowage.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
