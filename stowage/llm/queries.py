@@ -1,6 +1,20 @@
-"""Imports every module of this subpackage that registers queries."""
+"""Imports every module of this subpackage that registers queries, and registers the pipeline."""
 
-from stowage.llm import contamination, language, licenses, near, packing, personal, quality, substring, urls, vectors  # noqa: F401
-from stowage.llm.registry import ORACLES, QUERIES
+import corpus_pipeline
+from stowage.llm import (  # noqa: F401
+    contamination,
+    language,
+    licenses,
+    near,
+    packing,
+    personal,
+    quality,
+    substring,
+    urls,
+    vectors,
+)
+from stowage.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]
