@@ -21,9 +21,9 @@ OUTSIDE_BASE = "OutsideBase"
 _ILLEGAL = r'[/\\:*?"<>|]'
 _CONTROL = r"[\x{00}-\x{1F}\x{7F}-\x{9F}]"
 # A path free of all this needs neither decoding nor the rule-by-rule check: no special character,
-# and no segment that is empty or starts with a dot or a space of any kind.
+# and no segment that is empty, long, or starts with a dot or a space of any kind.
 _SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_SUSPECT = (r'[;:*?"<>|%\x{00}-\x{1F}\x{7F}-\x{9F}]|^[./' + _SPACES + r"]|/[./" + _SPACES + r"]|/$")
+_SUSPECT = (r'[;:*?"<>|%\x{00}-\x{1F}\x{7F}-\x{9F}]|^[./' + _SPACES + r"]|/[./" + _SPACES + r"]|/$|[^/]{128}")
 # One escape of ASCII, one well-formed UTF-8 escape sequence, or text that is not an escape.
 _ESCAPES = (
     "%[0-7][0-9A-Fa-f]"
@@ -248,7 +248,7 @@ def with_destination(df: DataFrame, base: str, dest_root: str, path: str = "path
     root = root_segments(dest_root)
     prefix = encoded_root(dest_root)
     rel = F.col("_rel")
-    suspect = rel.rlike(_SUSPECT) | (F.length(rel) > 120)
+    suspect = rel.rlike(_SUSPECT)
 
     nothing = F.lit(None).cast("string")
 
@@ -305,7 +305,7 @@ def _parent_text(encoded: Column, skip: int) -> Column:
 
 def destination_of(rel: Column, dest_root: str) -> Column:
     """The encoded destination of a relative path, or NULL where it has none."""
-    suspect = rel.rlike(_SUSPECT) | (F.length(rel) > 120)
+    suspect = rel.rlike(_SUSPECT)
     simple = F.concat(F.lit(encoded_root(dest_root)),
                       F.replace(encode_segment(rel), F.lit("%2F"), F.lit("/")))
     root = F.array(*[F.lit(s) for s in root_segments(dest_root)]).cast("array<string>")

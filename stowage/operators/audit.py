@@ -10,7 +10,7 @@ from stowage.functions.rules import (
     failure_message, is_transient, needs_attention, redact_props, trustworthy)
 from stowage.operators.ledger import rows_by_state
 from stowage.schema import (
-    ATTENTION_LIMIT, ATTENTION_STATES, AUDIT_LIMIT, LOG_TAIL_LIMIT, SETTLED_STATES,
+    ATTENTION_LIMIT, ATTENTION_STATES, LOG_TAIL_LIMIT, SETTLED_STATES,
     TransferState as S)
 
 ALL, VERIFIED, NEEDS_ATTENTION = "All", "Verified", "NeedsAttention"
@@ -18,13 +18,13 @@ _FILTERS = {ALL: tuple(range(10)), VERIFIED: SETTLED_STATES, NEEDS_ATTENTION: AT
 
 
 def audit_view(ledger: DataFrame, filter: str = ALL, search: str = "",
-               limit: int = AUDIT_LIMIT) -> DataFrame:
-    """The newest rows of a filter, and then those whose file name holds the search text."""
-    rows = rows_by_state(ledger, _FILTERS[filter], limit)
+               limit: int | None = None) -> DataFrame:
+    """Rows of a filter whose file name holds the search text; all of them, or the newest ``limit``."""
+    rows = ledger.where(F.col("state").isin(*_FILTERS[filter]))
     needle = search.strip().lower()
-    if not needle:
-        return rows
-    return rows.where(F.lower(file_name(F.col("local_path"))).contains(needle))
+    if needle:
+        rows = rows.where(F.lower(file_name(F.col("local_path"))).contains(needle))
+    return rows if limit is None else rows.orderBy(F.desc("first_seen_seq")).limit(limit)
 
 
 def attention_top(ledger: DataFrame, limit: int = ATTENTION_LIMIT) -> DataFrame:
@@ -34,15 +34,15 @@ def attention_top(ledger: DataFrame, limit: int = ATTENTION_LIMIT) -> DataFrame:
         file_name(F.col("local_path")).alias("file_name"), "last_error")
 
 
-def audit_summary(ledger: DataFrame, shown: int | None = None) -> DataFrame:
-    """Counts for the line above the audit table; ``shown`` is the number of rows on screen."""
+def audit_summary(ledger: DataFrame, view: DataFrame | None = None) -> DataFrame:
+    """Counts for the line above the audit table; ``view`` holds the rows that are shown."""
     state = F.col("state")
     sums = ledger.agg(
         F.count_if(state.isin(*SETTLED_STATES)).alias("on_server"),
         F.count_if(state == S.VERIFIED).alias("hash_verified"),
         F.count_if(state.isin(*ATTENTION_STATES)).alias("attention"),
         F.count(F.lit(1)).alias("rows"))
-    visible = F.least("rows", F.lit(AUDIT_LIMIT)) if shown is None else F.lit(shown)
+    visible = F.col("rows") if view is None else view.select(F.count(F.lit(1))).scalar()
 
     def n(name: str):
         return F.format_number(F.col(name), 0)

@@ -111,7 +111,7 @@ def ledger_fold(history: DataFrame) -> DataFrame:
 
 
 def rows_by_state(ledger: DataFrame, states: list[int] | tuple[int, ...],
-                  limit: int = 1000) -> DataFrame:
+                  limit: int) -> DataFrame:
     """Rows in the given states, newest inserted first; no states give no rows."""
     rows = ledger.where(F.col("state").isin(*states) if states else F.lit(False))
     return rows.orderBy(F.desc("first_seen_seq")).limit(limit)

@@ -25,4 +25,4 @@ def status(ledger: DataFrame, filter: str = ALL, search: str = "") -> Status:
     view = audit_view(ledger, filter, search)
     counts = count_by_state(ledger)
     return Status(counts.withColumn("name", state_name(counts["state"])), attention_top(ledger),
-                  audit_report(view), audit_summary(ledger))
+                  audit_report(view), audit_summary(ledger, view))

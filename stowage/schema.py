@@ -107,8 +107,6 @@ STALL_TIMEOUT_MS = 120_000
 SNAPSHOT_LIFETIME_MS = 300_000
 SWEEP_INTERVAL_MINUTES = 15
 MAX_SEGMENT_LENGTH = 255
-AUDIT_LIMIT = 5000
 GRID_LIMIT = 5000
 LOG_TAIL_LIMIT = 2000
 ATTENTION_LIMIT = 20
-COPY_PARALLELISM = 3

@@ -42,9 +42,9 @@ def parse_md5_manifest(documents: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def manifest_errors(documents: DataFrame) -> DataFrame:
-    """The lines a lenient read left out."""
+    """The whole lines a lenient read left out, and what to say about them."""
     return (manifest_lines(documents).where(F.col("md5").isNull())
-            .select("folder", "line_no", _complaint(F.col("line")).alias("problem")))
+            .select("folder", "line_no", "line", _complaint(F.col("line")).alias("problem")))
 
 
 def parse_md5_single(documents: DataFrame, strict: bool = True) -> DataFrame:

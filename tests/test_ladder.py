@@ -125,16 +125,19 @@ def test_ledger_writes(rows, ledger):
     assert got == {"C:\\D\\A.raw": (4, 1), "C:\\D\\b.raw": (1, 2), "new": (4, 8)}
     newest = [r.local_path for r in L.rows_by_state(merged, [4, 1], 2).collect()]
     assert newest == ["new", "C:\\D\\b.raw"]
-    assert L.rows_by_state(merged, []).count() == 0
+    assert L.rows_by_state(merged, [], 5).count() == 0
     failed = L.ledger_fail_unknown(book, rows(
         "local_path string, length bigint, mtime_ms bigint, last_error string, first_seen_seq bigint",
         ("c:\\D\\B.RAW", 1, 1, "x", 5), ("q;1", None, None, "bad name", 6))).collect()
     assert [(r.local_path, r.remote_path, r.size, r.attempts) for r in failed] == [("q;1", "", 0, 0)]
 
 
-def test_search_runs_after_the_limit(ledger):
+def test_search_finds_old_rows(ledger):
     book = ledger(*[entry(f"C:\\D\\{'hit' if i < 3 else 'no'}{i}.raw", 4, seq=i) for i in range(6)])
-    assert A.audit_view(book, A.VERIFIED, "HIT", limit=4).count() == 1
+    assert A.audit_view(book, A.VERIFIED, "HIT").count() == 3
+    assert [r.first_seen_seq for r in A.audit_view(book, A.VERIFIED, "hit", limit=2).collect()] == [2, 1]
+    view = A.audit_view(book, A.VERIFIED, "hit")
+    assert A.audit_summary(book, view).first().summary == "6 on the server (6 hash-verified) - showing 3"
     assert A.audit_view(book, A.NEEDS_ATTENTION).count() == 0
     line = A.audit_summary(book).first().summary
     assert line == "6 on the server (6 hash-verified) - showing 6"

@@ -151,7 +151,7 @@ def _(spark, d):
 @query("rows_by_state", cte("fx_ledger") + f"""
 SELECT {_COLUMNS} FROM fx_ledger WHERE state IN (2, 6, 9) ORDER BY first_seen_seq DESC LIMIT 1000""")
 def _(spark, d):
-    return _flat(L.rows_by_state(ledger(spark, d), [2, 6, 9]))
+    return _flat(L.rows_by_state(ledger(spark, d), [2, 6, 9], 1000))
 
 
 @query("attention_top", cte("fx_ledger") + f"""
@@ -162,16 +162,14 @@ def _(spark, d):
 
 
 @query("audit_view", cte("fx_ledger") + f"""
-SELECT * FROM (SELECT {_COLUMNS} FROM fx_ledger WHERE state IN (4, 5)
-               ORDER BY first_seen_seq DESC LIMIT 5000)
-WHERE lower({Q.name_of('local_path')}) LIKE '%acq\\_1%.raw%' ESCAPE '\\'""".replace("%acq\\_1%.raw%", "%.raw%"))
+SELECT {_COLUMNS} FROM fx_ledger WHERE state IN (4, 5) AND lower({Q.name_of('local_path')}) LIKE '%.raw%'""")
 def _(spark, d):
     return _flat(A.audit_view(ledger(spark, d), A.VERIFIED, " .RAW "))
 
 
-_SUMMARY = """
+_SUMMARY = f"""
 SELECT count(*) FILTER (state IN (4, 5)) AS on_server, count(*) FILTER (state = 4) AS hash_verified,
-  count(*) FILTER (state IN (6, 8, 9)) AS attention, count(*) AS rows, least(count(*), 5000) AS shown
+  count(*) FILTER (state IN (6, 8, 9)) AS attention, count(*) AS rows, count(*) FILTER (state IN (4, 5) AND lower({Q.name_of('local_path')}) LIKE '%1%') AS shown
 FROM fx_ledger"""
 
 
@@ -181,7 +179,8 @@ SELECT *, format('{{:,}}', on_server) || ' on the server'
   || CASE WHEN attention > 0 THEN ', ' || format('{{:,}}', attention) || ' need attention' ELSE '' END
   || ' - showing ' || format('{{:,}}', shown) AS summary FROM ({_SUMMARY})""")
 def _(spark, d):
-    return A.audit_summary(ledger(spark, d))
+    rows = ledger(spark, d)
+    return A.audit_summary(rows, A.audit_view(rows, A.VERIFIED, "1"))
 
 
 _REPORT_SQL = f"""
@@ -195,7 +194,7 @@ SELECT first_seen_seq, {Q.name_of('local_path')} AS file_name, local_path, remot
 FROM fx_ledger"""
 
 
-@query("audit_report", cte("fx_ledger") + _REPORT_SQL + " ORDER BY first_seen_seq DESC LIMIT 5000")
+@query("audit_report", cte("fx_ledger") + _REPORT_SQL)
 def _(spark, d):
     return A.audit_report(A.audit_view(ledger(spark, d)))
 
@@ -211,7 +210,7 @@ SELECT local_path AS "Local path", remote_path AS "Remote path", {Q.words('state
   cast(size as string) AS "Size (bytes)", coalesce(md5, '') AS "MD5",
   coalesce(strftime(verified_utc, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00', '') AS "Verified (UTC)",
   coalesce(last_error, '') AS "Detail"
-FROM fx_ledger WHERE state IN (6, 8, 9) ORDER BY first_seen_seq DESC LIMIT 5000""")
+FROM fx_ledger WHERE state IN (6, 8, 9)""")
 def _(spark, d):
     from stowage.session import shared_dir
     from stowage.sinks.audit_csv import export_audit_csv

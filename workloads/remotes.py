@@ -295,7 +295,7 @@ def _(spark, d):
 
 
 @query("manifest_errors", _LINES + """
-SELECT folder, pos - 1 AS line_no, 'Unexpected line in an md5sum response: '''
+SELECT folder, pos - 1 AS line_no, line, 'Unexpected line in an md5sum response: '''
   || CASE WHEN length(line) <= 80 THEN line ELSE line[1:80] || '...' END || '''.' AS problem
 FROM (SELECT folder, pos, CASE WHEN line LIKE '%' || chr(13) THEN line[1:-2] ELSE line END AS line FROM l)
 WHERE line <> ''""")
