@@ -34,10 +34,18 @@ BY_SIZE_OURS, BY_SIZE, BY_NO_HASH, OPEN = "size_ours", "size", "no_hash", "open"
 
 
 def remote_snapshot(entries: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Listing rows with the hash of each name; (folder, name) must be unique in both."""
-    return (entries.select("folder", "name", "is_collection", F.col("length").alias("r_length"))
-            .join(hashes.select("folder", "name", F.col("md5").alias("r_md5")),
-                  ["folder", "name"], "left"))
+    """Listing rows with the hash of each name, one for each (folder, name).
+
+    A name listed twice is a folder if either entry is one, and has no hash if two differ. The
+    aggregates are on the keys of the join, so they add no exchange.
+    """
+    key = ["folder", "name"]
+    listed = entries.groupBy(*key).agg(F.bool_or("is_collection").alias("is_collection"),
+                                       F.max("length").alias("r_length"))
+    known = hashes.groupBy(*key).agg(F.min(F.lower("md5")).alias("least"),
+                                     F.max(F.lower("md5")).alias("most"))
+    return listed.join(known.select(*key, F.when(F.col("least") == F.col("most"), F.col("most"))
+                                    .alias("r_md5")), key, "left")
 
 
 def remote_is_ours(ledger_remote: Column, ledger_md5: Column, destination: Column,

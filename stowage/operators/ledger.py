@@ -18,13 +18,13 @@ _PAYLOAD = [c for c in _COLUMNS if c not in ("local_path", "first_seen_seq")]
 def ledger_upsert(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     """Inserts or replaces whole rows by path in any case.
 
-    An existing row keeps its spelling and its ``first_seen_seq``. Updates must hold one row per
-    path and carry a ``first_seen_seq`` above all existing ones for the rows that are new.
+    An existing row keeps its spelling and its ``first_seen_seq``. Updates carry a
+    ``first_seen_seq`` above all existing ones for the rows that are new. Of several updates whose
+    paths fold to one key the one with the latest stamp counts, then the one numbered last.
     """
-    old = ledger.select(path_key(F.col("local_path")).alias("path_key"),
-                        F.struct(*_COLUMNS).alias("old"))
-    new = updates.select(path_key(F.col("local_path")).alias("path_key"),
-                         F.struct(*_COLUMNS).alias("new"))
+    old = keyed(ledger, "local_path").select("path_key", F.struct(*_COLUMNS).alias("old"))
+    new = keyed(updates, "local_path").groupBy("path_key").agg(F.max_by(
+        F.struct(*_COLUMNS), F.struct("mtime_utc", "first_seen_seq")).alias("new"))
     joined = old.join(new, "path_key", "full")
     replaced = F.col("new").isNotNull()
     return joined.select(

@@ -133,7 +133,7 @@ def one_pass_sync(spark: SparkSession, store: LedgerStore, options: SyncOptions,
     executor repeats its own tasks only, and no file is copied twice for one decision.
     """
     o = options
-    ledger = store.current()
+    ledger, upto = store.snapshot()
     scanned = stage(scan_tree(spark, o.root, o.recursive), "scan")
     inventory = scanned.where(F.col("problem").isNull()).drop("problem")
     swept = stage(sweep(inventory, ledger, o.root, o.dest_root, o.extensions, o.max_attempts),
@@ -174,7 +174,7 @@ def one_pass_sync(spark: SparkSession, store: LedgerStore, options: SyncOptions,
     highest = F.coalesce(numbers.agg(F.max("first_seen_seq")).scalar(), F.lit(0))
     unknown = stage(unknown.withColumn(
         "first_seen_seq", highest + 1 + F.monotonically_increasing_id()), "unknown")
-    store.commit(ledger_upsert(ledger, updates.unionByName(unknown)))
+    store.commit(ledger_upsert(ledger, updates.unionByName(unknown)), upto)
 
     sidecars = None
     if o.sidecars:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.functions.paths import path_key
 from stowage.operators.ledger import ledger_fold
@@ -18,6 +18,8 @@ from stowage.operators.sweep import keyed
 from stowage.schema import LEDGER
 
 _COLUMNS = [f.name for f in LEDGER.fields]
+# Each stored row also says which change it was last touched by, so that a late one cannot undo it.
+_ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER) + ", applied_seq bigint"
 _CHANGES = "local_path string, state int, last_error string, attempts bigint, seq bigint"
 
 
@@ -48,36 +50,51 @@ class LedgerStore:
         (number, upto), folder = versions[-1]
         return number, upto, folder
 
-    def _pending(self) -> list[tuple[int, str]]:
-        upto = self._newest()[1]
-        return [(ids[0], folder) for ids, folder in self._finished("changes", r"batch=(\d+)")
-                if ids[0] > upto]
+    def _read(self, last: int | None = None) -> tuple[DataFrame, int]:
+        """Rows with ``applied_seq`` after all batches, or those up to ``last``, and the last one."""
+        _, upto, folder = self._newest()
+        rows = (self.spark.createDataFrame([], _ROWS) if folder is None
+                else self.spark.read.schema(_ROWS).parquet(folder))
+        pending = [(batch, at) for batch, at in self._finished("changes", r"batch=(\d+)")
+                   if batch[0] > upto and (last is None or batch[0] <= last)]
+        if not pending:
+            return rows, upto
+        changes = self.spark.read.schema(_CHANGES).parquet(*[at for _, at in pending])
+        return apply_changes(rows, changes), pending[-1][0][0]
+
+    def snapshot(self) -> tuple[DataFrame, int]:
+        """The newest version with all later changes applied, and the last batch among them.
 
-    def base(self) -> DataFrame:
-        folder = self._newest()[2]
-        if folder is None:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(folder)
+        Whoever commits a ledger made from it passes that number on: batches that come meanwhile are
+        then applied to the new version, and those it already holds are not.
+        """
+        rows, upto = self._read()
+        return rows.select(*_COLUMNS), upto
 
     def current(self) -> DataFrame:
-        """The newest version with all later changes applied."""
-        pending = [folder for _, folder in self._pending()]
-        if not pending:
-            return self.base()
-        return apply_changes(self.base(), self.spark.read.schema(_CHANGES).parquet(*pending))
-
-    def commit(self, ledger: DataFrame, upto: int | None = None) -> int:
-        """Writes a whole ledger as the next version; ``upto`` is the last batch it includes."""
-        number, included, _ = self._newest()
-        included = included if upto is None else upto
-        ledger.select(*_COLUMNS).write.mode("overwrite").parquet(
-            f"{self.path}/base/version={number + 1}-upto={included}")
+        return self.snapshot()[0]
+
+    def commit(self, ledger: DataFrame, upto: int) -> int:
+        """Writes a whole ledger that holds all batches up to ``upto`` as the next version.
+
+        Fails, and leaves no version behind, if two rows have the same path in any case. Rows are
+        dealt and sorted by their key, and keep the number of the change they were last touched by.
+        """
+        number = self._newest()[0]
+        applied = keyed(self._read(upto)[0], "local_path").groupBy("path_key").agg(
+            F.max("applied_seq").alias("applied_seq"))
+        rows = (keyed(ledger, "local_path").select("path_key", *_COLUMNS)
+                .withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("path_key")))
+                .join(applied, "path_key", "left"))
+        twice = F.raise_error(F.concat(F.lit("two ledger rows for "), "local_path"))
+        only = F.when(F.col("same") == 1, F.col("local_path")).otherwise(twice.cast("string"))
+        rows.withColumn("local_path", only).select(*_COLUMNS, "applied_seq").write.mode(
+            "overwrite").parquet(f"{self.path}/base/version={number + 1}-upto={upto}")
         return number + 1
 
     def compact(self) -> int:
         """Turns the newest version and all changes since into the next version."""
-        pending = self._pending()
-        return self.commit(self.current(), pending[-1][0] if pending else None)
+        return self.commit(*self.snapshot())
 
     def record_batch(self, history: DataFrame, batch_id: int) -> None:
         """Folds one batch of state changes and stores it; the same batch again changes nothing."""
@@ -88,19 +105,20 @@ class LedgerStore:
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame) -> DataFrame:
-    """Folded changes onto the ledger; the change with the highest ``seq`` decides the state, and
-    uploads started add up. Paths the ledger does not know are ignored."""
+    """Folded changes onto rows with ``applied_seq``; the change with the highest ``seq`` of all that
+    ever came decides the state, and uploads started add up. Unknown paths are ignored."""
     folded = (keyed(changes, "local_path").groupBy("path_key").agg(
-        F.max_by(F.struct("state", "last_error"), "seq").alias("new"),
+        F.max_by(F.struct("state", "last_error"), "seq").alias("new"), F.max("seq").alias("seq"),
         F.sum("attempts").alias("started")))
     joined = keyed(ledger, "local_path").join(folded, "path_key", "left")
-    hit = F.col("new").isNotNull()
+    hit = F.coalesce(F.col("seq") > F.coalesce("applied_seq", F.lit(-1)), F.lit(False))
     values = {
         "state": F.when(hit, F.col("new.state")).otherwise(F.col("state")),
         "last_error": F.when(hit, F.col("new.last_error")).otherwise(F.col("last_error")),
         "attempts": (F.col("attempts") + F.coalesce("started", F.lit(0))).cast("int"),
     }
-    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in _COLUMNS])
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in _COLUMNS],
+                         F.greatest("applied_seq", "seq").alias("applied_seq"))
 
 
 def save_bucketed(ledger: DataFrame, table: str, buckets: int) -> None:

@@ -119,7 +119,7 @@ def test_store_keeps_versions_and_batches(spark):
     store = LedgerStore(spark, shared_dir(spark, "store"))
     assert store.current().count() == 0
     row = ("A", "r", 1, 1, None, None, 1, 0, None, 0, None, False, 1)
-    store.commit(spark.createDataFrame([row], LEDGER))
+    store.commit(spark.createDataFrame([row], LEDGER), -1)
     change = "local_path string, state int, last_error string, seq bigint"
     uploads = spark.createDataFrame([("a", 2, None, 1), ("a", 9, "x", 2), ("b", 2, None, 3)], change)
     for _ in range(2):  # the same batch twice counts once
@@ -132,6 +132,54 @@ def test_store_keeps_versions_and_batches(spark):
     assert [(r.state, r.attempts) for r in store.current().collect()] == [(2, 2)]
 
 
+def test_a_late_change_does_not_undo_a_newer_one(spark):
+    store = LedgerStore(spark, shared_dir(spark, "store"))
+    rows = [(p, "r", 1, 1, None, None, 1, 0, None, 0, None, False, i) for i, p in enumerate("AB")]
+    store.commit(spark.createDataFrame(rows, LEDGER), -1)
+    change = "local_path string, state int, last_error string, seq bigint"
+    store.record_batch(spark.createDataFrame([("a", 4, None, 9)], change), 0)
+    store.compact()
+    store.record_batch(spark.createDataFrame([("A", 9, "old", 5), ("b", 2, None, 6)], change), 1)
+    for _ in range(2):
+        got = {r.local_path: (r.state, r.last_error) for r in store.current().collect()}
+        assert got == {"A": (4, None), "B": (2, None)}
+        store.compact()
+    with pytest.raises(Exception, match="two ledger rows for"):
+        store.commit(spark.createDataFrame([rows[0], ("a", *rows[0][1:])], LEDGER), 1)
+    assert store.current().count() == 2
+
+
+def test_paths_that_differ_in_case_stay_one_row(spark, tmp_path):
+    tree, mirror = tmp_path / "tree", tmp_path / "mirror"
+    tree.mkdir()
+    mirror.mkdir()
+    for name in ("run.raw", "RUN.raw"):
+        (tree / name).write_text(name)
+    store = LedgerStore(spark, shared_dir(spark, "ledger"))
+    options = SyncOptions(str(tree), str(mirror), "/r/", tasks=2)
+    counts = []
+    for turn in range(3):
+        one_pass_sync(spark, store, options, 1_700_000_000_000 + turn)
+        counts.append(store.current().count())
+    assert counts == [1, 1, 1]
+
+
+def test_a_pass_keeps_what_came_before_it(spark, tree, tmp_path):
+    """A batch that the pass has read is not applied to its version again."""
+    mirror = tmp_path / "mirror"
+    mirror.mkdir()
+    store = LedgerStore(spark, shared_dir(spark, "ledger"))
+    options = SyncOptions(str(tree), str(mirror), "/r/", (".raw",), tasks=2)
+    one_pass_sync(spark, store, options, 1_700_000_000_000)
+    path = str(tree / "a.raw")
+    store.record_batch(spark.createDataFrame([(path, 2, None, 1), (path, 9, "boom", 2)],
+                                             "local_path string, state int, last_error string, seq bigint"), 0)
+    assert {r.state for r in store.current().where(F.col("local_path") == path).collect()} == {9}
+    one_pass_sync(spark, store, options, 1_700_000_100_000)
+    row = store.current().where(F.col("local_path") == path).first()
+    assert (row.state, row.last_error, row.attempts) == (5, None, 2)
+
+
 HASH = "d41d8cd98f00b204e9800998ecf8427e"
 
 

@@ -92,7 +92,7 @@ def test_progress_stream_ignores_late_reports(spark, rows, landed, tmp_path):
 def test_ledger_stream_counts_started_uploads(spark, rows, landed, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "store"))
     store.commit(spark.createDataFrame(
-        [(p, "r", 1, 1, None, None, 1, 0, None, 1, None, False, i) for i, p in enumerate("AB")], LEDGER))
+        [(p, "r", 1, 1, None, None, 1, 0, None, 1, None, False, i) for i, p in enumerate("AB")], LEDGER), -1)
     history = rows("local_path string, state int, last_error string, seq bigint",
                    ("a", 2, None, 1), ("a", 9, "x", 2), ("a", 2, None, 3), ("b", 3, None, 4), ("a", 4, None, 5))
     schema = history.schema

@@ -56,6 +56,29 @@ def _(spark, d):
     return _flat(L.ledger_upsert(ledger(spark, d), _updates(spark, d)))
 
 
+@query("ledger_upsert_twins", cte("fx_inventory", "fx_ledger") + f""",
+u AS (SELECT * FROM (
+  SELECT upper(path) AS local_path, '/new/' || name AS remote_path, mtime_ms AS mtime_utc, k + 1000000000 AS seq FROM fx_inventory
+  WHERE k % 4 = 0
+  UNION ALL SELECT lower(path), '/later/' || name, mtime_ms + 5, k + 2000000000 FROM fx_inventory WHERE k % 8 = 0)
+  QUALIFY row_number() OVER (PARTITION BY lower(local_path) ORDER BY mtime_utc DESC, seq DESC) = 1)
+SELECT coalesce(l.local_path, u.local_path) AS local_path, coalesce(u.remote_path, l.remote_path) AS remote_path,
+  coalesce(u.mtime_utc, l.mtime_utc) AS mtime_utc, coalesce(l.first_seen_seq, u.seq) AS first_seen_seq
+FROM fx_ledger l FULL JOIN u ON lower(l.local_path) = lower(u.local_path)""")
+def _(spark, d):
+    rows = view(spark, d, "fx_inventory").where("k % 4 = 0")
+    rest = ["length as size", "cast(null as string) as md5", "cast(null as string) as sha256", "5 as state",
+            "2 as verify_method", "timestamp_millis(mtime_ms) as verified_utc", "0 as attempts",
+            "cast(null as string) as last_error", "false as is_dataset"]
+    first = rows.selectExpr("upper(path) as local_path", "concat('/new/', name) as remote_path",
+                            "mtime_ms as mtime_utc", "k + 1000000000 as first_seen_seq", *rest)
+    later = rows.where("k % 8 = 0").selectExpr(
+        "lower(path) as local_path", "concat('/later/', name) as remote_path",
+        "mtime_ms + 5 as mtime_utc", "k + 2000000000 as first_seen_seq", *rest)
+    return L.ledger_upsert(ledger(spark, d), first.unionByName(later)).select(
+        "local_path", "remote_path", "mtime_utc", "first_seen_seq")
+
+
 @query("ledger_set_state", cte("fx_ledger") + f""",
 l AS (SELECT {_COLUMNS} FROM fx_ledger)
 SELECT local_path, remote_path, size, mtime_utc, md5,

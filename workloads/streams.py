@@ -87,7 +87,7 @@ FROM fx_ledger l LEFT JOIN f ON f.key = lower(l.local_path)""")
 def _(spark, d):
     where = shared_dir(spark, "ledger-stream")
     store = LedgerStore(spark, f"{where}/ledger")
-    store.commit(ledger(spark, d))
+    store.commit(ledger(spark, d), -1)
     known = view(spark, d, "fx_ledger").select("k", "local_path")
     history = (stream(spark, d, "events").join(known, F.col("event_id") == F.col("k"))
                .selectExpr("local_path", "cast(event_id % 10 as int) as state",
@@ -100,6 +100,26 @@ def _(spark, d):
         "attempts", "first_seen_seq")
 
 
+@query("stream_ledger_late", cte("fx_ledger", "fx_orders") + """,
+h AS (SELECT l.first_seen_seq AS seq, e.event_id % 10 AS early, (e.event_id + 3) % 10 AS late
+      FROM events e JOIN fx_ledger l ON l.first_seen_seq = e.event_id)
+SELECT l.local_path, cast(coalesce(h.early, l.state) as int) AS state,
+  cast(l.attempts + CASE WHEN h.early = 2 THEN 1 ELSE 0 END + CASE WHEN h.late = 2 THEN 1 ELSE 0 END as int) AS attempts
+FROM fx_ledger l LEFT JOIN h ON h.seq = l.first_seen_seq""")
+def _(spark, d):
+    """Changes, a commit from a snapshot that holds them, and older changes that come after it."""
+    store = LedgerStore(spark, f"{shared_dir(spark, 'ledger-late')}/ledger")
+    store.commit(ledger(spark, d), -1)
+    known = view(spark, d, "fx_ledger").select("k", "local_path")
+    changes = table(spark, d, "events").join(known, F.col("event_id") == F.col("k"))
+    for batch, (state, seq) in enumerate((("event_id", "event_id * 2 + 1"), ("event_id + 3", "event_id * 2"))):
+        store.record_batch(changes.selectExpr(
+            "local_path", f"cast(({state}) % 10 as int) as state", "cast(null as string) as last_error",
+            f"{seq} as seq"), batch)
+        store.commit(*store.snapshot())
+    return store.current().select("local_path", "state", "attempts")
+
+
 _SWEPT_COUNTS = Q.SWEPT + """
 SELECT count(*) AS examined, count(*) FILTER (NOT accounted) AS offered,
        count(*) FILTER (accounted) AS accounted FROM swept"""
