@@ -123,6 +123,17 @@ def split_methods(options: Column) -> Column:
     return F.filter(verbs, lambda v: v != "")
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+_OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})$"
+_RFC_1123 = r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$"
+
+
 def parse_server_time(text: Column) -> Column:
-    """ISO 8601 with an offset, in UTC; NULL for anything else."""
-    return F.try_to_timestamp(text)
+    """ISO 8601 or an RFC 1123 date, in UTC where it names no offset; NULL for anything else.
+
+    Nothing depends on the session's zone or on today's date: a time of day alone is no time.
+    """
+    iso = F.when(text.rlike(_ISO + _OFFSET), text).when(text.rlike(_ISO + "$"), F.concat(text, F.lit("Z")))
+    day = F.concat(F.regexp_extract(text, _RFC_1123, 1), F.lit(" +00:00"))
+    return F.coalesce(F.try_to_timestamp(iso), F.when(
+        text.rlike(_RFC_1123), F.try_to_timestamp(day, F.lit("dd MMM yyyy HH:mm:ss XXX"))))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions.paths import path_key, with_destination
 from stowage.functions.rules import implied_verification, is_settled_at
 from stowage.operators.sweep import join_ledger
+from stowage.plans.staging import stage
 from stowage.schema import ConflictPolicy, DecisionTier, SETTLED_STATES, VerifyMethod
 
 Hasher = Callable[[DataFrame], DataFrame]
@@ -205,15 +206,21 @@ def decide_classified(classified: DataFrame, ledger: DataFrame, hash_cache: Data
                       hasher: Hasher, policy: Column | int = ConflictPolicy.ASK) -> DataFrame:
     policy = F.lit(policy) if isinstance(policy, int) else policy
     pending = classified.where(F.col("step") == OPEN)
-    return cheap_decisions(classified, policy).unionByName(
-        conclude(hashed(pending, hash_cache, hasher), ledger, policy))
+    # Only ledger rows of a size that is still open can hold the same content.
+    sizes = pending.select(F.col("length").alias("size")).distinct()
+    return cheap_decisions(classified, policy).unionByName(conclude(
+        hashed(pending, hash_cache, hasher), ledger.join(sizes, "size", "left_semi"), policy))
 
 
 def decide(files: DataFrame, ledger: DataFrame, snapshot: DataFrame,
            hash_cache: DataFrame | None, hasher: Hasher,
            policy: Column | int = ConflictPolicy.ASK) -> DataFrame:
-    """The whole ladder, one row per file of ``located``."""
-    return decide_classified(classify(files, ledger, snapshot), ledger, hash_cache, hasher, policy)
+    """The whole ladder, one row per file of ``located``.
+
+    What tiers 0 and 1 concluded is written once: both the cheap decisions and the residue read it.
+    """
+    classified = stage(classify(files, ledger, snapshot), "classified")
+    return decide_classified(classified, ledger, hash_cache, hasher, policy)
 
 
 def tier0_settled(files: DataFrame, ledger: DataFrame) -> DataFrame:

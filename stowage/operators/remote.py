@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions.labels import format_bytes
 from stowage.functions.paths import map_drive_path
@@ -153,10 +153,11 @@ def snapshot_overlay(entries: DataFrame, folders: DataFrame, verified: DataFrame
     return merged.join(folders.select("folder", "taken_ms"), "folder")
 
 
-def snapshot_fresh(needed: DataFrame, folders: DataFrame, now_ms: int,
+def snapshot_fresh(needed: DataFrame, folders: DataFrame, now_ms: int | Column,
                    lifetime_ms: int = SNAPSHOT_LIFETIME_MS) -> DataFrame:
     """Which needed folders have a usable snapshot and which must be listed again."""
-    usable = folders.where(F.lit(now_ms) - F.col("taken_ms") <= lifetime_ms).select(
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    usable = folders.where(now - F.col("taken_ms") <= lifetime_ms).select(
         "folder", "taken_ms")
     joined = needed.select("folder").distinct().join(usable, "folder", "left")
     return joined.withColumn(

@@ -176,10 +176,10 @@ def _(spark, d):
 
 @query("superseded_filter", cte("fx_inventory") + """
 SELECT path, length AS length_before, length + (k % 5) AS length_after FROM fx_inventory
-WHERE k % 3 = 0 AND (k % 5 <> 0 OR k % 7 = 0)""")
+WHERE k % 5 <> 0 OR k % 7 = 0""")
 def _(spark, d):
     rows = view(spark, d, "fx_inventory")
-    sent = rows.where("k % 3 = 0").select("path", "length", "mtime_ms")
+    sent = rows.select("path", "length", "mtime_ms")
     fresh = rows.selectExpr("upper(path) as path", "length + (k % 5) as length",
                             "mtime_ms + case when k % 7 = 0 then 1 else 0 end as mtime_ms")
     return S.superseded(sent, fresh).select(

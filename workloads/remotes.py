@@ -25,7 +25,10 @@ def documents(spark, d) -> DataFrame:
     entry = rows.selectExpr(
         "k", "folder", "name", "is_collection", "length", "ms",
         f"{_VERBS.replace('CASE k % 3', 'case k % 3')} as options",
-        "concat(date_format(timestamp_millis(ms), \"yyyy-MM-dd'T'HH:mm:ss\"), '-00:00') as stamp")
+        "case k % 4 when 0 then date_format(timestamp_millis(ms), \"yyyy-MM-dd'T'HH:mm:ss\")"
+        " when 1 then concat(date_format(timestamp_millis(ms), \"yyyy-MM-dd'T'HH:mm:ss\"), '-00:00')"
+        " when 2 then date_format(timestamp_millis(ms), \"EEE, dd MMM yyyy HH:mm:ss 'GMT'\")"
+        " else date_format(timestamp_millis(ms), 'HH:mm') end as stamp")
     main = F.struct(
         F.col("name").alias("text"), F.col("options"),
         (F.col("k") % 2 == 0).alias("canUpload"), F.lit(True).alias("canRead"),
@@ -51,7 +54,7 @@ def entries(spark, d) -> DataFrame:
 _ENTRIES = cte("fx_remote") + f""",
 entries AS (
   SELECT k, folder, name, is_collection, CASE WHEN k % 3 = 2 THEN 0 ELSE length END AS length,
-    CASE WHEN k % 5 = 0 THEN 1577836800000 ELSE ms // 1000 * 1000 END AS modified_ms,
+    CASE WHEN k % 5 = 0 OR k % 4 = 3 THEN 1577836800000 ELSE ms // 1000 * 1000 END AS modified_ms,
     'u' || (k % 7) AS created_by, true AS can_read, k % 2 = 0 AS can_upload,
     CASE k % 3 WHEN 0 THEN 'OPTIONS, GET, PUT, MOVE' WHEN 1 THEN 'OPTIONS, GET' ELSE '' END AS methods
   FROM fx_remote WHERE k % 50 <> 0
@@ -131,10 +134,9 @@ SELECT f.folder || f.name AS destination, e.k IS NOT NULL AS found, coalesce(e.c
   CASE WHEN e.k IS NULL THEN f.folder || f.name || ' does not exist yet; it will be created on the first upload.'
        WHEN e.can_upload THEN 'You can upload to ' || f.folder || f.name || '.'
        ELSE f.folder || f.name || ' is read-only for this account. A server administrator needs to grant write access.' END AS detail
-FROM fx_remote f LEFT JOIN entries e ON e.folder = f.folder AND e.name = f.name AND e.is_collection
-WHERE f.k % 3 = 0 OR f.is_collection""")
+FROM fx_remote f LEFT JOIN entries e ON e.folder = f.folder AND e.name = f.name AND e.is_collection""")
 def _(spark, d):
-    asked = remote(spark, d).where("k % 3 = 0 or is_collection").selectExpr(
+    asked = remote(spark, d).selectExpr(
         "folder || name as destination", "folder as parent", "name")
     return R.destination_writable(asked, entries(spark, d))
 
@@ -198,13 +200,11 @@ def _(spark, d):
 
 
 def _folders(spark, d) -> DataFrame:
-    return (remote(spark, d).where("folder like '%/run1%' or folder like '%/run2%'")
-            .groupBy("folder").agg(F.max("ms").alias("taken_ms")))
+    return remote(spark, d).groupBy("folder").agg(F.max("ms").alias("taken_ms"))
 
 
 _FOLDERS = """
-folders AS (SELECT folder, max(ms) AS taken_ms FROM fx_remote
-            WHERE folder LIKE '%/run1%' OR folder LIKE '%/run2%' GROUP BY folder)"""
+folders AS (SELECT folder, max(ms) AS taken_ms FROM fx_remote GROUP BY folder)"""
 
 
 @query("snapshot_overlay", cte("fx_inventory", "fx_remote") + f""",{_FOLDERS},
@@ -235,34 +235,37 @@ FROM n LEFT JOIN (SELECT folder, taken_ms FROM folders, clock WHERE now_ms - tak
   ON f.folder = n.folder""")
 def _(spark, d):
     folders = _folders(spark, d)
-    now = folders.agg(F.expr("percentile_disc(0.5) within group (order by taken_ms)")).head()[0]
+    now = folders.agg(F.expr("percentile_disc(0.5) within group (order by taken_ms)")).scalar()
     needed = view(spark, d, "fx_inventory").selectExpr(f"'{ROOT}' || folder || '/' as folder")
-    return R.snapshot_fresh(needed, folders, int(now) + 300_000)
+    return R.snapshot_fresh(needed, folders, now + 300_000)
 
 
 @query("fetched_folders", cte("fx_inventory", "fx_remote") + f"""
 SELECT n.folder, coalesce(r.entries, 0) AS entries, 1700000000000 AS taken_ms
 FROM (SELECT DISTINCT '{ROOT}' || folder || '/' AS folder FROM fx_inventory) n
-LEFT JOIN (SELECT folder, count(*) AS entries FROM fx_remote WHERE folder LIKE '%/run1%' GROUP BY folder) r
+LEFT JOIN (SELECT folder, count(*) AS entries FROM fx_remote GROUP BY folder) r
   ON r.folder = n.folder""")
 def _(spark, d):
     needed = view(spark, d, "fx_inventory").selectExpr(f"'{ROOT}' || folder || '/' as folder")
-    listed = remote(spark, d).where("folder like '%/run1%'")
-    return R.fetched_folders(needed, listed, 1_700_000_000_000)
+    return R.fetched_folders(needed, remote(spark, d), 1_700_000_000_000)
 
 
 @query("map_drives", cte("fx_inventory") + """,
-p AS (SELECT path, CASE k % 4 WHEN 0 THEN path WHEN 1 THEN 'p:' || chr(92) || replace(path[4:], '/', chr(92))
+p AS (SELECT path, CASE k % 4 WHEN 0 THEN path
+        WHEN 1 THEN chr(cast(112 + k % 7 as int)) || ':' || chr(92) || replace(path[4:], '/', chr(92))
         WHEN 2 THEN 'Z:/' || path[4:] ELSE chr(92) || chr(92) || 'srv/x' END AS local FROM fx_inventory)
-SELECT local AS local_path, CASE WHEN local LIKE 'p:%'
-    THEN chr(92) || chr(92) || 'nas' || chr(92) || 'share' || chr(92) || local[4:] ELSE local END AS mapped_path FROM p""")
+SELECT local AS local_path, CASE WHEN r_name IS NOT NULL
+    THEN chr(92) || chr(92) || 'nas' || chr(92) || r_name || chr(92) || local[4:] ELSE local END AS mapped_path
+FROM p LEFT JOIN region ON local[1:2] = chr(cast(112 + r_regionkey as int)) || ':'""")
 def _(spark, d):
-    local = F.expr(r"""case k % 4 when 0 then path when 1 then concat('p:', chr(92), replace(substr(path, 4), '/', chr(92)))
+    local = F.expr(r"""case k % 4 when 0 then path
+                       when 1 then concat(chr(112 + k % 7), ':', chr(92), replace(substr(path, 4), '/', chr(92)))
                        when 2 then concat('Z:/', substr(path, 4)) else concat(chr(92), chr(92), 'srv/x') end""")
-    # The mapping is read off the data: one share for the drive letter in use.
+    # One share for each region; two of the drive letters in use are mapped to none.
     rows = view(spark, d, "fx_inventory").withColumn("local_path", local)
     mapping = table(spark, d, "region").selectExpr(
-        "'P:' as drive", r"concat(chr(92), chr(92), 'nas', chr(92), 'share', chr(92)) as share")
+        "concat(chr(80 + r_regionkey), ':') as drive",
+        r"concat(chr(92), chr(92), 'nas', chr(92), r_name, chr(92)) as share")
     return R.map_drives(rows.select("local_path"), mapping, "local_path")
 
 
