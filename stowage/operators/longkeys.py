@@ -1,13 +1,21 @@
 """Order-dependent work over keys that may hold a large share of all rows.
 
-A plain window per key would put a hot key's rows into one task. Here each key is cut into chunks
-of its order (an hour of looks, a block of sequence numbers). Rows are shuffled once, by (key,
-chunk); what crosses a chunk border is carried by a second pass over one small row per chunk.
+A plain window per key would put a hot key's rows into one task. Windows (``mark_runs``) work on chunks
+of a key's order (an hour of looks, a block of sequence numbers), and what crosses a chunk border is
+carried by a second pass over one small row per chunk. Timers (``run_cycles``) work on parts of
+bounded size in the order of (key, time).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from stowage.plans.staging import stage
 
 HOUR_MS = 3_600_000
 SEQ_BLOCK = 65_536
@@ -83,101 +91,213 @@ def mark_runs(df: DataFrame, key: str, order: list[str], chunk: Column, value: C
 # What a row did to its cycle.
 START, FIRE, HOLD, CLEAR = "start", "fire", "hold", "clear"
 NOT_FORCED, FORCE_START, FORCE_CLEAR = 0, 1, 2
+_CODES = (HOLD, START, FIRE, CLEAR)
+
+
+class _Looks:
+    """Consecutive rows in order of (key, time): where a timer that starts at a row is next touched."""
+
+    def __init__(self, key: np.ndarray, time: np.ndarray, may_fire: np.ndarray, forced: np.ndarray, wait: int):
+        self.n, self.time, self.wait = len(time), time, wait
+        first = np.ones(self.n, bool)
+        first[1:] = key[1:] != key[:-1]
+        self.first = first
+        starts = np.flatnonzero(first)
+        number = np.cumsum(first) - 1
+        self.end = np.append(starts[1:], self.n)[number]
+        # Keys one after the other on one time line, further apart than any wait.
+        low = int(time.min()) if self.n else 0
+        self._span = (int(time.max()) - low if self.n else 0) + wait + 1
+        self._line = (time - low) + number * self._span
+        self._fires = np.flatnonzero(may_fire)
+        self._forced = np.flatnonzero(forced != NOT_FORCED)
+        self.forced = forced
+        self.touched = self._touched(np.arange(self.n), self._line)
+
+    def _touched(self, row: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """First later row of the key that fires a timer running since then, or is forced; else the key's end."""
+        at = np.maximum(np.searchsorted(self._line[self._fires], since + self.wait), np.searchsorted(self._fires, row, "right"))
+        fire = np.append(self._fires, self.n)[at]
+        force = np.append(self._forced, self.n)[np.searchsorted(self._forced, row, "right")]
+        return np.minimum(np.minimum(fire, force), self.end[np.maximum(row, 0)])
+
+    def touched_from(self, since: int) -> int:
+        """The same for a timer that the first key brings along."""
+        line = np.array([since - int(self.time[0]) + int(self._line[0])])
+        return int(self._touched(np.array([-1]), line)[0])
+
+
+def _replay(looks: _Looks, since: int | None, restart: bool) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Codes and timer starts of the rows (-1: none ran), and the timer of the last key after them."""
+    n, code, found = looks.n, np.zeros(looks.n, np.int8), np.full(looks.n, -1, np.int64)
+    time, forced, touched, first = looks.time.tolist(), looks.forced.tolist(), looks.touched.tolist(), looks.first.tolist()
+    at = 0
+    if since is not None and n:
+        at = looks.touched_from(since)
+        found[:at] = since
+    else:
+        since = None
+    while at < n:
+        if first[at] and at:
+            since = None
+        if since is not None:
+            found[at] = since
+        if forced[at] == FORCE_CLEAR:
+            code[at], since = 3, None
+        elif since is None or forced[at] == FORCE_START:
+            code[at], since = 1, time[at]
+        else:
+            code[at], since = 2, time[at] if restart else None
+        if since is None:
+            at += 1
+        else:
+            until = touched[at]
+            found[at + 1:until] = since
+            at = until
+    return code, found, since
+
+
+def _passage(looks: _Looks, restart: bool) -> tuple[int, list[int], list[int]]:
+    """What a whole part of one key makes of any timer it is entered with (-1: none).
+
+    The exit of one entered without a timer; then, for the rows that can be the first to touch a timer that
+    was brought along, their times and exits, one entry where the exit changes. A timer brought along is
+    touched by the first row that may fire at ``since + wait`` or later, or by the first forced row.
+    """
+    n, forced, time, touched = looks.n, looks.forced.tolist(), looks.time.tolist(), looks.touched.tolist()
+    started, idle = [-1] * n, [-1] * n
+    for i in range(n - 1, -1, -1):
+        if i + 1 < n:
+            idle[i] = idle[i + 1] if forced[i + 1] == FORCE_CLEAR else started[i + 1]
+        j = touched[i]
+        if j >= n:
+            started[i] = time[i]
+        elif forced[j] == FORCE_CLEAR or (forced[j] == NOT_FORCED and not restart):
+            started[i] = idle[j]
+        else:
+            started[i] = started[j]
+    fresh = idle[0] if forced[0] == FORCE_CLEAR else started[0]
+    stop = int(looks._forced[0]) if len(looks._forced) else n
+    able = looks._fires[looks._fires < stop]
+    # No timer that was brought along starts after the first row.
+    able = able[:int(np.searchsorted(looks.time[able], looks.time[0] + looks.wait)) + 1]
+    times = [time[i] for i in able.tolist()]
+    exits = [started[i] if restart else idle[i] for i in able.tolist()]
+    if stop < n:
+        times.append(2**62)
+        exits.append(idle[stop] if forced[stop] == FORCE_CLEAR else started[stop])
+    # Entry k serves timers due after the time before it, up to its own: only the last of equal exits is needed.
+    keep = [k for k in range(len(exits)) if k + 1 == len(exits) or exits[k + 1] != exits[k]]
+    return fresh, [times[k] for k in keep], [exits[k] for k in keep]
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    return (np.asarray(batch.column("_key")), np.asarray(batch.column("_t")), np.asarray(batch.column("_fires")),
+            np.asarray(batch.column("_forced")))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the part changes."""
+    for batch in batches:
+        part = np.asarray(batch.column("_part"))
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _entries(rows: DataFrame, wait_ms: int, restart: bool) -> dict[int, tuple[str, int]]:
+    """The timer that each part's first key brings along, where it began in a part before.
+
+    ``rows`` is dealt by part and sorted. Only parts in which a key goes on or goes through are looked at; what comes
+    to the driver is a few numbers for each.
+    """
+    ends = rows.groupBy("_part").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).orderBy("_part").collect()
+    carried = {b["_part"] for a, b in zip(ends, ends[1:], strict=False) if a["last"] == b["first"]}
+    through = {e["_part"] for e in ends if e["_part"] in carried and e["first"] == e["last"]}
+    before = {a["_part"]: b["_part"] for a, b in zip(ends, ends[1:], strict=False) if b["_part"] in carried}
+    if not carried:
+        return {}
+    wanted = sorted(set(before) | through)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            part = held[0].column("_part")[0].as_py()
+            key, time, fires, forced = _arrays(pa.Table.from_batches(held))
+            if part not in through:
+                last = key == key[-1]
+                key, time, fires, forced = key[last], time[last], fires[last], forced[last]
+            fresh, times, exits = _passage(_Looks(key, time, fires, forced, wait_ms), restart)
+            return pa.RecordBatch.from_pydict({"part": [part], "fresh": [fresh], "times": [times], "exits": [exits]}, pa.schema(
+                [("part", pa.int32()), ("fresh", pa.int64()), ("times", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))]))
+
+        for piece in _parts(batches):
+            if held and held[0].column("_part")[0] != piece.column("_part")[0]:
+                yield out()
+                held.clear()
+            held.append(piece)
+        if held:
+            yield out()
+
+    slim = rows.where(F.col("_part").isin(wanted)).select("_part", "_key", "_t", "_s", "_fires", "_forced")
+    found = _dealt(slim).drop("_s").mapInArrow(run, "part int, fresh bigint, times array<bigint>, exits array<bigint>")
+    maps = {r["part"]: r for r in found.collect()}
+    entries, since = {}, -1
+    for a, b in sorted(before.items()):
+        m = maps[a]
+        if a not in through or since < 0:
+            since = m["fresh"]
+        else:
+            hit = bisect.bisect_left(m["times"], since + wait_ms)
+            since = m["exits"][hit] if hit < len(m["exits"]) else since
+        if since >= 0:
+            entries[b] = since
+    return entries
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("_part").sortWithinPartitions("_part", "_key", "_t", "_s")
 
 
 def run_cycles(df: DataFrame, key: str, time_ms: str, seq: str, wait_ms: int, fires: Column,
-               forced: Column, restart: bool, width_ms: int = HOUR_MS,
-               chunk: Column | None = None) -> DataFrame:
+               forced: Column, restart: bool) -> DataFrame:
     """Replays a timer per key whose start depends on what it did before.
 
     A row starts the timer when none runs. A later row that may fire does so once ``wait_ms`` has
     passed; the timer then restarts at that row, or stops. A forced row starts or clears the timer
     whatever its state. Adds ``code`` and ``since``, the start of the timer as the row found it.
-    ``chunk`` names a column that already holds ``time_chunk(time_ms, width_ms)``; rows that are
-    partitioned by it are not shuffled again.
+    Times are not negative.
 
-    Such a chain has no window form. Each chunk is folded on its own for every start it could be
-    entered with (only rows within ``wait_ms`` of the chunk's begin make a difference); composing
-    those small maps per key gives each chunk's true entry, and the rows are then folded once.
+    Such a chain has no window form. The rows are range-partitioned by (key, time), so parts are bounded in
+    rows and a hot key goes through many of them. A part that a key goes through is cut down to its
+    exits (see ``_passage``); chaining those gives each part's entry, and all parts are then replayed at once,
+    batch by batch. No key's rows are ever held together.
     """
-    width_ms = max(width_ms, wait_ms)
-    payload = [c for c in df.columns if c not in (key, "chunk")]
-    none = F.lit(None).cast("bigint")
-    rows = (
-        df.withColumn("_chunk", time_chunk(time_ms, width_ms) if chunk is None else chunk)
-        .groupBy(key, "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col(time_ms).cast("bigint").alias("t"), F.col(seq).alias("s"),
-            fires.alias("fires"), forced.alias("forced"),
-            F.struct(*payload).alias("row")))).alias("_rows")))
-
-    def after_fire(r: Column) -> Column:
-        return r["t"] if restart else none
-
-    def step(s: Column, r: Column) -> Column:
-        return (F.when(r["forced"] == FORCE_CLEAR, none)
-                .when((r["forced"] == FORCE_START) | s.isNull(), r["t"])
-                .when(r["fires"] & (r["t"] - s >= wait_ms), after_fire(r))
-                .otherwise(s))
-
-    # The map of a chunk: its exit when entered idle, and per row that could fire first.
-    horizon = F.col("_chunk") * width_ms + wait_ms
-    first_forced = F.coalesce(F.array_min(F.transform(
-        F.col("_rows"), lambda r, i: F.when(r["forced"] != NOT_FORCED, i))), F.size("_rows"))
-    maps = (
-        rows.withColumn("_limit", first_forced)
-        .withColumn("_open", F.filter(
-            F.transform("_rows", lambda r, i: F.struct(
-                i.alias("i"), r["t"].alias("t"),
-                (r["fires"] & (i < F.col("_limit"))).alias("ok"))),
-            lambda c: c["ok"]))
-        .withColumn("_sure", F.array_min(F.transform(
-            F.filter("_open", lambda c: c["t"] >= horizon), lambda c: c["i"])))
-        .select(
-            key, "_chunk",
-            F.aggregate("_rows", none, step).alias("idle"),
-            (F.col("_limit") < F.size("_rows")).alias("reset"),
-            F.transform(
-                F.filter("_open", lambda c: F.col("_sure").isNull() | (c["i"] <= F.col("_sure"))),
-                lambda c: F.struct(c["t"].alias("t"), F.aggregate(
-                    F.slice("_rows", c["i"] + 2, F.size("_rows")),
-                    c["t"] if restart else none, step).alias("exit"))).alias("first")))
-
-    def leave(s: Column, m: Column) -> Column:
-        hit = F.filter(m["first"], lambda c: c["t"] >= s + wait_ms)
-        return (F.when(s.isNull(), m["idle"])
-                .when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1))["exit"])
-                .when(m["reset"], m["idle"])
-                .otherwise(s))
-
-    entry_type = "struct<s:bigint,entries:array<struct<_chunk:bigint,_entry:bigint>>>"
-    entries = (
-        maps.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_chunk", "idle", "reset", "first"))).alias("m"))
-        .select(key, F.explode(F.aggregate(
-            "m", F.struct(none.alias("s"), F.array().alias("entries")).cast(entry_type),
-            lambda a, m: F.struct(
-                leave(a["s"], m).alias("s"),
-                F.concat(a["entries"], F.array(F.struct(
-                    m["_chunk"].alias("_chunk"), a["s"].alias("_entry")))).alias("entries")),
-            lambda a: a["entries"])).alias("e"))
-        .select(key, "e._chunk", "e._entry"))
-
-    def code(s: Column, r: Column) -> Column:
-        return (F.when(r["forced"] == FORCE_CLEAR, CLEAR)
-                .when((r["forced"] == FORCE_START) | s.isNull(), START)
-                .when(r["fires"] & (r["t"] - s >= wait_ms), FIRE).otherwise(HOLD))
-
-    state_type = "struct<s:bigint,out:array<struct<code:string,since:bigint>>>"
-    folded = (
-        rows.join(entries, [key, "_chunk"])
-        .withColumn("_out", F.aggregate(
-            "_rows", F.struct(F.col("_entry").alias("s"), F.array().alias("out")).cast(state_type),
-            lambda a, r: F.struct(
-                step(a["s"], r).alias("s"),
-                F.concat(a["out"], F.array(F.struct(
-                    code(a["s"], r).alias("code"), a["s"].alias("since")))).alias("out")),
-            lambda a: a["out"]))
-        .select(key, F.explode(F.arrays_zip("_rows", "_out")).alias("z")))
-    return folded.select(key, *[F.col(f"z._rows.row.{c}").alias(c) for c in payload],
-                         "z._out.code", "z._out.since")
+    names = [c for c in df.columns if c != "chunk"]
+    rows = df.select(*names, F.col(key).cast("string").alias("_key"), F.col(time_ms).cast("bigint").alias("_t"),
+                     F.col(seq).cast("bigint").alias("_s"), F.coalesce(fires, F.lit(False)).alias("_fires"),
+                     forced.cast("int").alias("_forced"))
+    rows = stage(rows.repartitionByRange("_key", "_t", "_s").withColumn("_part", F.spark_partition_id()), "cycles")
+    entries = _entries(rows, wait_ms, restart)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = last = since = None
+        for piece in _parts(batches):
+            now = piece.column("_part")[0].as_py()
+            arrays = _arrays(piece)
+            if now != part:
+                since = entries.get(now)
+            elif arrays[0][0] != last:
+                since = None
+            looks = _Looks(*arrays, wait_ms)
+            code, found, since = _replay(looks, since, restart)
+            part, last = now, arrays[0][-1]
+            told = pa.DictionaryArray.from_arrays(pa.array(code), pa.array(_CODES)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), told, pa.array(found, mask=found < 0)],
+                                             [*names, "code", "since"])
+
+    schema = T.StructType([*rows.select(*names).schema, T.StructField("code", T.StringType()),
+                           T.StructField("since", T.LongType())])
+    return _dealt(rows).mapInArrow(run, schema)

@@ -39,14 +39,12 @@ def stability_islands(observations: DataFrame, width_ms: int = HOUR_MS) -> DataF
 def readiness(observations: DataFrame, quiet_ms: int = QUIET_PERIOD_MS,
               width_ms: int = HOUR_MS) -> DataFrame:
     """The verdict of every look, exactly as a tracker that sees them one by one would give it."""
-    width_ms = max(width_ms, quiet_ms)
     seen = _sighted(observations, width_ms).drop("run", "run_start", "position")
     changed = F.col("previous").isNotNull() & (F.col("previous") != F.col("length"))
     forced = (F.when(F.col("probe").isin(*_GONE), FORCE_CLEAR)
               .when(changed, FORCE_START).otherwise(NOT_FORCED))
     cycled = run_cycles(seen, "path_key", "observed_ms", "seq", quiet_ms,
-                        F.col("probe") != R.LOCKED, forced, restart=False, width_ms=width_ms,
-                        chunk=F.col("chunk"))
+                        F.col("probe") != R.LOCKED, forced, restart=False)
     code, since = F.col("code"), F.col("since")
     reason = (F.when(code == CLEAR, F.col("probe"))
               .when((code == START) & since.isNull(), R.SETTLING)
@@ -102,18 +100,16 @@ def gate_bounded(observations: DataFrame, deadline_ms: int, quiet_ms: int = QUIE
         state["observed_ms"].alias("observed_ms"))
 
 
-def suppress_repeats(notices: DataFrame, window_ms: int = SUPPRESSION_WINDOW_MS,
-                     width_ms: int = HOUR_MS) -> DataFrame:
+def suppress_repeats(notices: DataFrame, window_ms: int = SUPPRESSION_WINDOW_MS) -> DataFrame:
     """Drops a notice that comes within the window of the last notice of its path that passed."""
     cycled = run_cycles(keyed(notices, "path"), "path_key", "ts_ms", "seq", window_ms, F.lit(True),
-                        F.lit(NOT_FORCED), restart=True, width_ms=width_ms)
+                        F.lit(NOT_FORCED), restart=True)
     return cycled.where(F.col("code").isin(START, FIRE)).select(*notices.columns)
 
 
-def thin_progress(progress: DataFrame, interval_ms: int = PROGRESS_INTERVAL_MS,
-                  width_ms: int = HOUR_MS) -> DataFrame:
+def thin_progress(progress: DataFrame, interval_ms: int = PROGRESS_INTERVAL_MS) -> DataFrame:
     """Keeps one report per interval since the last one kept, and always the final one."""
     final = F.when(F.col("bytes") >= F.col("total"), FORCE_START).otherwise(NOT_FORCED)
     cycled = run_cycles(keyed(progress, "local_path"), "path_key", "ts_ms", "seq", interval_ms,
-                        F.lit(True), final, restart=True, width_ms=width_ms)
+                        F.lit(True), final, restart=True)
     return cycled.where(F.col("code").isin(START, FIRE)).select(*progress.columns)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.operators import readiness as R
+from stowage.operators import longkeys as K, readiness as R
 from stowage.operators.longkeys import mark_runs, time_chunk
 from stowage.operators.progress import grid_rows, stalled, trim_finished
 from stowage.schema import Readiness as X
@@ -76,8 +77,8 @@ def test_forty_five_minutes_of_holding_release_once(rows):
     assert got.count(X.READY) == 1 and got[-1] == X.READY
 
 
-@pytest.mark.parametrize("seed, window, width", [(1, 1000, 1000), (2, 1000, 7000), (3, 250, 10**9)])
-def test_suppressed_and_thinned_match_the_loop(rows, seed, window, width):
+@pytest.mark.parametrize("seed, window", [(1, 1000), (2, 5000), (3, 250)])
+def test_suppressed_and_thinned_match_the_loop(rows, seed, window):
     rng, now, data = random.Random(seed), 0, []
     for seq in range(900):
         now += rng.choice([0, 50, 200, 400, 900, 2500])
@@ -91,12 +92,12 @@ def test_suppressed_and_thinned_match_the_loop(rows, seed, window, width):
             thin_last[path] = ts
             thin_kept.append(seq)
     frame = rows("path string, kind string, is_dir boolean, ts_ms bigint, seq bigint", *data)
-    got = R.suppress_repeats(frame, window, width)
+    got = R.suppress_repeats(frame, window)
     assert sorted(r.seq for r in got.select("seq").collect()) == kept
     reports = frame.select(F.col("path").alias("local_path"), "ts_ms", "seq",
                            F.when(F.col("seq") % 50 == 0, 10).otherwise(1).alias("bytes"),
                            F.lit(10).alias("total"))
-    thinned = R.thin_progress(reports, window, width)
+    thinned = R.thin_progress(reports, window)
     assert sorted(r.seq for r in thinned.select("seq").collect()) == thin_kept
 
 
@@ -166,3 +167,41 @@ def test_stalled(rows):
                ("c", 4, 9, 4, 0)]
     got = stalled(rows(PROGRESS, *reports), 130_000).collect()
     assert [(r.local_path, r.last_change_ms, r.idle_ms) for r in got] == [("a", 0, 130_000)]
+
+
+def replayed(rows, wait, restart):
+    """(code, since) of rows (key, t, fires, forced) in order, one by one."""
+    out, last, since = [], None, None
+    for key, t, fires, forced in rows:
+        since, last = (since if key == last else None), key
+        found = since
+        if forced == K.FORCE_CLEAR:
+            code, since = K.CLEAR, None
+        elif forced == K.FORCE_START or since is None:
+            code, since = K.START, t
+        elif fires and t - since >= wait:
+            code, since = K.FIRE, t if restart else None
+        else:
+            code = K.HOLD
+        out.append((code, found))
+    return out
+
+
+@pytest.mark.parametrize("restart", [True, False])
+@pytest.mark.parametrize("hot", [True, False])
+def test_timers_across_parts(spark, restart, hot):
+    rng = random.Random(hot * 2 + restart)
+    keys = ["hot"] * 1500 if hot else [f"k{rng.randint(0, 12):02}" for _ in range(1500)]
+    rows = sorted((key, rng.randint(0, 6000), i, rng.random() < 0.8, rng.choice((0,) * 40 + (1, 2))) for i, key in enumerate(keys))
+    want = replayed([(k, t, f, g) for k, t, _, f, g in rows], 25, restart)
+    frame = spark.createDataFrame(rows, "key string, t bigint, seq bigint, fires boolean, forced int")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        done = K.run_cycles(frame, "key", "t", "seq", 25, F.col("fires"), F.col("forced"), restart).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(r.code, r.since) for r in sorted(done, key=lambda r: (r.key, r.t, r.seq))] == want
+    assert "collect_list" not in inspect.getsource(K)
