@@ -8,14 +8,13 @@ no folder that is being read is ever overwritten. With a catalog that supports M
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.functions.paths import path_key
 from stowage.operators.ledger import ledger_fold
 from stowage.operators.sweep import keyed
 from stowage.schema import LEDGER
+from stowage.sinks.folders import finished
 
 _COLUMNS = [f.name for f in LEDGER.fields]
 # Each stored row also says which change it was last touched by, so that a late one cannot undo it.
@@ -29,18 +28,7 @@ class LedgerStore:
         self.path = path.rstrip("/")
 
     def _finished(self, folder: str, pattern: str) -> list[tuple[list[int], str]]:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(where):
-            return []
-        found = []
-        for status in system.listStatus(where):
-            match = re.fullmatch(pattern, status.getPath().getName())
-            marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if match and system.exists(marker):
-                found.append(([int(g) for g in match.groups()], status.getPath().toString()))
-        return sorted(found)
+        return finished(self.spark, f"{self.path}/{folder}", pattern)
 
     def _newest(self) -> tuple[int, int, str | None]:
         """Number, last batch included and folder of the newest whole version."""

@@ -40,13 +40,12 @@ class PassFirst(StatefulProcessor):
 
 
 def stream_notices(notices: DataFrame, window_ms: int = SUPPRESSION_WINDOW_MS,
-                   keep_ms: int | None = None) -> DataFrame:
+                   keep_ms: int | None = 0) -> DataFrame:
     """Lets a notice pass unless its path's last passed notice is within the window.
 
-    ``keep_ms`` is how long, by the clock, the state of a path outlives its last notice (at least
-    four windows); set it on a stream that stays open, so that paths which are never heard of
-    again cost nothing. A stream with such a clock has always another batch to run, so a replay
-    that is to end by itself leaves it out.
+    The state of a path outlives its last notice by ``keep_ms`` by the clock, four windows at least, so
+    paths that are never heard of again cost nothing. A stream with such a clock has always another
+    batch to run: a replay that is to end by itself passes None and keeps all state.
     """
     keep = None if keep_ms is None else max(4 * window_ms, keep_ms)
     return (notices.select("path", "kind", "ts_ms", "seq",

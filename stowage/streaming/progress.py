@@ -1,44 +1,59 @@
-"""Following progress: the newest report per file, kept as a table."""
+"""Following progress: the newest report per file, kept as a table, with totals after each batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from stowage.functions.paths import path_key
 from stowage.operators.progress import describe_totals, latest_progress, transfer_totals
 from stowage.schema import PROGRESS
+from stowage.sinks.folders import finished
+
+#: Batches after which the table is folded into one row per file again.
+FOLD_EVERY = 16
 
 
 class ProgressTable:
-    """Changed rows of each batch below ``path``; reading takes the newest per file."""
+    """Newest rows of each batch below ``path``/batches, folded now and then to ``path``/folded.
+
+    Reading takes the last fold and the batches since, so at most ``FOLD_EVERY`` of them whatever the
+    stream's age. Folders are written whole under the batch's number: a retry changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
+    def _folders(self, kind: str) -> list[tuple[int, str]]:
+        return [(numbers[0], where) for numbers, where in finished(self.spark, f"{self.path}/{kind}", r"upto=(\d+)")]
+
     def store(self, batch: DataFrame, batch_id: int) -> None:
-        """Writing the same batch again replaces it, so a retry changes nothing."""
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        """Keeps the batch's newest row per file, then the totals over all files so far."""
+        latest_progress(batch).write.mode("overwrite").parquet(f"{self.path}/batches/upto={batch_id}")
+        folds = self._folders("folded")
+        since = folds[-1][0] if folds else -1
+        if len([n for n, _ in self._folders("batches") if n > since]) >= FOLD_EVERY:
+            self.latest().write.mode("overwrite").parquet(f"{self.path}/folded/upto={batch_id}")
+        describe_totals(transfer_totals(self.latest())).write.mode("overwrite").parquet(
+            f"{self.path}/totals/upto={batch_id}")
 
     def latest(self) -> DataFrame:
-        return latest_progress(self.spark.read.schema(PROGRESS).parquet(self.path).drop("batch"))
+        """The newest report of every file; a late report changes nothing, since ``seq`` decides."""
+        folds = self._folders("folded")[-1:]
+        since = folds[0][0] if folds else -1
+        wanted = [at for _, at in folds] + [at for n, at in self._folders("batches") if n > since]
+        if not wanted:
+            return self.spark.createDataFrame([], PROGRESS)
+        return latest_progress(self.spark.read.schema(PROGRESS).parquet(*wanted))
 
     def totals(self) -> DataFrame:
-        return describe_totals(transfer_totals(self.latest()))
-
-
-def latest_stream(progress: DataFrame) -> DataFrame:
-    """The newest report of every path that a batch touched (update mode)."""
-    return (progress.groupBy(path_key(F.col("local_path")).alias("path_key"))
-            .agg(F.max_by(F.struct(*[f.name for f in PROGRESS.fields]), "seq").alias("r"))
-            .select("r.*"))
+        """The totals stored with the last batch."""
+        stored = self._folders("totals")
+        if not stored:
+            return describe_totals(transfer_totals(self.latest()))
+        return self.spark.read.parquet(stored[-1][1])
 
 
 def stream_progress(progress: DataFrame, table: ProgressTable, checkpoint: str) -> DataStreamWriter:
-    """A writer that keeps ``table`` current; set its trigger and start it.
-
-    A late report changes nothing: the state per path compares ``seq``, not arrival.
-    """
-    return (latest_stream(progress).writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint).foreachBatch(table.store))
+    """A writer that keeps ``table`` current; set its trigger and start it. The stream itself keeps no state."""
+    return (progress.writeStream.option("checkpointLocation", checkpoint).foreachBatch(table.store))

@@ -20,12 +20,14 @@ _OUT = ("path string, observed_ms bigint, seq bigint, reason int, length bigint,
 class Gate(StatefulProcessor):
     """Per path: the length being watched, since when, and the locked looks in a row."""
 
-    def __init__(self, quiet_ms: int, max_checks: int):
+    def __init__(self, quiet_ms: int, max_checks: int, keep_ms: int | None = None):
         self.quiet_ms = quiet_ms
         self.max_checks = max_checks
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.watch = handle.getValueState("watch", "length bigint, since bigint, locked int")
+        self.watch = handle.getValueState("watch", "length bigint, since bigint, locked int",
+                                          ttlDurationMs=self.keep_ms)
 
     def _look(self, state, length: int, probe: int, now: int):
         """(reason, previous length, quiet time, state after)."""
@@ -69,16 +71,23 @@ class Gate(StatefulProcessor):
         pass
 
 
+KEEP_MS = 24 * 3_600_000
+
+
 def stream_readiness(observations: DataFrame, quiet_ms: int = QUIET_PERIOD_MS,
-                     max_checks: int = MAX_LOCKED_CHECKS) -> DataFrame:
+                     max_checks: int = MAX_LOCKED_CHECKS, keep_ms: int | None = KEEP_MS) -> DataFrame:
     """One gate report per look. ``still_watching`` turns false when a file is released, gone,
-    unreadable or handed back to the sweep after too many locked looks."""
+    unreadable or handed back to the sweep after too many locked looks.
+
+    A file that nobody looks at for ``keep_ms`` by the clock is forgotten: the next sweep offers it
+    anew. A replay that is to end by itself passes None (see ``stream_notices``).
+    """
     reports = (observations.select("path", "length", "probe", "observed_ms", "seq",
                                    path_key(F.col("path")).alias("path_key"))
                .groupBy("path_key")
                .transformWithStateInPandas(
-                   Gate(quiet_ms, max_checks), outputStructType=_OUT, outputMode="Append",
-                   timeMode="None"))
+                   Gate(quiet_ms, max_checks, keep_ms), outputStructType=_OUT, outputMode="Append",
+                   timeMode="None" if keep_ms is None else "ProcessingTime"))
     detail = F.when(F.col("handed_back"), still_in_use_detail(F.col("path"), F.col("checks"))
                     ).otherwise(readiness_detail(
                         F.col("reason"), F.col("path"), F.col("length"), F.col("previous"),

@@ -12,7 +12,7 @@ from stowage.schema import LEDGER, NOTICES, OBSERVATIONS, PROGRESS
 from stowage.sinks.ledger_store import LedgerStore
 from stowage.streaming.ledger import stream_ledger
 from stowage.streaming.notices import stream_notices
-from stowage.streaming.progress import ProgressTable, stream_progress
+from stowage.streaming.progress import FOLD_EVERY, ProgressTable, stream_progress
 from stowage.streaming.readiness import stream_readiness
 from stowage.streaming.stalls import stream_stalled
 from stowage.streaming.sweeps import overflow_resweep
@@ -48,7 +48,7 @@ def collect(stream, spark, tmp_path):
 
 def test_readiness_stream(spark, rows, landed, tmp_path):
     looks = rows(LOOKS, *random_looks(7, 90, 3, 4_000))
-    got = collect(stream_readiness(landed(looks, OBSERVATIONS, "seq"), 10_000, 10**6), spark, tmp_path)
+    got = collect(stream_readiness(landed(looks, OBSERVATIONS, "seq"), 10_000, 10**6, None), spark, tmp_path)
     batch = R.readiness(looks, 10_000, 10_000)
     assert sorted((r.seq, r.reason) for r in got.collect()) == sorted(
         (r.seq, r.reason) for r in batch.collect())
@@ -57,7 +57,7 @@ def test_readiness_stream(spark, rows, landed, tmp_path):
 
 def test_held_file_is_handed_back(spark, rows, landed, tmp_path):
     looks = rows(LOOKS, *[("Run.raw", 5, 2, i * 1_000, i) for i in range(7)])
-    got = collect(stream_readiness(landed(looks, OBSERVATIONS, "seq"), 10_000, 3), spark, tmp_path)
+    got = collect(stream_readiness(landed(looks, OBSERVATIONS, "seq"), 10_000, 3, None), spark, tmp_path)
     seen = {r.seq: r for r in got.collect()}
     assert [s for s, r in sorted(seen.items()) if not r.still_watching] == [4]
     assert "for all of the last 3 checks" in seen[4].detail and seen[5].reason == 4
@@ -66,7 +66,7 @@ def test_held_file_is_handed_back(spark, rows, landed, tmp_path):
 def test_notices_stream(spark, rows, landed, tmp_path):
     data = [("a", "changed", False, t, s) for s, t in enumerate([0, 500, 999, 1000, 1500, 2100, 9000])]
     frame = rows("path string, kind string, is_dir boolean, ts_ms bigint, seq bigint", *data)
-    got = collect(stream_notices(landed(frame, NOTICES, "seq")), spark, tmp_path)
+    got = collect(stream_notices(landed(frame, NOTICES, "seq"), keep_ms=None), spark, tmp_path)
     assert sorted(r.ts_ms for r in got.collect()) == [0, 1000, 2100, 9000]
 
 
@@ -89,6 +89,17 @@ def test_progress_stream_ignores_late_reports(spark, rows, landed, tmp_path):
     assert table.totals().first().summary.startswith("1 active")
 
 
+def test_progress_table_folds_its_batches(spark, rows, tmp_path):
+    table = ProgressTable(spark, str(tmp_path / "table"))
+    for batch in range(FOLD_EVERY + 2):
+        table.store(reports(rows, ("A", 2, batch, batch, batch), (f"f{batch}", 4, 1, batch, batch)), batch)
+    assert len(table._folders("folded")) == 1
+    assert {(r.local_path, r.bytes) for r in table.latest().collect()} == {
+        ("A", FOLD_EVERY + 1), *((f"f{n}", 1) for n in range(FOLD_EVERY + 2))}
+    table.store(reports(rows, ("A", 2, 0, 0, 0)), FOLD_EVERY + 2)
+    assert table.latest().where("local_path = 'A'").first().bytes == FOLD_EVERY + 1
+
+
 def test_ledger_stream_counts_started_uploads(spark, rows, landed, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "store"))
     store.commit(spark.createDataFrame(

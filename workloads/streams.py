@@ -42,7 +42,7 @@ def replay(rows: DataFrame, label: str) -> DataFrame:
 SELECT path, kind, ts_ms, seq FROM fx_notices WHERE seq IN (SELECT seq FROM walk WHERE passes)""")
 def _(spark, d):
     rows = stream(spark, d, "events").selectExpr(*expressions("fx_notices"))
-    return replay(stream_notices(rows, QUIET_MS), "notices")
+    return replay(stream_notices(rows, QUIET_MS, keep_ms=None), "notices")
 
 
 @query("stream_source_notices", cte("fx_notices") + """
@@ -58,7 +58,7 @@ SELECT path, observed_ms, seq, CASE WHEN probe IN (1, 5) THEN 0 ELSE length END
   quiet_ms, reason IN (2, 3, 4) AS still_watching FROM gate""")
 def _(spark, d):
     rows = stream(spark, d, "events").selectExpr(*expressions("fx_observations"))
-    out = replay(stream_readiness(rows, QUIET_MS, max_checks=1_000_000), "readiness")
+    out = replay(stream_readiness(rows, QUIET_MS, max_checks=1_000_000, keep_ms=None), "readiness")
     return out.select("path", "observed_ms", "seq", "length", "reason", "quiet_ms",
                       "still_watching")
 
