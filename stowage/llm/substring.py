@@ -149,10 +149,24 @@ def symbol_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         run, "symbol long, doc long")
 
 
-def window_rows(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc, at) of the windows that are looked up by one of the document's ``shared`` symbols.
-
-    Two hashes of all the words, of 96 bits together, stand for a window.
+def progressions(row: np.ndarray, value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of equal values of one row as (index of the first, step, count); runs and periods take one entry each."""
+    order = np.lexsort((at, value, row))
+    row, value, at = row[order], value[order], at[order]
+    same, gap = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+    same[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+    gap[1:] = at[1:] - at[:-1]
+    opens = ~same
+    opens[1:] |= same[:-1] & (gap[1:] != gap[:-1])
+    first = np.flatnonzero(opens)
+    count = np.diff(np.append(first, len(at)))
+    return order[first], np.where(count > 1, gap[np.minimum(first + 1, len(at) - 1)], 0), count
+
+
+def window_rows(docs: DataFrame, symbols: str) -> DataFrame:
+    """(h1, h2, doc, at, step, n) of the windows looked up by one of the symbols in an array column.
+
+    Two hashes of all the words, of 96 bits together, stand for a window; ``n`` equal ones start ``step`` words apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +175,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 words = cut(part.column("text"))
                 starts, symbol = anchors(words)
                 keep = np.zeros(len(symbol), bool)
-                shared = part.column("shared")
+                shared = part.column("symbols")
                 for row, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                     found = shared[row].values
                     if found is not None:
@@ -169,12 +183,17 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(starts & keep)
                 one = rolling(words.hash, WINDOW)[at]
                 two = rolling(mix(words.hash + np.uint64(11)), WINDOW)[at]
+                row = words.row[at]
+                first, step, n = progressions(row, one, at)
+                at, row, one, two = at[first], row[first], one[first], two[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                     part.column("doc").take(pa.array(words.row[at])),
-                     pa.array((at - words.first[words.row[at]]).astype(np.int32))], ["h1", "h2", "doc", "at"])
+                     part.column("doc").take(pa.array(row)), pa.array((at - words.first[row]).astype(np.int32)),
+                     pa.array(step.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["h1", "h2", "doc", "at", "step", "n"])
 
-    return docs.select("doc", "text", "shared").mapInArrow(run, "h1 long, h2 int, doc long, at int")
+    return docs.select("doc", "text", F.col(symbols).alias("symbols")).mapInArrow(
+        run, "h1 long, h2 int, doc long, at int, step int, n int")
 
 
 KEPT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -197,14 +216,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     symbols = stage(symbol_rows(named, "doc", "text"), "symbols").join(copies, "doc", "left_anti")
     shared = symbols.groupBy("symbol").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y")
-    by_doc = symbols.join(shared.select("symbol"), "symbol").groupBy("doc").agg(F.collect_set("symbol").alias("shared"))
-    windows = window_rows(named.join(stage(by_doc, "shared"), "doc"))
-    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeated = windows.join(least.drop("last"), ["h1", "h2"]).where("doc > first")
-    places = repeated.groupBy("doc").agg(F.collect_set("at").alias("places"))
-    marks = stage(places.select("doc", "places", F.lit(False).alias("copy")).unionByName(
-        copies.select("doc", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))), "marks")
-    out = _cut_out(plain.join(marks, "doc", "left"))
+    # No window goes from the first document of its symbol: it only shows others that theirs occurred before.
+    by_doc = stage(symbols.join(shared.select("symbol", "x"), "symbol").groupBy("doc").agg(
+        F.collect_set("symbol").alias("shared"),
+        F.collect_set(F.when(F.col("doc") > F.col("x"), F.col("symbol"))).alias("later")), "shared")
+    marked = named.join(by_doc, "doc")
+    least = window_rows(marked, "shared").groupBy("h1", "h2").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    repeated = window_rows(marked, "later").join(least, ["h1", "h2"]).where("doc > first")
+    places = repeated.groupBy("doc").agg(F.collect_set(F.struct("at", "step", "n")).alias("places"))
+    empty = F.lit(None).cast("array<struct<at:int,step:int,n:int>>")
+    marks = places.select("doc", "places", F.lit(False).alias("copy")).unionByName(
+        copies.select("doc", empty.alias("places"), F.lit(True).alias("copy")))
+    # All three uses of the named texts share one exchange by id.
+    out = _cut_out(named.join(marks, "doc", "left")).unionByName(_cut_out(
+        plain.where("doc IS NULL").select("doc", "text", empty.alias("places"), F.lit(False).alias("copy"))))
     return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "n_words", "n_removed", "kept_sha256",
                       *(["kept_text"] if with_text else []))
 
@@ -221,7 +247,9 @@ def _cut_out(marked: DataFrame) -> DataFrame:
                     if copy.as_py() and len(words) >= WINDOW:
                         kept = []
                     elif places.values is not None:
-                        at = np.asarray(places.values)
+                        at, step, n = (places.values.field(f).to_numpy().astype(np.int64) for f in ("at", "step", "n"))
+                        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        at = np.repeat(at, n) + nth * np.repeat(step, n)
                         change = np.zeros(len(words) + 1, np.int32)
                         np.add.at(change, at, 1)
                         np.add.at(change, at + WINDOW, -1)
