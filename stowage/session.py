@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole documents: a batch of them has to fit beside the others of an executor.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     # Of two field names that differ only in case the later one counts.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
