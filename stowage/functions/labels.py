@@ -145,6 +145,7 @@ def describe_progress(state: Column, phase: Column, sent: Column, total: Column,
 def readiness_detail(reason: Column, path: Column, length: Column, previous_length: Column,
                      quiet_ms: Column, required_ms: Column, error: Column) -> Column:
     """One sentence per readiness reason."""
+    # The sentences are shown to the user.
     name = F.concat(F.lit("'"), file_name(path), F.lit("'"))
 
     def seconds(ms: Column) -> Column:
@@ -167,6 +168,7 @@ def readiness_detail(reason: Column, path: Column, length: Column, previous_leng
 
 
 def still_in_use_detail(path: Column, checks: Column) -> Column:
+    # The sentences are shown to the user.
     return F.concat(
         F.lit("'"), file_name(path),
         F.lit("' has been open in another program for all of the last "), checks.cast("string"),

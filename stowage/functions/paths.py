@@ -176,6 +176,7 @@ def _verdict(reason: str, message: Column | None) -> Column:
 
 def validate_segment(segment: Column) -> Column:
     """STRUCT<reason, message>; the first rule that fails decides."""
+    # The sentences are shown to the user.
     quoted = F.concat(F.lit("'"), segment, F.lit("'"))
     # UTF-16 units, not code points.
     units = (F.length(F.encode(segment, "UTF-16BE")) / 2).cast("int")

@@ -88,6 +88,7 @@ def is_transient(status: Column) -> Column:
 
 def failure_message(status: Column, method: Column, name: Column, phrase: Column) -> Column:
     """The sentence shown for a failed request."""
+    # The sentences are shown to the user.
     quoted = F.concat(F.lit("'"), name, F.lit("'"))
     code = status.cast("string")
     return (
@@ -133,7 +134,8 @@ def parse_server_time(text: Column) -> Column:
 
     Nothing depends on the session's zone or on today's date: a time of day alone is no time.
     """
-    iso = F.when(text.rlike(_ISO + _OFFSET), text).when(text.rlike(_ISO + "$"), F.concat(text, F.lit("Z")))
+    full = F.regexp_replace(text, r"^(.{16})(?!:)", "$1:00")
+    iso = F.when(text.rlike(_ISO + _OFFSET), full).when(text.rlike(_ISO + "$"), F.concat(full, F.lit("Z")))
     day = F.concat(F.regexp_extract(text, _RFC_1123, 1), F.lit(" +00:00"))
     return F.coalesce(F.try_to_timestamp(iso), F.when(
         text.rlike(_RFC_1123), F.try_to_timestamp(day, F.lit("dd MMM yyyy HH:mm:ss XXX"))))

@@ -58,6 +58,7 @@ def remote_is_ours(ledger_remote: Column, ledger_md5: Column, destination: Colum
 
 def conflict_policy(policy: Column) -> dict[str, Column]:
     """Action and reason suffix of a clash, and whether the remote hash is kept."""
+    # The sentences are shown to the user.
     return {
         "action": F.when(policy == ConflictPolicy.SKIP, "Skip")
         .when(policy == ConflictPolicy.OVERWRITE, "Upload").otherwise("Conflict"),
@@ -121,6 +122,7 @@ def _outcome(action: Column, tier: Column, reason: Column, remote_hash: Column,
 
 def cheap_decisions(classified: DataFrame, policy: Column) -> DataFrame:
     """The decisions of the files that tiers 0 and 1 settle."""
+    # The sentences are shown to the user.
     step = F.col("step")
     clash = conflict_policy(policy)
     action = (F.when(step == BY_LEDGER, "Skip")

@@ -90,6 +90,7 @@ def run_summary(outcomes: DataFrame, elapsed_seconds: float,
     rate = (F.round(F.col("bytes_sent") / F.lit(float(elapsed_seconds)), 6)
             if elapsed_seconds > 0 else F.lit(0.0))
     whole_seconds = int(elapsed_seconds + 0.5)
+    # The sentences are shown to the user.
     text = F.concat_ws(", ", *[
         F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {words}")))
         for name, words in (("uploaded", "uploaded"), ("skipped", "already there"),

@@ -31,6 +31,7 @@ def remote_catalog(entries: DataFrame) -> DataFrame:
 
 def writable_folders(entries: DataFrame) -> DataFrame:
     """The folders a person may choose from, each with a hint on whether it takes uploads."""
+    # The sentences are shown to the user.
     can = F.col("permissions.can_upload")
     return (entries.where(F.col("is_collection") & ~F.col("name").startswith("."))
             .select("folder", "name", can.alias("can_upload"),
@@ -68,6 +69,7 @@ def folder_hash_count(entries: DataFrame, hashes: DataFrame) -> DataFrame:
 def destination_writable(destinations: DataFrame, entries: DataFrame,
                          server_allows_put: bool = True) -> DataFrame:
     """Looks each destination (destination, parent, name) up in its parent's listing."""
+    # The sentences are shown to the user.
     known = entries.where("is_collection").select(
         F.col("folder").alias("parent"), "name",
         F.col("permissions.can_upload").alias("can_upload"), F.lit(True).alias("found"))

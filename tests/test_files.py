@@ -185,9 +185,9 @@ HASH = "d41d8cd98f00b204e9800998ecf8427e"
 
 def test_manifests(spark, tmp_path):
     docs = lambda *values: spark.createDataFrame([("f", v) for v in values], "folder string, value string")
-    body = f"\r\n{HASH.upper()} *run 1.raw\r\n{HASH}  b*c\n\n{'0' * 32} *run 1.raw\n"
+    body = f"\r\n{HASH.upper()} *low tide.bin\r\n{HASH}  b*c\n\n{'0' * 32} *low tide.bin\n"
     got = {r.name: r.md5 for r in manifests.parse_md5_manifest(docs(body)).collect()}
-    assert got == {"run 1.raw": "0" * 32, "b*c": HASH}
+    assert got == {"low tide.bin": "0" * 32, "b*c": HASH}
     assert manifests.parse_md5_single(docs(body)).first().md5 == HASH
     assert manifests.parse_md5_single(docs("\n\r\n")).first().md5 is None
     for bad in ("<html>", HASH + " *", HASH[:-1] + " *x", HASH + "-*x"):
@@ -205,30 +205,30 @@ def test_manifests(spark, tmp_path):
 
 def test_manifest_diff(spark):
     book = "folder string, name string, md5 string"
-    expected = spark.createDataFrame([("f", "run1", "a"), ("f", "run2", "b"), ("f", "c", "x")], book)
-    actual = spark.createDataFrame([("f", "run1", "A"), ("f", "RUN2", "b"), ("f", "c", "y")], book)
+    expected = spark.createDataFrame([("f", "ebb", "a"), ("f", "flow", "b"), ("f", "c", "x")], book)
+    actual = spark.createDataFrame([("f", "ebb", "A"), ("f", "FLOW", "b"), ("f", "c", "y")], book)
     assert {r.name: r.status for r in R.manifest_diff(expected, actual).collect()} == {
-        "run1": "match", "run2": "missing", "RUN2": "extra", "c": "changed"}
-    assert [r.name for r in R.name_except(expected, actual).collect()] == ["run2"]
+        "ebb": "match", "flow": "missing", "FLOW": "extra", "c": "changed"}
+    assert [r.name for r in R.name_except(expected, actual).collect()] == ["flow"]
 
 
 def test_listings(spark, tmp_path):
-    body = ('{"FILES":[{"text":"read only","collection":true,"canread":true,"options":"OPTIONS, get"},'
-            '{"Text":"run,]x.raw","leaf":true,"contentlength":"8185763","canUpload":true,'
-            '"options":"PUT, move ","lastmodified":"2013-02-01T05:07:39-01:00"},'
+    body = ('{"FILES":[{"text":"dry dock","collection":true,"canread":true,"options":"OPTIONS, get"},'
+            '{"Text":"ebb,]2.bin","leaf":true,"contentlength":"40961","canUpload":true,'
+            '"options":"PUT, move ","lastmodified":"2031-07-09T03:04:05-02:00"},'
             '{"text":"","size":1},{"text":"f","leaf":false,"creationdate":"bad","size":7},]}')
     (tmp_path / "%40lab.json").write_text(body)
     (tmp_path / "login.json").write_text("<html>")
     (tmp_path / "empty.json").write_text("{}")
     parsed = listings.read_listing_json(spark, str(tmp_path))
     got = {r.name: r for r in listings.listing_entries(parsed).collect()}
-    assert set(got) == {"read only", "run,]x.raw", "f"}
-    run = got["run,]x.raw"]
-    assert (run.length, run.is_collection, run.folder) == (8185763, False, "/%40lab/")
-    assert run.path == "/%40lab/run%2C%5Dx.raw" and run.last_modified.hour == 6
+    assert set(got) == {"dry dock", "ebb,]2.bin", "f"}
+    run = got["ebb,]2.bin"]
+    assert (run.length, run.is_collection, run.folder) == (40961, False, "/%40lab/")
+    assert run.path == "/%40lab/ebb%2C%5D2.bin" and run.last_modified.hour == 5
     assert run.permissions.allowed_methods == ["PUT", "MOVE"] and run.permissions.can_upload
     assert got["f"].is_collection and got["f"].path.endswith("/f/") and got["f"].last_modified is None
-    assert not got["read only"].permissions.can_upload and got["read only"].length == 0
+    assert not got["dry dock"].permissions.can_upload and got["dry dock"].length == 0
     problems = {r.folder: r.problem for r in listings.listing_problems(parsed).collect()}
     assert problems == {"/login/": listings.NOT_JSON, "/empty/": listings.NO_FILES}
 

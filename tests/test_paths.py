@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.functions import paths as P
-from stowage.functions.rules import candidate_filter
+from stowage.functions.rules import candidate_filter, parse_server_time
 
 ROOT = "/_webdav/lab/@files/uploads/"
 
@@ -14,11 +14,10 @@ def one(spark, value, column):
 
 
 @pytest.mark.parametrize("plain, encoded", [
-    ("plain.raw", "plain.raw"), ("with space.raw", "with%20space.raw"),
-    ("plus+sign.raw", "plus%2Bsign.raw"), ("café.raw", "caf%C3%A9.raw"),
-    ("percent%25.raw", "percent%2525.raw"), ("@files", "@files"), ("a~b_c-d.e", "a~b_c-d.e"),
-    ("semi;colon", "semi%3Bcolon"), ("star*", "star%2A"), ("a&b=c", "a%26b%3Dc"),
-    ("hash#q?", "hash%23q%3F"), ("日本", "%E6%97%A5%E6%9C%AC"), ("(x)'!", "%28x%29%27%21"),
+    ("tide7.bin", "tide7.bin"), ("two  words", "two%20%20words"), ("3+4", "3%2B4"), ("naïve", "na%C3%AFve"),
+    ("9%25 off", "9%2525%20off"), ("@dock", "@dock"), ("~lo_hi-2.z", "~lo_hi-2.z"), ("left;right", "left%3Bright"),
+    ("glow*", "glow%2A"), ("u=1&v", "u%3D1%26v"), ("why?#9", "why%3F%239"), ("東西", "%E6%9D%B1%E8%A5%BF"),
+    ("{k}'$", "%7Bk%7D%27%24"),
 ])
 def test_encode_and_decode_segment(spark, plain, encoded):
     assert one(spark, plain, P.encode_segment) == encoded
@@ -85,9 +84,9 @@ def test_uri_keeps_the_base_path(spark):
 
 
 @pytest.mark.parametrize("name, reason", [
-    ("ok.raw", "None"), ("", "Empty"), (" \t ", "Empty"), ("\u2003", "Empty"), (None, "Empty"),
-    (".", "Traversal"), ("..", "Traversal"), ("run;rep1.raw", "SemicolonTruncatesOnServer"),
-    ("colon:name", "IllegalCharacter"), ("pipe|", "IllegalCharacter"), ("a\x07b", "IllegalCharacter"),
+    ("tide7.bin", "None"), ("", "Empty"), (" \t ", "Empty"), ("\u2003", "Empty"), (None, "Empty"),
+    (".", "Traversal"), ("..", "Traversal"), ("left;right.bin", "SemicolonTruncatesOnServer"),
+    ("12:45", "IllegalCharacter"), ("or|", "IllegalCharacter"), ("q\x02r", "IllegalCharacter"),
     ("x" * 255, "None"), ("x" * 256, "TooLong"), ("\U0001F600" * 128, "TooLong"),
     ("\U0001F600" * 127, "None"), ("...", "None"), (";" + "x" * 300, "SemicolonTruncatesOnServer"),
     ("x" * 300 + ":", "TooLong"),
@@ -97,19 +96,19 @@ def test_validate_segment(spark, name, reason):
 
 
 def test_semicolon_message_names_what_would_be_stored(spark):
-    message = one(spark, "run;rep1.raw", P.validate_segment).message
-    assert "would be stored as 'run'" in message
+    message = one(spark, "left;right.bin", P.validate_segment).message
+    assert "would be stored as 'left'" in message
 
 
 @pytest.mark.parametrize("path, destination, reason", [
-    (r"C:\Data\2026\run 7\sample.raw", ROOT + "2026/run%207/sample.raw", "None"),
-    (r"c:\DATA\x.raw", ROOT + "x.raw", "None"),
+    (r"C:\Data\spring\low tide\tide7.bin", ROOT + "spring/low%20tide/tide7.bin", "None"),
+    (r"c:\DATA\tide7.bin", ROOT + "tide7.bin", "None"),
     ("C:/Data/a%20b.raw", ROOT + "a%20b.raw", "None"),
     ("C:/Data/.hidden/x.raw", ROOT + ".hidden/x.raw", "None"),
     ("C:/Data/" + "y" * 200 + "/x.raw", ROOT + "y" * 200 + "/x.raw", "None"),
-    (r"C:\Database\x.raw", None, "OutsideBase"), (r"D:\x.raw", None, "OutsideBase"),
-    ("C:/Data/..foo", None, "OutsideBase"), ("C:/Data", None, "Traversal"),
-    ("C:/Data/a;b.raw", None, "SemicolonTruncatesOnServer"),
+    (r"C:\Datum\tide7.bin", None, "OutsideBase"), (r"E:\tide7.bin", None, "OutsideBase"),
+    ("C:/Data/..tide", None, "OutsideBase"), ("C:/Data", None, "Traversal"),
+    ("C:/Data/left;right", None, "SemicolonTruncatesOnServer"),
     ("C:/Data/q%3Bx.raw", ROOT + "q%3Bx.raw", "None"),
     ("C:/Data/x/%2E%2E/y.raw", None, "Traversal"),
     ("C:/Data//d/ /x.raw", None, "Empty"),
@@ -129,9 +128,8 @@ def test_destination(spark, path, destination, reason):
 
 
 @pytest.mark.parametrize("path, accepted", [
-    ("C:/d/RUN1.RAW", True), ("archive.not.raw", True), ("archive.notraw", False),
-    (".hidden.raw", False), ("~partial.raw", False), ("d\\x.wiff", True), ("raw", False),
-    ("folder.raw/", False), ("name.", False),
+    ("E:/q/TIDE7.RAW", True), ("ebb.flow.raw", True), ("ebb.xraw", False), ("q/.ebb.raw", False),
+    ("~ebb.raw", False), ("q\\ebb.wiff", True), ("raw", False), ("ebb.raw/", False), ("ebb.", False),
 ])
 def test_candidate_filter(spark, path, accepted):
     assert one(spark, path, lambda c: candidate_filter(c, [".raw", ".WIFF"])) is accepted
@@ -147,3 +145,18 @@ def test_extensions_and_drives(spark):
     assert one(spark, "P:\\a\\b", lambda c: P.map_drive_path(c, share)) == "\\\\nas\\share\\a\\b"
     assert one(spark, "P:", lambda c: P.map_drive_path(c, share)) == "\\\\nas\\share\\"
     assert one(spark, "P:\\a", lambda c: P.map_drive_path(c, F.lit(None).cast("string"))) == "P:\\a"
+
+
+@pytest.mark.parametrize("text, utc_ms", [
+    ("2031-07-09T03:04:05Z", 1941332645000), ("2031-07-09 03:04:05.5+01:00", 1941329045500),
+    ("2031-07-09T03:04", 1941332640000), ("2031-07-09T03:04:05", 1941332645000),
+    ("Wed, 09 Jul 2031 03:04:05 GMT", 1941332645000), ("03:04", None), ("2031-07-09", None), ("soon", None),
+    (None, None), ("Wed, 39 Jul 2031 03:04:05 GMT", None),
+])
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_server_time_depends_on_its_text_only(spark, text, utc_ms, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert one(spark, text, lambda c: F.unix_millis(parse_server_time(c))) == utc_ms
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -12,6 +12,7 @@ from workloads import sqltext as Q
 from workloads.fixtures import ROOT, cte, remote, table, view
 from workloads.registry import query
 
+# The sentences in the SQL below are those that the operators show.
 _VERBS = ("CASE k % 3 WHEN 0 THEN 'OPTIONS, get,PUT , MOVE' WHEN 1 THEN 'OPTIONS, GET' ELSE '' END")
 
 

@@ -83,6 +83,7 @@ def decided(policy: str = "0") -> str:
     action = f"CASE {policy} WHEN 1 THEN 'Skip' WHEN 2 THEN 'Upload' ELSE 'Conflict' END"
     suffix = (f"CASE {policy} WHEN 1 THEN ' Skipped by policy.' WHEN 2 THEN ' Overwriting by policy.'"
               " WHEN 3 THEN ' A new name is needed.' ELSE '' END")
+    # The sentences are those that the ladder shows.
     return cte("fx_inventory", "fx_ledger", "fx_remote") + f""",
 files AS (
   SELECT k, path, length, mtime_ms, name, '{ROOT}' || folder || '/' AS folder, {DEST} AS destination,
