@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by product quantisation.
 
 Coarse inverted lists hold residuals coded by subspace. A query looks up the distance of each coded
-vector in every list that can hold a partner, and what passes is compared exactly. Both tests are bounds (see
-``probed`` and ``block_links``), so a link is not lost to the quantisation.
+vector in the lists likely to hold a partner (see ``probed``), and what passes is compared exactly. The
+lookup is a bound (see ``block_links``), so no link is lost to the codes; one is found if either end probes the
+other's list.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ COSINE = 0.93
 #: The index is fitted on at most this many vectors of each length, those with the smallest hash of their id.
 SAMPLE = 12_000
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
+#: Standard deviations, of a partner's step in a given direction, by which lists are probed beyond their border.
+SIGMAS = 2.8
 #: Rows of a list compared in one step.
 BLOCK = 256
 
@@ -81,14 +85,17 @@ def radius(cosine: float = COSINE) -> float:
 
 
 def probed(index: Index, squares: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """Lists that can hold a vector within ``radius``.
+    """Lists that may hold a partner.
 
     A vector of list c is nearer to c than to the query's own centroid, so it lies beyond the plane
-    halfway between the two; lists whose plane is further away than ``radius`` can't hold a partner.
+    halfway between the two. A partner at distance ``radius`` in any direction is that far along the plane's normal only
+    by ``radius / sqrt(dimensions)`` as a standard deviation; lists whose plane is more than ``SIGMAS`` of those away are
+    left out. With ``SIGMAS`` of ``sqrt(dimensions)`` none is left out that could hold one.
     """
     apart = np.sqrt(_squares(index.centroids, index.centroids))
+    margin = min(1.0, SIGMAS / index.centroids.shape[1] ** 0.5) * radius()
     gap = squares - squares[np.arange(len(own)), own][:, None]
-    near = gap <= 2 * radius() * apart[own] + 1e-9
+    near = gap <= 2 * margin * apart[own] + 1e-9
     near[np.arange(len(own)), own] = True
     return [np.flatnonzero(row) for row in near]
 
@@ -171,8 +178,9 @@ def _met(entries: DataFrame) -> DataFrame:
         fields = [c for c in rows.columns if c not in group]
         return dealt.groupBy(*group, "block").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block")
 
-    members = blocks(entries.select(*group, "id", "copies", "vector", "code", "error"), "members")
-    asked = blocks(entries.select("dims", "label", F.explode("probes").alias("list"), "id", "vector"), "asked")
+    members = blocks(entries.select(*group, "id", "copies", "vector", "code", "error", "probes"), "members")
+    asked = blocks(entries.select("dims", "label", F.explode("probes").alias("list"), F.col("list").alias("own"), "id",
+                                  "copies", "vector"), "asked")
     return asked.join(members, group).select("dims", "list", "asked", "members")
 
 
@@ -189,10 +197,15 @@ def _links(entries: DataFrame, indexes: dict[int, Index]) -> DataFrame:
                                      _floats(asked.field("vector")), _floats(members.field("vector")), code,
                                      members.field("error").to_numpy())
                 linked &= ids[:, None] != others[None, :]
-                n = linked @ members.field("copies").to_numpy()
+                # A member that probes the query's list finds this link itself, there.
+                probes = members.field("probes")
+                finds = np.zeros((len(others), len(indexes[batch.column("dims")[row].as_py()].centroids)), bool)
+                finds[np.repeat(np.arange(len(others)), pc.list_value_length(probes).to_numpy()),
+                      probes.flatten().to_numpy()] = True
+                alone = linked & ~finds[:, asked.field("own").to_numpy()].T
+                n = np.concatenate([linked @ members.field("copies").to_numpy(), asked.field("copies").to_numpy() @ alone])
                 left, right = roots(linked, ids, others)
                 ids = np.concatenate([ids, others])
-                n = np.concatenate([n, np.zeros(len(others), np.int64)])
                 root = np.concatenate([left, right])
                 some = (n > 0) | (root != ids)
                 yield pa.RecordBatch.from_arrays(
