@@ -1,7 +1,9 @@
-"""Walking a directory tree as a Spark data source.
+"""Walking a directory tree in rounds of Spark jobs.
 
-The driver expands folders only until there are enough of them to share out; each task then walks
-its own subtree. Length and time come from the directory entry, so no file is opened.
+Each round lists folders in tasks. A task walks on below its folders until it has seen ``BUDGET``
+entries and hands the rest to the next round, which deals them out anew: a deep chain is one
+task's work, a wide or lopsided tree spreads out, and the driver never lists a folder. Length and time come
+from the directory entry, so no file is opened.
 """
 
 from __future__ import annotations
@@ -10,111 +12,111 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stowage.schema import INVENTORY_SCAN
+from stowage.session import shared_dir
 
+#: Entries that a task lists before it leaves the other folders to the next round, and rows of a batch.
+BUDGET = 20_000
 _BATCH = 10_000
+#: Folders of one round go to at most so many tasks for each core.
+_TASKS_PER_CORE = 4
+
+_FOUND = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime_ms", pa.int64()), ("problem", pa.string()),
+                    ("folder", pa.string())])
+
+
+def _local(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            # Links are left out, so one cannot send the walk round in a loop.
+            if entry.name.startswith(".") or entry.is_symlink():
+                continue
+            if entry.is_dir(follow_symlinks=False):
+                yield entry.path, True, 0, 0
+            elif entry.is_file(follow_symlinks=False):
+                try:
+                    seen = entry.stat(follow_symlinks=False)
+                except FileNotFoundError:
+                    continue
+                yield entry.path, False, seen.st_size, seen.st_mtime_ns // 1_000_000
+
+
+def _remote(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    system, inner = fs.FileSystem.from_uri(folder)
+    before = folder[:len(folder) - len(inner)] if folder.endswith(inner) else ""
+    for entry in system.get_file_info(fs.FileSelector(inner)):
+        if entry.base_name.startswith("."):
+            continue
+        if entry.type == fs.FileType.Directory:
+            yield before + entry.path, True, 0, 0
+        elif entry.type == fs.FileType.File:
+            yield before + entry.path, False, entry.size, (entry.mtime_ns or 0) // 1_000_000
+
+
+def _walk(folders: list[str], root: str, recursive: bool, budget: int) -> Iterator[tuple]:
+    """Files below the folders, and the folders that are left once the budget is spent.
+
+    A folder that cannot be read is passed over unless it is the root.
+    """
+    pending, seen = list(folders), 0
+    while pending and seen < budget:
+        current = pending.pop()
+        try:
+            for path, is_folder, length, mtime in (_remote if "://" in current else _local)(current):
+                seen += 1
+                if not is_folder:
+                    yield path, length, mtime, None, None
+                elif recursive:
+                    pending.append(path)
+        except PermissionError as error:
+            if current == root:
+                yield None, None, None, str(error), None
+        except OSError as error:
+            yield None, None, None, str(error), None
+        seen += 1
+    for folder in pending:
+        yield None, None, None, None, folder
 
 
-class Subtree(InputPartition):
-    def __init__(self, folder: str, recursive: bool):
-        super().__init__(None)
-        self.folder = folder
-        self.recursive = recursive
-
-
-def _visible(entry: os.DirEntry) -> bool:
-    """Hidden entries and links are left out, so a link cannot send the walk round in a loop."""
-    return not entry.name.startswith(".") and not entry.is_symlink()
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
-def _subfolders(folder: str) -> list[str]:
-    try:
-        with os.scandir(folder) as entries:
-            return [e.path for e in entries if _visible(e) and e.is_dir(follow_symlinks=False)]
-    except OSError:
-        return []
+def scan_tree(spark: SparkSession, root: str, recursive: bool = True, budget: int = BUDGET) -> DataFrame:
+    """Inventory rows and, for what could not be read, rows with ``problem``.
 
+    ``root`` is a folder that every worker sees, or a URI of any store that ``pyarrow.fs`` knows.
+    """
+    root = root if "://" in root else os.path.abspath(root)
 
-def _walk(folder: str, recursive: bool, is_root: bool) -> Iterator[tuple]:
-    """Files below a folder; a folder that cannot be read is passed over unless it is the root."""
-    pending = [folder]
-    while pending:
-        current = pending.pop()
-        try:
-            with os.scandir(current) as entries:
-                for entry in entries:
-                    if not _visible(entry):
-                        continue
-                    if entry.is_dir(follow_symlinks=False):
-                        if recursive:
-                            pending.append(entry.path)
-                    elif entry.is_file(follow_symlinks=False):
-                        try:
-                            seen = entry.stat(follow_symlinks=False)
-                        except FileNotFoundError:
-                            continue
-                        yield entry.path, seen.st_size, seen.st_mtime_ns // 1_000_000, None
-        except PermissionError as error:
-            if is_root and current == folder:
-                yield None, None, None, str(error)
-        except OSError as error:
-            yield None, None, None, str(error)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = os.path.abspath(options["path"])
-        self.recursive = options.get("recursive", "true").lower() == "true"
-        self.wanted = int(options.get("partitions", "64"))
-
-    def partitions(self) -> list[InputPartition]:
-        if not self.recursive:
-            return [Subtree(self.root, False)]
-        # Breadth first until there are enough folders: an expanded folder keeps only its own
-        # files, and its subfolders become parts of their own.
-        expanded, frontier = [], [self.root]
-        while frontier and len(frontier) < self.wanted:
-            below = [child for folder in frontier for child in _subfolders(folder)]
-            expanded.extend(frontier)
-            frontier = below
-        return ([Subtree(f, False) for f in expanded] + [Subtree(f, True) for f in frontier])
-
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("length", pa.int64()),
-                            ("mtime_ms", pa.int64()), ("problem", pa.string())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = [f for batch in batches for f in batch.column("folder").to_pylist()]
         rows: list[tuple] = []
-        for row in _walk(partition.folder, partition.recursive, partition.folder == self.root):
+        for row in _walk(folders, root, recursive, budget):
             rows.append(row)
             if len(rows) == _BATCH:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield _rows(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
-
-    def schema(self):
-        return INVENTORY_SCAN
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options)
-
-
-def scan_tree(spark: SparkSession, root: str, recursive: bool = True,
-              partitions: int = 64) -> DataFrame:
-    """Inventory rows and, for what could not be read, rows with ``problem``."""
-    spark.dataSource.register(TreeSource)
-    return (spark.read.format("file_tree").option("recursive", str(recursive).lower())
-            .option("partitions", partitions).load(root))
+            yield _rows(rows)
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INVENTORY_SCAN)
+    base, rounds = shared_dir(spark, "walk"), []
+    frontier, n = spark.createDataFrame([(root,)], "folder string"), 1
+    cores = spark.sparkContext.defaultParallelism
+    while n:
+        rounds.append(f"{base}/round-{len(rounds)}")
+        dealt = frontier.repartition(min(n, _TASKS_PER_CORE * cores))
+        dealt.mapInArrow(run, f"{columns}, folder string").write.mode("overwrite").parquet(rounds[-1])
+        frontier = spark.read.schema(f"{columns}, folder string").parquet(rounds[-1]).where(
+            F.col("folder").isNotNull()).select("folder")
+        n = frontier.count()
+    found = spark.read.schema(f"{columns}, folder string").parquet(*rounds)
+    return found.where(F.col("folder").isNull()).drop("folder")
 
 
 def scan_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -44,7 +44,23 @@ def test_walk(spark, tree):
         "a.raw", "bad;name.raw", "notes.txt"]
     row = found.where(F.col("path").endswith("a.raw")).first()
     assert row.length == 3 and row.mtime_ms == os.stat(tree / "a.raw").st_mtime_ns // 1_000_000
-    assert names(scan_tree(spark, str(tree), partitions=1), tree) == names(found, tree)
+    for budget in (1, 3):
+        assert names(scan_tree(spark, str(tree), budget=budget), tree) == names(found, tree)
+    assert {r.path for r in scan_tree(spark, f"file://{tree / '2026'}").collect()} == {
+        f"file://{tree}/2026/b c.raw", f"file://{tree}/2026/x/_c.raw"}
+
+
+def test_deep_and_wide_trees_take_few_rounds(spark, tmp_path, monkeypatch):
+    deep = tmp_path / "deep" / "/".join("d" for _ in range(300))
+    deep.mkdir(parents=True)
+    (deep / "end.raw").write_text("x")
+    for n in range(3000):
+        (tmp_path / "wide" / f"w{n}").mkdir(parents=True)
+    (tmp_path / "wide" / "w7" / "one.raw").write_text("y")
+    monkeypatch.setattr(os, "scandir", lambda *_: pytest.fail("the driver lists a folder"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert names(scan_tree(spark, str(tmp_path), budget=500), tmp_path)[0].endswith("d/end.raw")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 40
 
 
 def test_missing_root_is_a_problem_not_an_error(spark, tmp_path):

@@ -9,7 +9,7 @@ from stowage.session import shared_dir
 from stowage.sinks.mirror import mirror_copy
 from stowage.sinks.sidecars import write_sidecars
 from stowage.sources.hashing import content_hashes, hash_files
-from stowage.sources.inventory import scan_inventory
+from stowage.sources.inventory import scan_inventory, scan_problem, scan_tree
 from workloads.fixtures import cte, view
 from workloads.registry import query
 
@@ -19,9 +19,10 @@ def land(spark: SparkSession, d: str) -> str:
     root = shared_dir(spark, "files")
     texts = view(spark, d, "fx_contents").select(F.col("path").alias("target"),
                                                  F.col("content").alias("text"))
-    failed = write_sidecars(texts.repartition(32), root).where(F.col("error").isNotNull())
-    if not failed.isEmpty():
-        raise OSError(failed.first()["error"])
+    landed = stage(write_sidecars(texts.repartition(32), root), "landed")
+    failed = landed.where(F.col("error").isNotNull()).first()
+    if failed:
+        raise OSError(failed["error"])
     return root
 
 
@@ -42,6 +43,23 @@ def _(spark, d):
     return scan_inventory(spark, root).select(_below("path", root).alias("path"), "length")
 
 
+@query("scan_fault", cte("fx_contents") + """
+SELECT 'landed' AS root, count(*) AS files, cast(NULL as string) AS problem FROM fx_contents
+UNION ALL SELECT 'gone', 0, 'Could not read the monitored folder'""")
+def _(spark, d):
+    """A tree that is there, and a root that is not: a fault to report, not an error."""
+    landed, asked = land(spark, d), None
+    for name, root in (("landed", landed), ("gone", f"{landed}/gone")):
+        scanned = scan_tree(spark, root)
+        row = scan_problem(scanned, root).select(
+            F.lit(name).alias("root"),
+            scanned.select(F.count_if(F.col("problem").isNull())).scalar().alias("files"),
+            F.when(F.col("problem").startswith("Could not read the monitored folder"),
+                   "Could not read the monitored folder").otherwise(F.col("problem")).alias("problem"))
+        asked = row if asked is None else asked.unionByName(row)
+    return asked
+
+
 @query("hash_files", cte("fx_contents") + " SELECT path, length, md5, sha256(content) AS sha256 FROM fx_contents")
 def _(spark, d):
     root = land(spark, d)
