@@ -31,13 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a <> b").select("a", "b").distinct(), "links")
     seen = None
     while True:
-        now = stage(_large_star(now).where("a <> b").distinct(), "links")
-        now = stage(_small_star(now).where("a <> b").distinct(), "links")
-        # Sums wrap in no mode here: each term is cut to 31 bits.
         state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31))),
                         F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(2**31)))).first()
         if state == seen or not state[0]:
             break
         seen = state
+        now = stage(_small_star(_large_star(now).where("a <> b").distinct()).where("a <> b").distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select("b", "b").distinct())

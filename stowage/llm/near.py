@@ -18,15 +18,16 @@ from stowage.plans.staging import stage
 SHINGLE = 5
 #: Documents are linked at 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Minima kept per document, bits kept of each, and rows per band. A pair of similarity 0.85 shares none of
-#: the 25 bands with a probability below 1e-6.
-MINIMA, BITS, ROWS = 128, 2, 5
-BANDS = MINIMA // ROWS
-#: The estimate from packed bits has a standard deviation below 0.037 at 0.85; what it puts lower by
-#: three and a half of those is not confirmed.
-ESTIMATE = PERCENT / 100 - 0.13
-#: Members of a bucket compared in one step of the second round.
+#: Minima kept per document, bits kept of each, bands and minima in a band. A pair of similarity 0.85 shares none of
+#: the bands with a probability below 1e-6.
+MINIMA, BITS, BANDS, ROWS = 320, 2, 25, 5
+#: The estimate from packed bits has a standard deviation below 0.024 at 0.85; what it puts lower by three and
+#: a third of those is not confirmed.
+ESTIMATE = PERCENT / 100 - 0.08
+#: Members of a bucket compared in one step of the last round.
 BLOCK = 128
+#: Rounds in which each bucket is compared with one of its members.
+LEADERS = 2
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(0, 2**31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,45 +158,93 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
 
 
 def _unlinked_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components and look similar.
+    """Pairs of one bucket that are in different components and look similar, each pair once.
 
-    ``members`` has bucket, id, component, signature. A bucket is cut into blocks by a hash of the id; blocks
-    meet two by two, so a bucket of any size is spread over tasks and only pairs that pass come out.
+    ``members`` has bucket, id, component, n_shingles, signature, bands. A bucket is cut into blocks by a hash of
+    the id; blocks meet two by two, so a bucket of any size is spread over tasks and only pairs that pass come
+    out, in the first bucket that both are in.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("long"))
-    blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "signature")).alias("rows"))
+    fields = ["id", "component", "n_shingles", "signature", "bands"]
+    blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     met = blocks.toDF("bucket", "block", "left").join(blocks.toDF("bucket", "other", "right"), "bucket").where(
-        "block <= other").select("left", "right")
-
-    def arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (np.array([r["id"] for r in rows], np.int64), np.array([r["component"] for r in rows], np.int64),
-                np.array([r["signature"] for r in rows], np.int64).view(np.uint64))
-
+        "block <= other").select("bucket", "left", "right")
     low, most = np.uint64(int("01" * 32, 2)), MINIMA * (1 - 1 / 2**BITS) * (1 - ESTIMATE)
 
+    def side(blocks_of: pa.Array, row: int) -> list[np.ndarray]:
+        rows = blocks_of.slice(row, 1).flatten()
+        ids, parts, sizes_of = (rows.field(f).to_numpy() for f in fields[:3])
+        bits, keys = (rows.field(f).flatten().to_numpy().reshape(len(rows), -1) for f in fields[3:])
+        return [ids, parts, sizes_of, bits.view(np.uint64), keys]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                ids, parts, bits = arrays(left.as_py())
-                ids2, parts2, bits2 = arrays(right.as_py())
-                unequal = np.zeros((len(ids), len(ids2)), np.int64)
-                for word in range(bits.shape[1]):
-                    x = bits[:, None, word] ^ bits2[None, :, word]
-                    unequal += np.bitwise_count((x | x >> np.uint64(1)) & low)
-                i, j = np.nonzero((unequal <= most) & (parts[:, None] != parts2[None, :]))
+            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+                ids, parts, n, bits, keys = side(batch.column("left"), row)
+                ids2, parts2, m, bits2, keys2 = side(batch.column("right"), row)
+                near = (parts[:, None] != parts2) & (100 * np.minimum(n[:, None], m) >= PERCENT * np.maximum(n[:, None], m))
+                i, j = np.nonzero(near)
+                x = bits[i] ^ bits2[j]
+                alike = np.bitwise_count((x | x >> np.uint64(1)) & low).sum(axis=1) <= most
+                i, j = i[alike], j[alike]
+                same = keys[i] == keys2[j]
+                once = keys[i, same.argmax(axis=1)] == bucket
+                # Within one block both orders of a pair come up.
+                once &= (ids[i] < ids2[j]) | (not np.array_equal(ids, ids2))
+                i, j = i[once], j[once]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[j])),
                                                   pa.array(np.maximum(ids[i], ids2[j]))], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _placed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    return buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets that hold members of several components."""
+    return placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+        "x < y").select("bucket")
+
+
+def _linked_by_leaders(buckets: DataFrame, signatures: DataFrame, docs: DataFrame, key: str,
+                       text: str) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links of each bucket's members with a leader, and the components they make.
+
+    Every round another member leads each bucket that still holds several components, and meets those outside
+    its own. A large group meets many leaders, so what is left after some rounds is little; the
+    rounds end when one finds nothing. ``LEADERS`` bounds the rounds, not the result: what they leave is compared in full.
+    """
+    links = parts = None
+    for number in range(LEADERS):
+        placed = buckets.withColumn("component", F.col("id")) if parts is None else _placed(buckets, parts)
+        led = placed.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(number), "bucket", "id")).alias("leader"),
+            F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket", "leader.*")
+        led = led.toDF("bucket", "leader", "of_leader")
+        pairs = placed.join(led, "bucket").where("component <> of_leader").select(
+            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = (pairs.join(signatures.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("signature").alias("one")), "a")
+                 .join(signatures.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("signature").alias("other")), "b")
+                 .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
+                 .where(estimated("one", "other") >= ESTIMATE).select("a", "b"))
+        new = stage(confirmed(stage(pairs, "pairs"), docs, key, text), "confirmed")
+        if number and new.isEmpty():
+            break
+        links = new if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
+        parts = connected_components(links)
+    return links, parts
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns (key, n_shingles, component_id, kept) for each row; ``key`` holds integers.
 
     Documents with equal sets are one class, stood for by its smallest id. Classes that share a band are
-    first compared with the smallest of their bucket; classes of one bucket that those links leave in
+    first compared with one leader of their bucket; classes of one bucket that those links leave in
     different components are then compared with each other, so that no confirmed link is lost and no
     large bucket is spelt out in pairs. Null, empty and blank texts have no shingles and are linked with
     nothing. Rows that share an id are one document, linked if any of its texts is; a null id is linked
@@ -207,24 +256,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = whole.select(F.col("key").cast("long").alias("key"), "n_shingles", "set_a", "set_b")
     same = stage(member.where("n_shingles > 0").join(classes, ["n_shingles", "set_a", "set_b"])
                  .where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct(), "same")
-    signed = whole.where("n_shingles > 0").select(F.col("key").cast("long").alias("id"), "signature", "bands").join(
+    signed = whole.where("n_shingles > 0").select(
+        F.col("key").cast("long").alias("id"), "n_shingles", "signature", "bands").join(
         same.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     buckets = stage(signed.select("id", F.explode("bands").alias("bucket")), "buckets")
-    signatures = stage(signed.select("id", "signature"), "signatures")
-
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    stars = buckets.join(least, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    stars = (stars.join(signatures.toDF("a", "one"), "a").join(signatures.toDF("b", "other"), "b")
-             .where(estimated("one", "other") >= ESTIMATE).select("a", "b"))
-    stars = stage(stars, "stars")
-    links = stage(confirmed(stars, docs, key, text), "confirmed")
-    parts = connected_components(links)
+    signatures = stage(signed.select("id", "n_shingles", "signature", "bands"), "signatures")
 
-    placed = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    open_pairs = stage(_unlinked_pairs(placed.join(mixed.select("bucket"), "bucket").join(signatures, "id"))
-                       .join(stars, ["a", "b"], "left_anti"), "open")
+    links, parts = _linked_by_leaders(buckets, signatures, docs, key, text)
+    placed = _placed(buckets, parts)
+    open_pairs = stage(_unlinked_pairs(placed.join(_mixed(placed), "bucket").join(signatures, "id")), "open")
     more = stage(confirmed(open_pairs, docs, key, text), "confirmed")
 
     found = connected_components(links.union(more).union(same))
