@@ -1,7 +1,8 @@
 """Benchmark decontamination: MinHash containment search, partitioned by item size, then exact containment.
 
 Everything runs as DataFrame expressions. A document is cut into overlapping windows twice as long as the
-items of a size class, so a short item fills a known share of some window of a document of any length.
+items of a size class, so a short item fills a known share of some window of a document of any length. A window's
+sketch is of its distinct shingles, so text that repeats itself leaves the item's share as it is.
 """
 
 from __future__ import annotations
@@ -50,22 +51,34 @@ def sketch_size(least: int, most: int) -> int:
 
 
 def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct shingles of each item and its size class; items without words have none and are left out."""
+    """Distinct shingles of each item, its size class and the class of its windows; items without words are left out.
+
+    An item that repeats itself takes more places than it has distinct shingles; ``reach`` is the class of those
+    places. For most items it is the size class.
+    """
     cut = items.select(F.col(key).alias("item"), words(F.col(text)).alias("w")).select(
-        "item", F.array_distinct(shingles("w")).alias("shingles"))
+        "item", shingles("w").alias("all")).select("item", F.size("all").alias("places"), F.array_distinct("all").alias("shingles"))
     sized = cut.withColumn("n_item", F.size("shingles")).where("n_item > 0 AND item IS NOT NULL")
-    number = F.when(F.col("n_item") <= 1, 0).otherwise(
-        F.ceil(F.log(STEP, F.col("n_item").cast("double")) - 1e-9))
-    return sized.withColumn("class", number.cast("int"))
+
+    def number(n: str) -> Column:
+        return F.when(F.col(n) <= 1, 0).otherwise(F.ceil(F.log(STEP, F.col(n).cast("double")) - 1e-9)).cast("int")
+
+    return sized.withColumn("class", number("n_item")).withColumn("reach", number("places")).drop("places")
 
 
 def _least(least: int, most: int) -> Column:
-    """The smallest hashes of each window of column ``shingles`` for items of these sizes."""
+    """The smallest distinct hashes of each window of column ``shingles`` for items of these sizes.
+
+    Only texts that repeat a shingle (column ``repeats``) need the step that drops copies.
+    """
     last = F.greatest(F.ceil((F.size("shingles") - 2 * most) / most), F.lit(0)).cast("int")
     size = F.lit(sketch_size(least, most))
-    small = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(
-        F.sort_array(F.slice("shingles", j * most + 1, F.lit(2 * most))), F.lit(1), size))
-    return F.array_distinct(F.flatten(small))
+
+    def window(j: Column) -> Column:
+        held = F.slice("shingles", j * most + 1, F.lit(2 * most))
+        return F.slice(F.sort_array(F.when(F.col("repeats"), F.array_distinct(held)).otherwise(held)), F.lit(1), size)
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), last), window)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -78,15 +91,17 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """
     listed = stage(item_shingles(items, item_key), "items")
     # Classes grow with the logarithm of the longest item.
-    classes = sorted(r["class"] for r in listed.select("class").distinct().collect())
+    classes = sorted((r["class"], r["reach"]) for r in listed.select("class", "reach").distinct().collect())
     cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).select(
         "doc", shingles("w").alias("shingles"))
-    sketches = [F.struct(F.lit(c).alias("class"), _least(*class_bounds(c)).alias("least")) for c in classes]
-    index = listed.select("item", "class", F.explode("shingles").alias("s"))
+    sketches = [F.struct(F.lit(c).alias("class"), F.lit(r).alias("reach"),
+                         _least(class_bounds(c)[0], class_bounds(r)[1]).alias("least")) for c, r in classes]
+    index = listed.select("item", "class", "reach", F.explode("shingles").alias("s"))
     if classes:
-        kept = cut.select("doc", F.explode(F.array(*sketches)).alias("of")).select(
-            "doc", "of.class", F.explode("of.least").alias("s"))
-        pairs = kept.join(index, ["class", "s"]).select("doc", "item").distinct()
+        marked = cut.withColumn("repeats", F.size(F.array_distinct("shingles")) < F.size("shingles"))
+        kept = marked.select("doc", F.explode(F.array(*sketches)).alias("of")).select(
+            "doc", "of.class", "of.reach", F.explode("of.least").alias("s"))
+        pairs = kept.join(index, ["class", "reach", "s"]).select("doc", "item").distinct()
     else:
         pairs = cut.join(index, F.lit(False)).select("doc", "item")
     pairs = stage(pairs, "candidates")

@@ -311,6 +311,24 @@ def test_contaminated(spark, odd, none):
     assert contamination.contaminated(odd, listed.limit(0)).count() == 0
 
 
+def test_contaminated_among_repeats(spark):
+    """Items in text that repeats a word, a phrase or a line, and items that repeat themselves."""
+    rng, items, texts = random.Random(6), [], []
+    for i in range(400):
+        filler = " ".join(prose(7000 + i, (1, 2, 4, 9)[i % 4]).split() * 400).split()
+        item = prose(6000 + i, rng.choice((30, 44, 80, 104))).split()
+        if i % 5 == 0:
+            item[len(item) // 2:len(item) // 2] = filler[:60]
+        at = rng.randint(0, 300)
+        items.append((i, " ".join(item)))
+        texts.append((i, " ".join([*filler[:at], *item, *filler[at:400]])))
+    found = contamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string").repartition(4),
+                                       spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_found) for r in found.collect()}
+    sets = {i: plain.shingles(t) for i, t in items}
+    assert got == {(i, i): (len(sets[i]), len(sets[i])) for i, _ in items}
+
+
 def test_licenses(spark, odd, none):
     text = [licenses.TEMPLATES["mit"].replace("person", "body"), "x " * 300 + licenses.TEMPLATES["gpl-3.0-line"].upper() + " y" * 90,
             licenses.TEMPLATES["mit"][:200], None, ""]
