@@ -1,9 +1,8 @@
 """Near-duplicate embeddings by product quantisation.
 
 Coarse inverted lists hold residuals coded by subspace. A query looks up the distance of each coded
-vector in the lists likely to hold a partner (see ``probed``), and what passes is compared exactly. The
-lookup is a bound (see ``block_links``), so no link is lost to the codes; one is found if either end probes the
-other's list.
+vector in the lists near it, and what passes is compared exactly. The lookup is a bound (see ``block_links``), so
+no link is lost to the codes; one is found if either end probes the other's list, and one always does (see ``probed``).
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ COSINE = 0.93
 #: The index is fitted on at most this many vectors of each length, those with the smallest hash of their id.
 SAMPLE = 12_000
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
-#: Standard deviations, of a partner's step in a given direction, by which lists are probed beyond their border.
-SIGMAS = 2.8
 #: Rows of a list compared in one step.
 BLOCK = 256
 
@@ -85,15 +82,14 @@ def radius(cosine: float = COSINE) -> float:
 
 
 def probed(index: Index, squares: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """Lists that may hold a partner.
+    """The own list, and those whose border is within half of ``radius``.
 
-    A vector of list c is nearer to c than to the query's own centroid, so it lies beyond the plane
-    halfway between the two. A partner at distance ``radius`` in any direction is that far along the plane's normal only
-    by ``radius / sqrt(dimensions)`` as a standard deviation; lists whose plane is more than ``SIGMAS`` of those away are
-    left out. With ``SIGMAS`` of ``sqrt(dimensions)`` none is left out that could hold one.
+    A vector of list c is nearer to c than to the query's own centroid: the two lie on either side of the plane
+    halfway between the centroids, and their distances from it add up to ``radius`` at most. So one of two partners is
+    within half of it and probes the other's list, whatever the shape of the data.
     """
     apart = np.sqrt(_squares(index.centroids, index.centroids))
-    margin = min(1.0, SIGMAS / index.centroids.shape[1] ** 0.5) * radius()
+    margin = radius() / 2
     gap = squares - squares[np.arange(len(own)), own][:, None]
     near = gap <= 2 * margin * apart[own] + 1e-9
     near[np.arange(len(own)), own] = True

@@ -273,6 +273,20 @@ def test_vectors(spark):
     assert sum(got[i][1] == want[i][1] for i in want) > 0.98 * len(want)
 
 
+@pytest.mark.parametrize("rank, dims", [(3, 64), (4, 128), (6, 384)])
+def test_vectors_of_low_rank(spark, rank, dims):
+    """No link across list borders is lost where the vectors fill few dimensions."""
+    rng = np.random.default_rng(rank)
+    x = (rng.normal(size=(1200, rank)) @ rng.normal(size=(rank, dims))).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    near = unit @ unit.T >= 0.93
+    part = plain.components(range(len(x)), [(i, j) for i, j in np.argwhere(near).tolist() if i < j])
+    assert near.sum() > 2 * len(x)
+    assert {r[0]: tuple(r)[1:] for r in found} == {i: (int(near[i].sum()) - 1, part[i], part[i] == i) for i in range(len(x))}
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
