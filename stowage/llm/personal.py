@@ -25,7 +25,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2})[0-9]{2})")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number by country (ISO 13616).
+LENGTHS = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}.items() for code in codes.split()}
+_SIZED = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(LENGTHS.values())}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -84,9 +93,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that pass mod 97: of their country's length, or else as far as groups of capitals and digits go."""
+    done = 0
+    for start in _ACCOUNT.finditer(text):
+        if start.start() < done:
+            continue
+        for rule in filter(None, (_SIZED.get(LENGTHS.get(start[1])), _IBAN)):
+            m = rule.match(text, start.start())
+            if m and mod97(m[0].replace(" ", "")):
+                yield m.span()
+                done = m.end()
+                break
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
     """Account numbers that pass mod 97, and social security numbers."""
-    found = [(4, *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    found = [(4, *span) for span in _accounts(text)]
     return found + [(5, *m.span()) for m in _SSN.finditer(text)]
 
 

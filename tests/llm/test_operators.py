@@ -119,6 +119,20 @@ def test_personal(spark, odd, none):
     assert personal.find_personal(odd).count() == len(ODD) and personal.find_personal(none).count() == 0
 
 
+@pytest.mark.parametrize("number", [
+    "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947",
+    "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_account_numbers_before_other_capitals(number):
+    for before in ("", "IBAN ", "REF AB12 3456 7890 1234 "):
+        for after in ("", " BIC ABCDEFGH", " BIC COBADEFFXXX", " USD 100", " 2024", " and", "."):
+            start, stop = len(before), len(before) + len(number)
+            assert (4, start, stop) in personal.added_spans(before + number + after)
+            assert "<IBAN>" + after == personal.masked(before + number + after)[len(before):]
+    two = f"{number} GB82 WEST 1234 5698 7654 32"
+    assert [two[a:b] for _, a, b in personal.added_spans(two)] == [number, "GB82 WEST 1234 5698 7654 32"]
+    assert personal.added_spans(f"{number[:2]}00{number[4:]} BIC") == []
+
+
 def test_personal_on_documents(docs):
     texts = dict(pairs(docs))
     for r in personal.find_personal(docs).collect():
