@@ -17,6 +17,10 @@ from stowage.plans.staging import stage
 from stowage.session import tune
 
 
+#: The near-duplicate stage drops from this similarity on, in percent: the one that its test holds it to.
+NEAR_PERCENT = 85
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(stage(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -30,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
     tune(spark)
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

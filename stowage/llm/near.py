@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,12 @@ from stowage.llm.words import LOWER, chunks, cut, mix, rolling
 from stowage.plans.staging import stage
 
 SHINGLE = 5
-#: Documents are linked at 100 * intersection >= PERCENT * union.
+#: Documents are linked at 100 * intersection >= percent * union; this is the percent of the query.
 PERCENT = 85
-#: Minima kept per document, bits kept of each, bands and minima in a band. A pair of similarity 0.85 shares none of
-#: the bands with a probability below 1e-6.
+#: Minima kept per document, bits kept of each, least number of bands and minima in a band.
 MINIMA, BITS, BANDS, ROWS = 320, 2, 25, 5
-#: The estimate from packed bits has a standard deviation below 0.024 at 0.85; what it puts lower by three and
-#: a third of those is not confirmed.
-ESTIMATE = PERCENT / 100 - 0.08
+#: A pair at the threshold shares none of the bands with a probability below this.
+MISS = 1e-6
 #: Members of a bucket compared in one step of the last round.
 BLOCK = 128
 #: Rounds in which each bucket is compared with one of its members.
@@ -34,6 +33,17 @@ _FACTORS = _RNG.integers(0, 2**31, MINIMA, np.uint32) * np.uint32(2) + np.uint32
 _SHIFTS = _RNG.integers(0, 2**32, MINIMA, np.uint32)
 
 
+def band_count(percent: int) -> int:
+    """Bands for which a pair at the threshold is missed with a probability below ``MISS``; at 85, 25 of them."""
+    return max(BANDS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)))
+
+
+def least_estimate(percent: int) -> float:
+    """Estimate below which a pair is not confirmed: 3.4 standard deviations of packed bits below the threshold."""
+    agree = 2**-BITS + percent / 100 * (1 - 2**-BITS)
+    return percent / 100 - 3.4 * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - 2**-BITS)
+
+
 def shingle_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each row, and where each row's begin; not yet distinct."""
     words = cut(column, LOWER)
@@ -78,9 +88,9 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(least), BANDS), np.uint64)
-    for band in range(BANDS):
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    keys = np.empty((len(least), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(least), band + 1, np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
             key = mix(key * np.uint64(0x9FB21C651E98DF25) + least[:, i])
@@ -91,7 +101,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 SKETCH = "n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>"
 
 
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, bands: int) -> DataFrame:
     """Set size, a 128-bit fingerprint of the set, packed minima and band keys of each row."""
 
     def lists(values: np.ndarray) -> pa.Array:
@@ -108,7 +118,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 least = minima(values, first)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]),
-                     pa.array(prints[:, 1]), lists(packed(least)), lists(band_keys(least))],
+                     pa.array(prints[:, 1]), lists(packed(least)), lists(band_keys(least, bands))],
                     names)
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *T.StructType.fromDDL(SKETCH)])
@@ -128,7 +138,7 @@ def estimated(one: str, other: str) -> Column:
     return (1 - unequal / F.lit(MINIMA) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
     The texts of the documents named by the pairs move once by id and once more with their pair; a
@@ -151,13 +161,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
                     if one is None or left != last:
                         last, one = left, shingle_sets(lefts.slice(row, 1))[0]
                     both_in = len(np.intersect1d(one, other, assume_unique=True))
-                    keep.append(both_in > 0 and 100 * both_in >= PERCENT * (len(one) + len(other) - both_in))
+                    keep.append(both_in > 0 and 100 * both_in >= percent * (len(one) + len(other) - both_in))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _unlinked_pairs(members: DataFrame) -> DataFrame:
+def _unlinked_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are in different components and look similar, each pair once.
 
     ``members`` has bucket, id, component, n_shingles, signature, bands. A bucket is cut into blocks by a hash of
@@ -171,7 +181,7 @@ def _unlinked_pairs(members: DataFrame) -> DataFrame:
     blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     met = blocks.toDF("bucket", "block", "left").join(blocks.toDF("bucket", "other", "right"), "bucket").where(
         "block <= other").select("bucket", "left", "right")
-    low, most = np.uint64(int("01" * 32, 2)), MINIMA * (1 - 1 / 2**BITS) * (1 - ESTIMATE)
+    low, most = np.uint64(int("01" * 32, 2)), MINIMA * (1 - 1 / 2**BITS) * (1 - least_estimate(percent))
 
     def side(blocks_of: pa.Array, row: int) -> list[np.ndarray]:
         rows = blocks_of.slice(row, 1).flatten()
@@ -184,7 +194,7 @@ def _unlinked_pairs(members: DataFrame) -> DataFrame:
             for row, bucket in enumerate(batch.column("bucket").to_pylist()):
                 ids, parts, n, bits, keys = side(batch.column("left"), row)
                 ids2, parts2, m, bits2, keys2 = side(batch.column("right"), row)
-                near = (parts[:, None] != parts2) & (100 * np.minimum(n[:, None], m) >= PERCENT * np.maximum(n[:, None], m))
+                near = (parts[:, None] != parts2) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
                 i, j = np.nonzero(near)
                 x = bits[i] ^ bits2[j]
                 alike = np.bitwise_count((x | x >> np.uint64(1)) & low).sum(axis=1) <= most
@@ -212,7 +222,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _linked_by_leaders(buckets: DataFrame, signatures: DataFrame, docs: DataFrame, key: str,
-                       text: str) -> tuple[DataFrame, DataFrame]:
+                       text: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links of each bucket's members with a leader, and the components they make.
 
     Every round another member leads each bucket that still holds several components, and meets those outside
@@ -230,9 +240,9 @@ def _linked_by_leaders(buckets: DataFrame, signatures: DataFrame, docs: DataFram
             F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = (pairs.join(signatures.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("signature").alias("one")), "a")
                  .join(signatures.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("signature").alias("other")), "b")
-                 .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
-                 .where(estimated("one", "other") >= ESTIMATE).select("a", "b"))
-        new = stage(confirmed(stage(pairs, "pairs"), docs, key, text), "confirmed")
+                 .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+                 .where(estimated("one", "other") >= least_estimate(percent)).select("a", "b"))
+        new = stage(confirmed(stage(pairs, "pairs"), docs, key, text, percent), "confirmed")
         if number and new.isEmpty():
             break
         links = new if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
@@ -240,9 +250,10 @@ def _linked_by_leaders(buckets: DataFrame, signatures: DataFrame, docs: DataFram
     return links, parts
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Returns (key, n_shingles, component_id, kept) for each row; ``key`` holds integers.
 
+    Documents are linked if their sets share at least ``percent`` of their union.
     Documents with equal sets are one class, stood for by its smallest id. Classes that share a band are
     first compared with one leader of their bucket; classes of one bucket that those links leave in
     different components are then compared with each other, so that no confirmed link is lost and no
@@ -250,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nothing. Rows that share an id are one document, linked if any of its texts is; a null id is linked
     with nothing and kept. An empty table gives an empty one; other columns are not looked at.
     """
-    whole = stage(sketches(docs, key, text), "sketches")
+    whole = stage(sketches(docs, key, text, band_count(percent)), "sketches")
     classes = (whole.where("n_shingles > 0 AND key IS NOT NULL").groupBy("n_shingles", "set_a", "set_b")
                .agg(F.min("key").cast("long").alias("id")))
     member = whole.select(F.col("key").cast("long").alias("key"), "n_shingles", "set_a", "set_b")
@@ -262,10 +273,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = stage(signed.select("id", F.explode("bands").alias("bucket")), "buckets")
     signatures = stage(signed.select("id", "n_shingles", "signature", "bands"), "signatures")
 
-    links, parts = _linked_by_leaders(buckets, signatures, docs, key, text)
+    links, parts = _linked_by_leaders(buckets, signatures, docs, key, text, percent)
     placed = _placed(buckets, parts)
-    open_pairs = stage(_unlinked_pairs(placed.join(_mixed(placed), "bucket").join(signatures, "id")), "open")
-    more = stage(confirmed(open_pairs, docs, key, text), "confirmed")
+    open_pairs = stage(_unlinked_pairs(placed.join(_mixed(placed), "bucket").join(signatures, "id"), percent), "open")
+    more = stage(confirmed(open_pairs, docs, key, text, percent), "confirmed")
 
     found = connected_components(links.union(more).union(same))
     return (whole.select("key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left")
@@ -275,4 +286,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT)

@@ -83,6 +83,20 @@ def test_near(request, name):
     assert got == plain.near(pairs(rows))
 
 
+def test_near_from_a_lower_similarity(spark):
+    """Pairs of a similarity from 0.80 to 0.85 are linked where 80 percent are asked for, and only there."""
+    rows = []
+    for i in range(60):
+        base = prose(300 + i, 204).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:184], *prose(900 + i, 20).split()]))]
+    alike = {len(plain.shingles(a) & plain.shingles(b)) / len(plain.shingles(a) | plain.shingles(b))
+             for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)}
+    assert 0.8 <= min(alike) and max(alike) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_duplicates(docs, percent=80).where("kept").collect()} == {2 * i for i in range(60)}
+    assert near_duplicates(docs).where("kept").count() == 120
+
+
 def test_near_group_without_a_centre(spark):
     """A chain of texts, each near only to its neighbours, and a null id that is linked with nothing."""
     base = prose(9, 300).split()
