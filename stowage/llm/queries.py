@@ -9,6 +9,7 @@ from stowage.llm import (  # noqa: F401
     packing,
     personal,
     quality,
+    sharding,
     substring,
     urls,
     vectors,
