@@ -6,8 +6,10 @@ from stowage.llm import (  # noqa: F401
     language,
     licenses,
     near,
+    negatives,
     packing,
     personal,
+    prefixes,
     quality,
     sharding,
     substring,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm.registry import query, table
 from stowage.llm.slots import with_slots
+from stowage.llm.sqltext import sql_crc32
 
 SHARDS = 24
 #: Bytes that a row takes beside its text.
@@ -166,21 +167,11 @@ def sql_shard(count: int, tree: Tree = TREE) -> str:
             f"SELECT k, {pick('p', down)} AS p FROM (SELECT k, {least(run)} AS p FROM keys)))")
 
 
-# DuckDB has no CRC-32: the bytes are folded with a table of remainders that the rule of the polynomial makes.
-SQL_CRC32 = """
-    SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, bytes),
-        lambda c, b: xor(c >> 8, remainders[(xor(c & 255, b) + 1)::INT])), 4294967295) AS text_crc32
-    FROM (SELECT doc_id, text, list_transform(range(octet_length(encode(text))),
-            lambda i: ('0x' || substr(hex(encode(text)), (2 * i + 1)::INT, 2))::BIGINT) AS bytes
-          FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-         (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-            lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders)
-"""
-
 SQL = f"""
 WITH keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS k FROM documents),
 now AS ({sql_shard(SHARDS)}), grown AS ({sql_shard(SHARDS + 1)}),
-rows_ AS (SELECT doc_id, octet_length(encode(text)) + {ROW_BYTES} AS size, text_crc32 FROM ({SQL_CRC32}))
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rows_ AS (SELECT doc_id, octet_length(encode(text)) + {ROW_BYTES} AS size, crc AS text_crc32 FROM ({sql_crc32('texts', 'text')}))
 SELECT doc_id, size, text_crc32, 'key' AS law, now.shard, row_number() OVER (
          PARTITION BY now.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
        grown.shard AS grown_shard, now.region, now.rack
