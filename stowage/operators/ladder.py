@@ -88,7 +88,21 @@ def classify(files: DataFrame, ledger: DataFrame, snapshot: DataFrame) -> DataFr
 
     ``files`` has path, length, mtime_ms, destination, folder and name.
     """
-    joined = with_ledger(files, ledger).join(snapshot, ["folder", "name"], "left")
+    return stepped(with_ledger(files, ledger).join(snapshot, ["folder", "name"], "left"))
+
+
+def remote_hash_matters(joined: DataFrame) -> DataFrame:
+    """Of files with their ledger row and remote entry, those whose step depends on the remote file's hash.
+
+    It is asked for if the sizes are equal, or if the ledger says that it wrote this very copy.
+    """
+    ours = (F.col("l_remote_path") == F.col("destination")) & F.col("l_md5").isNotNull()
+    return joined.where(~F.col("settled") & ~F.col("is_collection")
+                        & ((F.col("r_length") == F.col("length")) | F.coalesce(ours, F.lit(False))))
+
+
+def stepped(joined: DataFrame) -> DataFrame:
+    """``classify`` for files that already have their ledger row and remote entry (is_collection, r_length, r_md5)."""
     ours = remote_is_ours(F.col("l_remote_path"), F.col("l_md5"), F.col("destination"),
                           F.col("r_md5"))
     differs = F.col("r_length") != F.col("length")
@@ -147,10 +161,20 @@ def cheap_decisions(classified: DataFrame, policy: Column) -> DataFrame:
 
 
 def cached_hashes(files: DataFrame, hash_cache: DataFrame) -> DataFrame:
-    """Adds md5, sha256 and ``hit``. A row without MD5 is a miss; a missing SHA-256 is not."""
+    """Adds md5, sha256 and ``hit``. A row without MD5 is a miss; a missing SHA-256 is not.
+
+    The cache is folded to one row per key, on the keys of the join, so that a key it holds twice multiplies
+    nothing. Of hashes that disagree none is believed: that file is a miss.
+    """
+
+    def agreed(name: str) -> Column:
+        least, most = F.min(F.lower(name)), F.max(F.lower(name))
+        return F.when(least == most, F.max(name)).alias(name)
+
     cache = hash_cache.where(F.col("md5").isNotNull()).select(
         path_key(F.col("local_path")).alias("path_key"), F.col("size").alias("length"),
-        F.col("mtime_utc").alias("mtime_ms"), "md5", "sha256")
+        F.col("mtime_utc").alias("mtime_ms"), "md5", "sha256").groupBy(
+        "path_key", "length", "mtime_ms").agg(agreed("md5"), agreed("sha256"))
     return (files.withColumn("path_key", path_key(F.col("path")))
             .join(cache, ["path_key", "length", "mtime_ms"], "left")
             .withColumn("hit", F.col("md5").isNotNull())
@@ -158,16 +182,15 @@ def cached_hashes(files: DataFrame, hash_cache: DataFrame) -> DataFrame:
 
 
 def hashed(files: DataFrame, hash_cache: DataFrame | None, hasher: Hasher) -> DataFrame:
-    """Adds md5 and sha256 to every file; the hasher is given only the cache misses.
+    """Adds md5, sha256 and ``hit`` to every file; the hasher is given only the cache misses.
 
     The hasher keeps the columns it is given and adds md5 and sha256.
     """
     if hash_cache is None:
-        return hasher(files)
+        return hasher(files).withColumn("hit", F.lit(False))
     looked_up = cached_hashes(files, hash_cache)
-    hits = looked_up.where("hit").drop("hit")
     misses = looked_up.where(~F.col("hit")).drop("hit", "md5", "sha256")
-    return hits.unionByName(hasher(misses))
+    return looked_up.where("hit").unionByName(hasher(misses).withColumn("hit", F.lit(False)))
 
 
 def settled_contents(ledger: DataFrame) -> DataFrame:

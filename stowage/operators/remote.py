@@ -139,18 +139,19 @@ def name_except(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def snapshot_overlay(entries: DataFrame, folders: DataFrame, verified: DataFrame) -> DataFrame:
     """Folds verified uploads into cached snapshots without extending their age.
 
-    ``entries``: folder, name, is_collection, length, md5; ``folders``: folder, taken_ms;
-    ``verified``: folder, name, length, md5. An upload into a folder without a snapshot is
+    ``entries``: folder, name, is_collection, length, md5, and perhaps mtime_ms and path; ``folders``: folder, taken_ms;
+    ``verified``: the same without is_collection. An upload into a folder without a snapshot is
     ignored. Only verified outcomes belong here: a copy that failed its check must not vouch for
     itself.
     """
-    columns = ["folder", "name", "is_collection", "length", "md5"]
+    kept = ["is_collection", "length", "md5", *[c for c in ("mtime_ms", "path") if c in entries.columns]]
+    columns = ["folder", "name", *kept]
     ours = (verified.withColumn("is_collection", F.lit(False)).select(*columns)
             .join(folders.select("folder"), "folder", "left_semi"))
     both = (entries.select(*columns, F.lit(0).alias("rank"))
             .unionByName(ours.select(*columns, F.lit(1).alias("rank"))))
     merged = (both.groupBy("folder", "name")
-              .agg(F.max_by(F.struct("is_collection", "length", "md5"), "rank").alias("r"))
+              .agg(F.max_by(F.struct(*kept), "rank").alias("r"))
               .select("folder", "name", "r.*"))
     return merged.join(folders.select("folder", "taken_ms"), "folder")
 

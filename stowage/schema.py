@@ -64,7 +64,9 @@ NOTICES = _struct(
 OUTCOMES = _struct(
     ("path", T.StringType()), ("destination", T.StringType()), ("bytes", T.LongType()),
     ("md5", T.StringType()), ("sha256", T.StringType()),
-    ("elapsed_ms", T.LongType()), ("error", T.StringType()))
+    ("elapsed_ms", T.LongType()), ("error", T.StringType()),
+    # The source as it was when its copy was whole.
+    ("length_after", T.LongType()), ("mtime_after", T.LongType()))
 
 
 # Numeric codes as stored in the ledger and on the wire.

@@ -20,3 +20,11 @@ def finished(spark: SparkSession, folder: str, pattern: str) -> list[tuple[list[
         if match and system.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
             found.append(([int(g) for g in match.groups()], status.getPath().toString()))
     return sorted(found)
+
+
+def retire(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that nothing reads any more."""
+    jvm = spark._jvm
+    for folder in folders:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from stowage.schema import OUTCOMES
 from stowage.sources.hashing import dealt_out, hash_stream, open_location
+from stowage.sources.inventory import stamp
 
 _ARROW = pa.schema([("path", pa.string()), ("destination", pa.string()), ("bytes", pa.int64()),
                     ("md5", pa.string()), ("sha256", pa.string()), ("elapsed_ms", pa.int64()),
-                    ("error", pa.string())])
+                    ("error", pa.string()), ("length_after", pa.int64()), ("mtime_after", pa.int64())])
 
 
 def _copy(source: str, target: str, mtime_ms: int | None, sha256: bool) -> tuple:
@@ -38,18 +39,22 @@ def _copy(source: str, target: str, mtime_ms: int | None, sha256: bool) -> tuple
         except OSError:
             pass
         raise
-    return count, md5, sha
+    after = stamp(source)
+    return count, md5, sha, *(after or (None, None))
 
 
 def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
                 parallelism: int | None = None) -> DataFrame:
-    """Copies (path, target, mtime_ms) below ``dest_root`` and yields one outcome per file.
+    """Copies (path, target, mtime_ms, and length where it is known) below ``dest_root``; one outcome per file.
 
-    Failures become rows. The stamp of the source goes onto the copy. Slots of the cluster bound
-    how many copies run at once; ``parallelism`` sets the number of tasks the list is dealt into.
-    The result must be written once and read from there: evaluating it again copies again.
+    Failures become rows. The stamp of the source goes onto the copy, and the copying task looks at the source
+    once more when it is done. Slots of the cluster bound how many copies run at once; ``parallelism`` sets the
+    number of tasks the list is dealt into, by bytes. The result must be written once and read from
+    there: evaluating it again copies again.
     """
-    listed = worklist.select("path", "target", F.col("mtime_ms").cast("bigint").alias("mtime_ms"))
+    size = F.col("length") if "length" in worklist.columns else F.lit(0)
+    listed = worklist.select("path", "target", F.col("mtime_ms").cast("bigint").alias("mtime_ms"),
+                             size.cast("bigint").alias("length"))
     root = dest_root.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,14 +62,14 @@ def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
             for row in batch.to_pylist():
                 begun = time.monotonic()
                 target = f"{root}/{row['target'].lstrip('/')}"
-                count, md5, sha, problem = 0, None, None, None
+                count, md5, sha, length, mtime, problem = 0, None, None, None, None, None
                 try:
-                    count, md5, sha = _copy(row["path"], target, row["mtime_ms"], sha256)
+                    count, md5, sha, length, mtime = _copy(row["path"], target, row["mtime_ms"], sha256)
                 except Exception as error:  # One bad file must not stop the rest.
                     problem = str(error)
                 spent = int((time.monotonic() - begun) * 1000)
                 yield pa.RecordBatch.from_pylist([dict(
                     path=row["path"], destination=target, bytes=count, md5=md5, sha256=sha,
-                    elapsed_ms=spent, error=problem)], schema=_ARROW)
+                    elapsed_ms=spent, error=problem, length_after=length, mtime_after=mtime)], schema=_ARROW)
 
-    return dealt_out(listed, parallelism).mapInArrow(run, OUTCOMES)
+    return dealt_out(listed, parallelism, "length").mapInArrow(run, OUTCOMES)

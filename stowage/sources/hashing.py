@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BLOCK = 1 << 20
 
@@ -38,17 +38,41 @@ def hash_stream(source, sink, sha256: bool) -> tuple[int, str, str | None]:
     return count, md5.hexdigest(), sha.hexdigest() if sha is not None else None
 
 
-def dealt_out(df: DataFrame, tasks: int | None) -> DataFrame:
-    """Rows spread evenly over several tasks per slot, because what follows reads whole files: a
-    folder's worth of names in one task would be a straggler."""
-    return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
+#: Bytes that a file counts for beside its own, since opening one takes time too.
+OPENING = 1 << 16
+#: Groups in which a list is summed up before it is dealt out.
+GROUPS = 1024
+
+
+def dealt_out(df: DataFrame, tasks: int | None, weight: str | None = None, path: str = "path") -> DataFrame:
+    """Rows spread over several tasks per slot, because what follows reads whole files: a folder's worth of
+    names in one task would be a straggler.
+
+    With a column of sizes the bytes are dealt, not the rows: the files stand in a fixed order, the sum of the sizes
+    before a file says which task's share it begins in, and so no task has more than its share and one file.
+    The sums are taken in ``GROUPS`` groups of paths, and over the groups. In a task the largest file comes first.
+    """
+    tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+    if weight is None:
+        return df.repartition(tasks)
+    cost = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)) + OPENING
+    weighed = df.withColumn("_cost", cost).withColumn("_group", F.pmod(F.xxhash64(path), F.lit(GROUPS)))
+    sums = weighed.groupBy("_group").agg(F.sum("_cost").alias("_sum"))
+    # At most GROUPS rows.
+    before = F.broadcast(sums.select("_group", (F.sum("_sum").over(Window.orderBy("_group")) - F.col("_sum")).alias("_before"),
+                                     F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("_total")))
+    within = F.sum("_cost").over(Window.partitionBy("_group").orderBy(path).rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.col("_before") + F.coalesce(within, F.lit(0))
+    task = F.floor(starts.cast("double") * tasks / F.col("_total")).cast("int")
+    return (weighed.join(before, "_group").withColumn("_task", F.least(task, F.lit(tasks - 1)))
+            .repartitionById(tasks, "_task").sortWithinPartitions(F.desc("_cost")).drop("_cost", "_group", "_before", "_total", "_task"))
 
 
 def hash_files(files: DataFrame, sha256: bool = False, tasks: int | None = None,
                path: str = "path") -> DataFrame:
     """Adds md5, sha256 and error by reading each file once, whatever its size.
 
-    Every other column passes through untouched.
+    Every other column passes through untouched; ``length``, if there is one, deals the files by bytes.
     """
     schema = T.StructType(files.schema.fields + [
         T.StructField(name, T.StringType()) for name in ("md5", "sha256", "error")])
@@ -69,7 +93,7 @@ def hash_files(files: DataFrame, sha256: bool = False, tasks: int | None = None,
                 batch.columns + [pa.array(c, pa.string()) for c in columns],
                 names=batch.schema.names + ["md5", "sha256", "error"])
 
-    return dealt_out(files, tasks).mapInArrow(run, schema)
+    return dealt_out(files, tasks, "length" if "length" in files.columns else None, path).mapInArrow(run, schema)
 
 
 def file_hasher(sha256: bool = False, tasks: int | None = None):

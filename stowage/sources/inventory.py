@@ -119,6 +119,67 @@ def scan_tree(spark: SparkSession, root: str, recursive: bool = True, budget: in
     return found.where(F.col("folder").isNull()).drop("folder")
 
 
+_ENTRY = pa.schema([("parent", pa.string()), ("path", pa.string()), ("name", pa.string()), ("is_collection", pa.bool_()),
+                    ("length", pa.int64()), ("mtime_ms", pa.int64()), ("problem", pa.string())])
+
+
+def list_folders(folders: DataFrame, folder: str = "path") -> DataFrame:
+    """The entries (parent, path, name, is_collection, length, mtime_ms, problem) of each folder, not of those below.
+
+    A folder that is not there has none; one that can't be read is one row with ``problem``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parent in batch.column("folder").to_pylist():
+                rows: list[tuple] = []
+                try:
+                    for path, is_folder, length, mtime in (_remote if "://" in parent else _local)(parent):
+                        rows.append((parent, path, path.rstrip("/").rsplit("/", 1)[-1], is_folder, length, mtime, None))
+                        if len(rows) == _BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+                            rows = []
+                except FileNotFoundError:
+                    pass
+                except OSError as error:
+                    rows.append((parent, None, None, None, None, None, str(error)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+
+    cores = folders.sparkSession.sparkContext.defaultParallelism
+    return folders.select(F.col(folder).alias("folder")).repartition(_TASKS_PER_CORE * cores).mapInArrow(
+        run, "parent string, path string, name string, is_collection boolean, length bigint, mtime_ms bigint, problem string")
+
+
+def stamp(path: str) -> tuple[int, int] | None:
+    """Length and modification time of a file in milliseconds, or nothing where there is no file."""
+    if "://" not in path:
+        try:
+            seen = os.stat(path)
+        except OSError:
+            return None
+        return (seen.st_size, seen.st_mtime_ns // 1_000_000) if os.path.isfile(path) else None
+    system, inner = fs.FileSystem.from_uri(path)
+    seen = system.get_file_info(inner)
+    return (seen.size, (seen.mtime_ns or 0) // 1_000_000) if seen.type == fs.FileType.File else None
+
+
+def stat_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, length, mtime_ms) of those of the named files that are there, each looked at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = batch.column("path").to_pylist()
+            seen = [(p, *s) for p, s in ((p, stamp(p)) for p in named) if s]
+            columns = zip(*seen, strict=True) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                                             ["path", "length", "mtime_ms"])
+
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct().repartition(
+        _TASKS_PER_CORE * cores).mapInArrow(run, "path string, length bigint, mtime_ms bigint")
+
+
 def scan_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, length, mtime_ms) of every visible file; never fails on an unreadable folder."""
     return scan_tree(spark, root, recursive).where(F.col("problem").isNull()).drop("problem")
