@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,17 @@ def seq_chunk(seq: str, width: int = SEQ_BLOCK) -> Column:
     return F.floor(F.col(seq) / width).cast("bigint")
 
 
+def in_parts(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df``, written once and dealt by ranges of (key, order), with the range as ``_part``.
+
+    A part is bounded in rows: a key goes through as many as it needs, at whatever times its rows come.
+    """
+    return stage(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "parts")
+
+
 def mark_runs(df: DataFrame, key: str, order: list[str], chunk: Column, value: Column,
               start: Column) -> DataFrame:
-    """Finds runs of equal ``value`` per key.
+    """Finds runs of equal ``value`` per key, with ``chunk`` a time, a block of numbers or the part of ``in_parts``.
 
     Adds ``run`` (from 1), ``run_start`` (``start`` at the run's first row), ``position`` in the
     run (from 1), ``previous`` (the value of the row before) and ``chunk``.
@@ -89,16 +98,21 @@ def mark_runs(df: DataFrame, key: str, order: list[str], chunk: Column, value: C
 
 
 # What a row did to its cycle.
-START, FIRE, HOLD, CLEAR = "start", "fire", "hold", "clear"
+START, FIRE, HOLD, CLEAR, HAND = "start", "fire", "hold", "clear", "hand"
 NOT_FORCED, FORCE_START, FORCE_CLEAR = 0, 1, 2
-_CODES = (HOLD, START, FIRE, CLEAR)
+_CODES = (HOLD, START, FIRE, CLEAR, HAND)
+
+#: A timer: since when it runs, and how many held rows in a row it has seen. No timer: -1.
+State = tuple[int, int]
+_NONE: State = (-1, 0)
 
 
 class _Looks:
     """Consecutive rows in order of (key, time): where a timer that starts at a row is next touched."""
 
-    def __init__(self, key: np.ndarray, time: np.ndarray, may_fire: np.ndarray, forced: np.ndarray, wait: int):
-        self.n, self.time, self.wait = len(time), time, wait
+    def __init__(self, key: np.ndarray, time: np.ndarray, may_fire: np.ndarray, forced: np.ndarray, held: np.ndarray,
+                 wait: int, limit: int | None):
+        self.n, self.time, self.wait, self.limit = len(time), time, wait, limit
         first = np.ones(self.n, bool)
         first[1:] = key[1:] != key[:-1]
         self.first = first
@@ -109,10 +123,23 @@ class _Looks:
         low = int(time.min()) if self.n else 0
         self._span = (int(time.max()) - low if self.n else 0) + wait + 1
         self._line = (time - low) + number * self._span
+        self.may_fire = may_fire
         self._fires = np.flatnonzero(may_fire)
         self._forced = np.flatnonzero(forced != NOT_FORCED)
         self.forced = forced
-        self.touched = self._touched(np.arange(self.n), self._line)
+        # Held rows in a row up to each row, and the rows that complete one too many of them.
+        row = np.arange(self.n)
+        counts = held & (forced == NOT_FORCED) if limit is not None else np.zeros(self.n, bool)
+        self.run = row - np.maximum.accumulate(np.where(~counts, row, np.where(first, row - 1, -1))) if self.n else row
+        self.full = np.flatnonzero(self.run == limit + 1) if limit is not None else row[:0]
+        self.lead = int(np.argmin(np.append(counts[:self.end[0]], False))) if self.n else 0
+        self.touched = self._touched(row, self._line)
+        if len(self.full):
+            after = row + limit + 1
+            here = np.minimum(after, self.n - 1)
+            soon = np.where((after < self.end) & (self.run[here] > limit), after,
+                            np.append(self.full, self.n)[np.searchsorted(self.full, after)])
+            self.touched = np.minimum(self.touched, soon)
 
     def _touched(self, row: np.ndarray, since: np.ndarray) -> np.ndarray:
         """First later row of the key that fires a timer running since then, or is forced; else the key's end."""
@@ -121,22 +148,40 @@ class _Looks:
         force = np.append(self._forced, self.n)[np.searchsorted(self._forced, row, "right")]
         return np.minimum(np.minimum(fire, force), self.end[np.maximum(row, 0)])
 
-    def touched_from(self, since: int) -> int:
+    def touched_from(self, state: State) -> int:
         """The same for a timer that the first key brings along."""
+        since, count = state
         line = np.array([since - int(self.time[0]) + int(self._line[0])])
-        return int(self._touched(np.array([-1]), line)[0])
+        at = int(self._touched(np.array([-1]), line)[0])
+        if self.limit is not None:
+            if self.lead > self.limit - count:
+                return min(at, self.limit - count)
+            if len(self.full):
+                return min(at, int(self.full[0]))
+        return at
+
+    def fired(self, row: int, since: int) -> bool:
+        return bool(self.may_fire[row]) and int(self.time[row]) - since >= self.wait
 
+    def left(self, row: int) -> State:
+        """The timer behind the last row if it began at this one."""
+        return _NONE if row < 0 else (int(self.time[row]), min(int(self.run[-1]), self.n - 1 - row))
 
-def _replay(looks: _Looks, since: int | None, restart: bool) -> tuple[np.ndarray, np.ndarray, int | None]:
+    def passed(self, state: State) -> State:
+        """The timer behind the last row if it was brought along and nothing touched it."""
+        trail = int(self.run[-1])
+        return state[0], state[1] + trail if trail == self.n else trail
+
+
+def _replay(looks: _Looks, state: State, restart: bool) -> tuple[np.ndarray, np.ndarray, State]:
     """Codes and timer starts of the rows (-1: none ran), and the timer of the last key after them."""
     n, code, found = looks.n, np.zeros(looks.n, np.int8), np.full(looks.n, -1, np.int64)
     time, forced, touched, first = looks.time.tolist(), looks.forced.tolist(), looks.touched.tolist(), looks.first.tolist()
-    at = 0
-    if since is not None and n:
-        at = looks.touched_from(since)
+    at, since, begun = 0, None, -1
+    if state[0] >= 0 and n:
+        since = state[0]
+        at = looks.touched_from(state)
         found[:at] = since
-    else:
-        since = None
     while at < n:
         if first[at] and at:
             since = None
@@ -146,38 +191,54 @@ def _replay(looks: _Looks, since: int | None, restart: bool) -> tuple[np.ndarray
             code[at], since = 3, None
         elif since is None or forced[at] == FORCE_START:
             code[at], since = 1, time[at]
-        else:
+        elif looks.fired(at, since):
             code[at], since = 2, time[at] if restart else None
+        else:
+            code[at], since = 4, None
         if since is None:
             at += 1
         else:
-            until = touched[at]
+            begun, until = at, touched[at]
             found[at + 1:until] = since
             at = until
-    return code, found, since
+    if since is None:
+        return code, found, _NONE
+    return code, found, looks.left(begun) if begun >= 0 else looks.passed(state)
 
 
-def _passage(looks: _Looks, restart: bool) -> tuple[int, list[int], list[int]]:
-    """What a whole part of one key makes of any timer it is entered with (-1: none).
+@dataclass
+class _Exits:
+    """What a whole part of one key makes of any timer it is entered with.
 
-    The exit of one entered without a timer; then, for the rows that can be the first to touch a timer that
-    was brought along, their times and exits, one entry where the exit changes. A timer brought along is
-    touched by the first row that may fire at ``since + wait`` or later, or by the first forced row.
+    ``fresh`` is the exit of one entered without a timer. ``times`` and ``exits`` have, for the rows that can be the first
+    to touch a timer that was brought along, their times and exits, one entry where the exit changes: a timer
+    brought along is touched by the first row that may fire at ``since + wait`` or later, or by the first row that is
+    forced or hands back. ``handed`` has the exit for each number of held rows that were still allowed, as far as the held
+    rows at the part's beginning use them up.
     """
+
+    fresh: State
+    times: list[int]
+    exits: list[State]
+    handed: list[State]
+
+
+def _passage(looks: _Looks, restart: bool) -> _Exits:
     n, forced, time, touched = looks.n, looks.forced.tolist(), looks.time.tolist(), looks.touched.tolist()
+    # Rows at which the timer begins that is left behind the part (-1: none).
     started, idle = [-1] * n, [-1] * n
     for i in range(n - 1, -1, -1):
         if i + 1 < n:
             idle[i] = idle[i + 1] if forced[i + 1] == FORCE_CLEAR else started[i + 1]
         j = touched[i]
         if j >= n:
-            started[i] = time[i]
-        elif forced[j] == FORCE_CLEAR or (forced[j] == NOT_FORCED and not restart):
-            started[i] = idle[j]
-        else:
+            started[i] = i
+        elif forced[j] == FORCE_START or (forced[j] == NOT_FORCED and restart and looks.fired(j, time[i])):
             started[i] = started[j]
+        else:
+            started[i] = idle[j]
     fresh = idle[0] if forced[0] == FORCE_CLEAR else started[0]
-    stop = int(looks._forced[0]) if len(looks._forced) else n
+    stop = min([n, *looks._forced[:1].tolist(), *looks.full[:1].tolist()])
     able = looks._fires[looks._fires < stop]
     # No timer that was brought along starts after the first row.
     able = able[:int(np.searchsorted(looks.time[able], looks.time[0] + looks.wait)) + 1]
@@ -185,15 +246,16 @@ def _passage(looks: _Looks, restart: bool) -> tuple[int, list[int], list[int]]:
     exits = [started[i] if restart else idle[i] for i in able.tolist()]
     if stop < n:
         times.append(2**62)
-        exits.append(idle[stop] if forced[stop] == FORCE_CLEAR else started[stop])
+        exits.append(started[stop] if forced[stop] == FORCE_START else idle[stop])
     # Entry k serves timers due after the time before it, up to its own: only the last of equal exits is needed.
     keep = [k for k in range(len(exits)) if k + 1 == len(exits) or exits[k + 1] != exits[k]]
-    return fresh, [times[k] for k in keep], [exits[k] for k in keep]
+    used = min(looks.lead, looks.limit + 1) if looks.limit is not None else 0
+    return _Exits(looks.left(fresh), [times[k] for k in keep], [looks.left(exits[k]) for k in keep],
+                  [looks.left(idle[k]) for k in range(used)])
 
 
 def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
-    return (np.asarray(batch.column("_key")), np.asarray(batch.column("_t")), np.asarray(batch.column("_fires")),
-            np.asarray(batch.column("_forced")))
+    return tuple(np.asarray(batch.column(c)) for c in ("_key", "_t", "_fires", "_forced", "_held"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +268,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
-def _entries(rows: DataFrame, wait_ms: int, restart: bool) -> dict[int, tuple[str, int]]:
+_EXITS = ("part int, fresh array<bigint>, times array<bigint>, exits array<array<bigint>>, handed array<array<bigint>>, "
+          "lead bigint, trail bigint, n bigint")
+
+
+def _entries(rows: DataFrame, wait_ms: int, restart: bool, limit: int | None) -> dict[int, State]:
     """The timer that each part's first key brings along, where it began in a part before.
 
-    ``rows`` is dealt by part and sorted. Only parts in which a key goes on or goes through are looked at; what comes
-    to the driver is a few numbers for each.
+    ``rows`` is dealt by part and sorted. Only parts in which a key goes on or goes through are looked at. Their exits
+    are chained in tasks, key by key, one part's exits at a time; what comes to the driver is two numbers for each part.
     """
     ends = rows.groupBy("_part").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).orderBy("_part").collect()
     carried = {b["_part"] for a, b in zip(ends, ends[1:], strict=False) if a["last"] == b["first"]}
@@ -219,19 +285,25 @@ def _entries(rows: DataFrame, wait_ms: int, restart: bool) -> dict[int, tuple[st
     if not carried:
         return {}
     wanted = sorted(set(before) | through)
+    pair = pa.list_(pa.int64())
+    schema = pa.schema([("part", pa.int32()), ("fresh", pair), ("times", pair), ("exits", pa.list_(pair)),
+                        ("handed", pa.list_(pair)), ("lead", pa.int64()), ("trail", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
             part = held[0].column("_part")[0].as_py()
-            key, time, fires, forced = _arrays(pa.Table.from_batches(held))
+            arrays = _arrays(pa.Table.from_batches(held))
             if part not in through:
-                last = key == key[-1]
-                key, time, fires, forced = key[last], time[last], fires[last], forced[last]
-            fresh, times, exits = _passage(_Looks(key, time, fires, forced, wait_ms), restart)
-            return pa.RecordBatch.from_pydict({"part": [part], "fresh": [fresh], "times": [times], "exits": [exits]}, pa.schema(
-                [("part", pa.int32()), ("fresh", pa.int64()), ("times", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))]))
+                last = arrays[0] == arrays[0][-1]
+                arrays = tuple(a[last] for a in arrays)
+            looks = _Looks(*arrays, wait_ms, limit)
+            found = _passage(looks, restart)
+            return pa.RecordBatch.from_pydict({
+                "part": [part], "fresh": [list(found.fresh)], "times": [found.times], "exits": [[list(e) for e in found.exits]],
+                "handed": [[list(e) for e in found.handed]], "lead": [looks.lead], "trail": [int(looks.run[-1])], "n": [looks.n]},
+                schema)
 
         for piece in _parts(batches):
             if held and held[0].column("_part")[0] != piece.column("_part")[0]:
@@ -241,20 +313,47 @@ def _entries(rows: DataFrame, wait_ms: int, restart: bool) -> dict[int, tuple[st
         if held:
             yield out()
 
-    slim = rows.where(F.col("_part").isin(wanted)).select("_part", "_key", "_t", "_s", "_fires", "_forced")
-    found = _dealt(slim).drop("_s").mapInArrow(run, "part int, fresh bigint, times array<bigint>, exits array<bigint>")
-    maps = {r["part"]: r for r in found.collect()}
-    entries, since = {}, -1
+    slim = rows.where(F.col("_part").isin(wanted)).select("_part", "_key", "_t", "_s", "_fires", "_forced", "_held")
+    found = _dealt(slim).drop("_s").mapInArrow(run, _EXITS)
+    # Parts that follow each other with one key are a chain; it begins where the key does.
+    chains: dict[int, int] = {}
     for a, b in sorted(before.items()):
-        m = maps[a]
-        if a not in through or since < 0:
-            since = m["fresh"]
-        else:
-            hit = bisect.bisect_left(m["times"], since + wait_ms)
-            since = m["exits"][hit] if hit < len(m["exits"]) else since
-        if since >= 0:
-            entries[b] = since
-    return entries
+        chains[b] = chains.get(a, a) if a in through else a
+    links = rows.sparkSession.createDataFrame(
+        [(a, b, chains[b], a in through) for a, b in sorted(before.items())], "part int, next int, chain int, through boolean")
+    # One row for each part.
+    told = found.join(F.broadcast(links), "part").repartition("chain").sortWithinPartitions("chain", "part").mapInArrow(
+        _chained(wait_ms, limit), "part int, since bigint, count bigint")
+    return {r["part"]: (r["since"], r["count"]) for r in told.where("since >= 0").collect()}
+
+
+def _chained(wait_ms: int, limit: int | None):
+    """Goes along sorted rows of exits and tells the timer that each next part is entered with (since -1: none)."""
+
+    def step(state: State, row: dict) -> State:
+        since, count = state
+        if since < 0 or not row["through"]:
+            return tuple(row["fresh"])
+        if limit is not None and limit - count < len(row["handed"]):
+            return tuple(row["handed"][limit - count])
+        hit = bisect.bisect_left(row["times"], since + wait_ms)
+        if hit < len(row["times"]):
+            return tuple(row["exits"][hit])
+        return since, count + row["n"] if row["lead"] == row["n"] else row["trail"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, state = None, _NONE
+        for batch in batches:
+            found = []
+            for place in range(len(batch)):
+                row = batch.slice(place, 1).to_pylist()[0]
+                state = step(state if row["chain"] == chain else _NONE, row)
+                chain = row["chain"]
+                found.append((row["next"], *state))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()),
+                                              pa.array([f[2] for f in found], pa.int64())], ["part", "since", "count"])
+
+    return run
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -262,12 +361,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def run_cycles(df: DataFrame, key: str, time_ms: str, seq: str, wait_ms: int, fires: Column,
-               forced: Column, restart: bool) -> DataFrame:
+               forced: Column, restart: bool, held: Column | None = None, limit: int | None = None) -> DataFrame:
     """Replays a timer per key whose start depends on what it did before.
 
     A row starts the timer when none runs. A later row that may fire does so once ``wait_ms`` has
     passed; the timer then restarts at that row, or stops. A forced row starts or clears the timer
-    whatever its state. Adds ``code`` and ``since``, the start of the timer as the row found it.
+    whatever its state. With a ``limit``, a timer that has seen more ``held`` rows in a row than that is handed back: it
+    stops, and the next row starts another. Held rows do not fire. Adds ``code`` and ``since``, the start of the timer as the row found it.
     Times are not negative.
 
     Such a chain has no window form. The rows are range-partitioned by (key, time), so parts are bounded in
@@ -275,24 +375,27 @@ def run_cycles(df: DataFrame, key: str, time_ms: str, seq: str, wait_ms: int, fi
     exits (see ``_passage``); chaining those gives each part's entry, and all parts are then replayed at once,
     batch by batch. No key's rows are ever held together.
     """
-    names = [c for c in df.columns if c != "chunk"]
+    names = [c for c in df.columns if c not in ("chunk", "_part")]
+    parted = ["_part"] if "_part" in df.columns else []
     rows = df.select(*names, F.col(key).cast("string").alias("_key"), F.col(time_ms).cast("bigint").alias("_t"),
                      F.col(seq).cast("bigint").alias("_s"), F.coalesce(fires, F.lit(False)).alias("_fires"),
-                     forced.cast("int").alias("_forced"))
-    rows = stage(rows.repartitionByRange("_key", "_t", "_s").withColumn("_part", F.spark_partition_id()), "cycles")
-    entries = _entries(rows, wait_ms, restart)
+                     forced.cast("int").alias("_forced"),
+                     F.coalesce(F.lit(False) if held is None else held, F.lit(False)).alias("_held"), *parted)
+    # Rows that are in parts of (key, time, seq) already stay in them.
+    rows = stage(rows, "cycles") if parted else in_parts(rows, "_key", ["_t", "_s"])
+    entries = _entries(rows, wait_ms, restart, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = last = since = None
+        part, last, state = None, None, _NONE
         for piece in _parts(batches):
             now = piece.column("_part")[0].as_py()
             arrays = _arrays(piece)
             if now != part:
-                since = entries.get(now)
+                state = entries.get(now, _NONE)
             elif arrays[0][0] != last:
-                since = None
-            looks = _Looks(*arrays, wait_ms)
-            code, found, since = _replay(looks, since, restart)
+                state = _NONE
+            looks = _Looks(*arrays, wait_ms, limit)
+            code, found, state = _replay(looks, state, restart)
             part, last = now, arrays[0][-1]
             told = pa.DictionaryArray.from_arrays(pa.array(code), pa.array(_CODES)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), told, pa.array(found, mask=found < 0)],

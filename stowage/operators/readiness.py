@@ -6,12 +6,11 @@ observed_ms and seq.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions.labels import readiness_detail
 from stowage.operators.longkeys import (
-    CLEAR, FIRE, FORCE_CLEAR, FORCE_START, HOUR_MS, NOT_FORCED, START, mark_runs, run_cycles,
-    time_chunk)
+    CLEAR, FIRE, FORCE_CLEAR, FORCE_START, NOT_FORCED, START, in_parts, mark_runs, run_cycles, time_chunk)
 from stowage.operators.sweep import keyed
 from stowage.schema import (
     MAX_LOCKED_CHECKS, PROGRESS_INTERVAL_MS, QUIET_PERIOD_MS, Readiness as R,
@@ -20,14 +19,23 @@ from stowage.schema import (
 _GONE = (R.MISSING, R.UNREADABLE)
 
 
-def _sighted(observations: DataFrame, width_ms: int) -> DataFrame:
+_ORDER = ["observed_ms", "seq"]
+
+
+def _runs(looks: DataFrame, value: Column, width_ms: int | None) -> DataFrame:
+    """Runs of ``value`` per path, over parts bounded in rows, or over chunks of time if a width is given."""
+    rows = keyed(looks, "path")
+    if width_ms is None:
+        return mark_runs(in_parts(rows, "path_key", _ORDER), "path_key", _ORDER, F.col("_part"), value, F.col("observed_ms"))
+    return mark_runs(rows, "path_key", _ORDER, time_chunk("observed_ms", width_ms), value, F.col("observed_ms"))
+
+
+def _sighted(observations: DataFrame, width_ms: int | None) -> DataFrame:
     """Runs of the same length per path; a look that finds nothing ends the run."""
-    sighted = F.when(~F.col("probe").isin(*_GONE), F.col("length"))
-    return mark_runs(keyed(observations, "path"), "path_key", ["observed_ms", "seq"],
-                     time_chunk("observed_ms", width_ms), sighted, F.col("observed_ms"))
+    return _runs(observations, F.when(~F.col("probe").isin(*_GONE), F.col("length")), width_ms)
 
 
-def stability_islands(observations: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
+def stability_islands(observations: DataFrame, width_ms: int | None = None) -> DataFrame:
     """One row per stretch in which a file kept its length, with the clock's start."""
     runs = _sighted(observations, width_ms).where(~F.col("probe").isin(*_GONE))
     return (runs.groupBy("path_key", "run")
@@ -37,14 +45,19 @@ def stability_islands(observations: DataFrame, width_ms: int = HOUR_MS) -> DataF
 
 
 def readiness(observations: DataFrame, quiet_ms: int = QUIET_PERIOD_MS,
-              width_ms: int = HOUR_MS) -> DataFrame:
-    """The verdict of every look, exactly as a tracker that sees them one by one would give it."""
+              width_ms: int | None = None, max_checks: int | None = None) -> DataFrame:
+    """The verdict of every look, exactly as a tracker that sees them one by one would give it.
+
+    With ``max_checks`` the tracker is a gate that hands a file back to the sweep once more looks in a row than that found
+    it locked: it forgets the file, and the next look is the first one again.
+    """
     seen = _sighted(observations, width_ms).drop("run", "run_start", "position")
     changed = F.col("previous").isNotNull() & (F.col("previous") != F.col("length"))
     forced = (F.when(F.col("probe").isin(*_GONE), FORCE_CLEAR)
               .when(changed, FORCE_START).otherwise(NOT_FORCED))
     cycled = run_cycles(seen, "path_key", "observed_ms", "seq", quiet_ms,
-                        F.col("probe") != R.LOCKED, forced, restart=False)
+                        F.col("probe") != R.LOCKED, forced, restart=False,
+                        held=F.col("probe") == R.LOCKED, limit=max_checks)
     code, since = F.col("code"), F.col("since")
     reason = (F.when(code == CLEAR, F.col("probe"))
               .when((code == START) & since.isNull(), R.SETTLING)
@@ -68,21 +81,21 @@ def with_detail(verdicts: DataFrame, quiet_ms: int = QUIET_PERIOD_MS) -> DataFra
 
 
 def locked_streak(verdicts: DataFrame, max_checks: int = MAX_LOCKED_CHECKS,
-                  width_ms: int = HOUR_MS) -> DataFrame:
+                  width_ms: int | None = None) -> DataFrame:
     """How many looks in a row found the file locked, and where it is handed back to the sweep.
 
-    Looks after a hand-back start a new count.
+    Looks after a hand-back start a new count. Verdicts of ``readiness`` with the same ``max_checks`` have forgotten the file
+    by then, as the gate has.
     """
     locked = F.col("reason") == R.LOCKED
-    runs = mark_runs(keyed(verdicts, "path"), "path_key", ["observed_ms", "seq"],
-                     time_chunk("observed_ms", width_ms), locked, F.col("observed_ms"))
+    runs = _runs(verdicts, locked, width_ms)
     check = F.when(locked, F.pmod(F.col("position") - 1, F.lit(max_checks + 1)) + 1).otherwise(0)
     return runs.select("path", "observed_ms", "seq", "reason", check.cast("bigint").alias("streak"),
                        (check > max_checks).alias("handed_back"))
 
 
 def gate_bounded(observations: DataFrame, deadline_ms: int, quiet_ms: int = QUIET_PERIOD_MS,
-                 width_ms: int = HOUR_MS) -> DataFrame:
+                 width_ms: int | None = None) -> DataFrame:
     """What became of each file by the deadline: released, abandoned or still waiting.
 
     A file leaves the gate at its first Ready, Missing or Unreadable verdict.

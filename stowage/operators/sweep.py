@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from stowage.functions.paths import (
     destination_of, path_key, relative_path, stored_name, with_destination)
 from stowage.functions.rules import candidate_filter, is_accounted_for, stamp_matches
+from stowage.plans.staging import stage
 from stowage.schema import INTERRUPTED_STATES, MAX_UPLOAD_ATTEMPTS
 
+#: Keys that a name's sources are spread over.
+_SALTS = 16
 _LEDGER_COLUMNS = ("remote_path", "size", "mtime_utc", "state", "verify_method", "attempts")
 
 
@@ -77,19 +80,21 @@ def destination_folders(destinations: DataFrame, segments: str = "segments") ->
 def stored_name_collisions(destinations: DataFrame, segments: str = "segments") -> DataFrame:
     """Sources whose destinations fall on one stored name, one row per source.
 
-    The counts are combined before the shuffle, and no group is gathered: a name that a third of
-    all files share stays spread over the rows of the join's streamed side. ``decoded_collision``
-    marks sources that share the whole destination, which happens when a local name holds escapes.
+    The names are written once and read from there. The counts are combined before the shuffle, and no group is
+    gathered. Sources meet their counts by name and salt, so a name that a third of all files share is spread over
+    ``_SALTS`` keys. ``decoded_collision`` marks sources that share the whole destination, which happens when
+    a local name holds escapes.
     """
-    sources = (destinations
-               .withColumn("stored", F.array_join(stored_name(F.col(segments)), "/"))
-               .withColumn("destination_path", F.array_join(F.col(segments), "/"))
-               .select("stored", "destination_path", "path"))
+    sources = stage(destinations.select(
+        F.array_join(stored_name(F.col(segments)), "/").alias("stored"),
+        F.array_join(F.col(segments), "/").alias("destination_path"), "path"), "stored")
     exact = sources.groupBy("stored", "destination_path").agg(F.count(F.lit(1)).alias("same"))
     names = (exact.groupBy("stored").agg(F.sum("same").alias("sources"))
              .where(F.col("sources") > 1))
-    clashes = exact.join(names, "stored")
-    return (sources.join(clashes, ["stored", "destination_path"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    clashes = exact.join(names, "stored").withColumn("salt", salts)
+    return (sources.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+            .join(clashes, ["stored", "destination_path", "salt"])
             .select("stored", "path", "destination_path", "sources",
                     (F.col("same") > 1).alias("decoded_collision")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.functions.rules import candidate_filter
-from stowage.operators.sweep import sweep
+from stowage.operators.sweep import in_flight_gate, sweep
+from stowage.plans.staging import stage
+from stowage.plans.sync import SyncOptions, SyncResult, one_pass_sync
 from stowage.schema import (
     MAX_LOCKED_CHECKS, QUIET_PERIOD_MS, Readiness as R, SUPPRESSION_WINDOW_MS,
     SWEEP_INTERVAL_MINUTES)
 from stowage.session import STATE_STORE
+from stowage.sinks.ledger_store import LedgerStore
 from stowage.sources.inventory import scan_inventory
 from stowage.sources.notices import source_notices
 from stowage.streaming.notices import stream_notices
@@ -45,6 +49,26 @@ class Watch:
             run.stop()
 
 
+def sync_released(store: LedgerStore, options: SyncOptions, clock: Callable[[], int] | None = None,
+                  report: Callable[[SyncResult], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """An ``on_ready`` that runs a pass over the released paths.
+
+    Each path counts once, and one that a batch brings a second time is settled by the ledger. Passes come one after
+    the other, as batches do.
+    """
+    def on_ready(released: DataFrame, batch_id: int) -> None:
+        spark = released.sparkSession
+        chosen = stage(in_flight_gate(released, spark.createDataFrame([], "path string")), "released")
+        if chosen.isEmpty():
+            return
+        now = clock() if clock else int(time.time() * 1000)
+        result = one_pass_sync(spark, store, options, now, paths=chosen)
+        if report:
+            report(result)
+
+    return on_ready
+
+
 def start_watch(spark: SparkSession, options: WatchOptions, notices: DataFrame,
                 observations: DataFrame, ledger: Callable[[], DataFrame], folder: str,
                 on_ready: Callable[[DataFrame, int], None]) -> Watch:
@@ -52,7 +76,8 @@ def start_watch(spark: SparkSession, options: WatchOptions, notices: DataFrame,
 
     ``notices`` and ``observations`` are streams. Candidates (noticed or swept paths) land as
     parquet in ``folder``/candidates for whoever looks at the files; their looks come back as
-    ``observations``. ``on_ready`` gets the released paths of each batch, at least once.
+    ``observations``. ``on_ready`` gets the released paths of each batch, at least once: ``sync_released`` makes
+    one that transfers them. What became of each sweep, its problem if it failed, is in ``folder``/sweeps.
     """
     o = options
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -66,9 +91,13 @@ def start_watch(spark: SparkSession, options: WatchOptions, notices: DataFrame,
 
     def offer(label: str):
         def report(batch_id: int, swept: DataFrame | None, problem: str | None) -> None:
+            # Written first: a sweep that can't be read fails here, and what it says comes back as a problem.
             if problem is None:
                 (swept.where(~F.col("accounted")).select("path").write.mode("overwrite")
                  .parquet(f"{folder}/candidates/{label}-{batch_id}"))
+            told = [(label, batch_id, problem)]
+            (spark.createDataFrame(told, "sweep string, batch bigint, problem string").write.mode("overwrite")
+             .parquet(f"{folder}/sweeps/{label}-{batch_id}"))
         return report
 
     sweeps = periodic_sweep(spark, run_sweep, offer("swept"), f"{folder}/checkpoints/sweeps",

@@ -39,8 +39,12 @@ class PassFirst(StatefulProcessor):
         pass
 
 
+#: The window is judged by the notices' own times, so state has to outlive any batch or backlog.
+KEEP_MS = 24 * 3_600_000
+
+
 def stream_notices(notices: DataFrame, window_ms: int = SUPPRESSION_WINDOW_MS,
-                   keep_ms: int | None = 0) -> DataFrame:
+                   keep_ms: int | None = KEEP_MS) -> DataFrame:
     """Lets a notice pass unless its path's last passed notice is within the window.
 
     The state of a path outlives its last notice by ``keep_ms`` by the clock, four windows at least, so

@@ -205,3 +205,83 @@ def test_timers_across_parts(spark, restart, hot):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert [(r.code, r.since) for r in sorted(done, key=lambda r: (r.key, r.t, r.seq))] == want
     assert "collect_list" not in inspect.getsource(K)
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Forty parts, however small."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield
+    for key, value in was.items():
+        spark.conf.set(key, value)
+
+
+def test_one_path_in_one_hour_goes_through_many_parts(spark, many_parts):
+    """Looks of one path within an hour are spread, and their runs, verdicts and timers come out as one by one."""
+    looks = random_looks(11, 3000, 1, 2_000)
+    assert looks[-1][3] - looks[0][3] < 3_600_000
+    frame = spark.createDataFrame(looks, LOOKS)
+    sizes = [r["count"] for r in K.in_parts(frame.withColumn("k", F.lit("f")), "k", ["observed_ms", "seq"]).groupBy("_part").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 5 * 3000 / 40
+    got = R.readiness(frame, 9_000).select("seq", "reason", "quiet_ms").collect()
+    assert sorted((r.seq, r.reason, r.quiet_ms) for r in got) == track(looks, 9_000)
+
+    islands, last = [], None
+    for path, length, probe, now, _ in looks:
+        sight = None if probe in (1, 5) else length
+        if sight is not None and sight == last:
+            islands[-1][2:] = [now, islands[-1][3] + 1]
+        elif sight is not None:
+            islands.append([length, now, now, 1])
+        last = sight
+    found = R.stability_islands(frame).orderBy("run").collect()
+    assert [[r.length, r.first_ms, r.last_ms, r.looks] for r in found] == islands
+
+    streak, want = 0, []
+    for seq, reason, _ in track(looks, 9_000):
+        streak = streak % 4 + 1 if reason == X.LOCKED else 0
+        want.append((seq, streak, streak > 3))
+    verdicts = R.readiness(frame, 9_000)
+    assert sorted((r.seq, r.streak, r.handed_back) for r in R.locked_streak(verdicts, 3).collect()) == want
+
+
+def test_exits_are_chained_in_tasks(spark, many_parts):
+    """Nothing but two numbers for each part comes to the driver."""
+    assert "times" not in inspect.getsource(K._entries).split("told = ")[-1].split("collect")[-1]
+    rows = sorted((key, t, t, t % 3 > 0, 0) for key in ("a", "b") for t in range(0, 9000, 7))
+    frame = spark.createDataFrame(rows, "key string, t bigint, seq bigint, fires boolean, forced int")
+    for wait, restart in ((5, True), (2_000, True), (2_000, False), (60_000, True)):
+        done = K.run_cycles(frame, "key", "t", "seq", wait, F.col("fires"), F.col("forced"), restart).collect()
+        want = replayed([(k, t, f, g) for k, t, _, f, g in rows], wait, restart)
+        assert [(r.code, r.since) for r in sorted(done, key=lambda r: (r.key, r.t))] == want
+
+
+def gated(looks, quiet, most):
+    """The gate, one look at a time: (seq, reason, quiet time, locked looks, handed back)."""
+    gate, states, out = Gate(quiet, most), {}, []
+    for path, length, probe, now, seq in sorted(looks, key=lambda r: (r[3], r[4])):
+        reason, _, still, state = gate._look(states.get(path.lower()), length, probe, now)
+        checks = state[2] if state is not None else 0
+        back = checks > most
+        states[path.lower()] = None if back else state
+        out.append((seq, reason, still, checks, back))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("paths, most, quiet", [(1, 0, 4_000), (1, 2, 9_000), (3, 1, 2_000), (1, 6, 60_000)])
+def test_a_hand_back_forgets_the_file(spark, many_parts, paths, most, quiet):
+    """Streaks of locked looks that end in a hand-back within a part, at its border and across many."""
+    rng = random.Random(most)
+    looks = random_looks(most + paths, 1500, paths, 2_000)
+    stretch = 0
+    for i, (path, length, probe, now, seq) in enumerate(looks):
+        stretch = rng.choice([0, 3, 40, 200]) if stretch == 0 and rng.random() < 0.05 else max(stretch - 1, 0)
+        looks[i] = (path, length, 2 if stretch else probe, now, seq)
+    frame = spark.createDataFrame(looks, LOOKS)
+    verdicts = R.readiness(frame, quiet, max_checks=most)
+    streaks = {r.seq: (r.streak, r.handed_back) for r in R.locked_streak(verdicts, most).collect()}
+    got = sorted((r.seq, r.reason, r.quiet_ms, *streaks[r.seq]) for r in verdicts.collect())
+    want = gated(looks, quiet, most)
+    assert got == want and sum(w[4] for w in want) > 5

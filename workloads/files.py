@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.plans.staging import stage
+from stowage.plans.sync import SyncOptions, one_pass_sync
 from stowage.session import shared_dir
+from stowage.sinks.hash_store import HashStore
+from stowage.sinks.ledger_store import LedgerStore
 from stowage.sinks.mirror import mirror_copy
 from stowage.sinks.sidecars import write_sidecars
+from stowage.sinks.snapshot_store import SnapshotStore
 from stowage.sources.hashing import content_hashes, hash_files
 from stowage.sources.inventory import scan_inventory, scan_problem, scan_tree
 from workloads.fixtures import cte, view
 from workloads.registry import query
 
 
-def land(spark: SparkSession, d: str) -> str:
-    """Writes every document to a file below the shared folder."""
-    root = shared_dir(spark, "files")
-    texts = view(spark, d, "fx_contents").select(F.col("path").alias("target"),
-                                                 F.col("content").alias("text"))
+def put(texts: DataFrame, label: str) -> str:
+    """Writes (target, text) as files below a new shared folder."""
+    root = shared_dir(texts.sparkSession, label)
     landed = stage(write_sidecars(texts.repartition(32), root), "landed")
     failed = landed.where(F.col("error").isNotNull()).first()
     if failed:
@@ -26,6 +28,12 @@ def land(spark: SparkSession, d: str) -> str:
     return root
 
 
+def land(spark: SparkSession, d: str, which: str = "true") -> str:
+    """Writes the documents that fit a condition to files below the shared folder."""
+    rows = view(spark, d, "fx_contents").where(which)
+    return put(rows.select(F.col("path").alias("target"), F.col("content").alias("text")), "files")
+
+
 def _below(path: str, root: str):
     return F.substr(F.col(path), F.lit(len(root) + 2))
 
@@ -81,3 +89,42 @@ def _(spark, d):
     outcomes: DataFrame = stage(mirror_copy(work, shared_dir(spark, "mirror")), "outcomes")
     return outcomes.select(_below("path", root).alias("path"), "bytes", "md5",
                            F.when(F.col("error").isNotNull(), "missing").alias("error"))
+
+
+@query("cached_pass", cte("fx_contents") + """
+SELECT path, CASE WHEN doc_id % 3 = 1 AND translate(content, 'aeiou', 'uaeio') <> content THEN 'Conflict' ELSE 'Skip' END AS action,
+  2 AS tier, md5, true AS known FROM fx_contents""")
+def _(spark, d):
+    """A second pass over unchanged files, with a ledger that knows nothing: every hash it needs is known."""
+    rows = view(spark, d, "fx_contents")
+    root = land(spark, d)
+    there = F.when(F.col("doc_id") % 3 == 1, F.translate("content", "aeiou", "uaeio")).otherwise(F.col("content"))
+    mirror = put(rows.where("doc_id % 3 < 2").select(F.col("path").alias("target"), there.alias("text")), "mirror")
+    hashes, remote = HashStore(spark, shared_dir(spark, "hashes")), SnapshotStore(spark, shared_dir(spark, "remote"))
+    for turn in range(2):
+        store = LedgerStore(spark, shared_dir(spark, "ledger"))
+        done = one_pass_sync(spark, store, SyncOptions(root, mirror, "/r/"), 1_700_000_000_000 + turn, hashes=hashes, snapshots=remote)
+    known = done.read.select("path", F.col("hit").alias("known"))
+    return done.decisions.join(known, "path", "left").select(_below("path", root).alias("path"), "action", "tier", "md5", "known")
+
+
+@query("recovered_pass", cte("fx_contents") + """
+SELECT path, CASE WHEN doc_id % 5 = 0 THEN 9 WHEN doc_id % 3 = 0 THEN 5 ELSE 4 END AS state,
+  cast(CASE WHEN doc_id % 4 = 3 THEN 0 ELSE doc_id % 3 END + CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 1 ELSE 0 END AS int) AS attempts,
+  CASE WHEN doc_id % 5 = 0 THEN 'The local file no longer exists.' END AS last_error,
+  CASE WHEN doc_id % 5 <> 0 THEN md5 END AS md5
+FROM fx_contents WHERE doc_id % 5 <> 0 OR doc_id % 4 <> 3""")
+def _(spark, d):
+    """A pass after one that was killed: some uploads had begun, some of those had arrived, some files are gone."""
+    root, mirror = land(spark, d, "doc_id % 5 <> 0"), land(spark, d, "doc_id % 5 <> 0 AND doc_id % 3 = 0")
+    begun = view(spark, d, "fx_contents").where("doc_id % 4 <> 3").select(
+        F.concat(F.lit(f"{root}/"), "path").alias("local_path"), F.concat(F.lit("/r/"), "path").alias("remote_path"),
+        F.col("length").alias("size"), F.lit(0).cast("bigint").alias("mtime_utc"), F.lit(None).cast("string").alias("md5"),
+        F.lit(None).cast("string").alias("sha256"), F.expr("int(element_at(array(2, 3, 1), int(doc_id % 4) + 1))").alias("state"),
+        F.lit(0).alias("verify_method"), F.lit(None).cast("timestamp").alias("verified_utc"),
+        F.expr("int(doc_id % 3)").alias("attempts"), F.lit(None).cast("string").alias("last_error"),
+        F.lit(False).alias("is_dataset"), F.col("doc_id").alias("first_seen_seq"))
+    store = LedgerStore(spark, shared_dir(spark, "ledger"))
+    store.commit(begun, -1)
+    one_pass_sync(spark, store, SyncOptions(root, mirror, "/r/"), 1_700_000_000_000)
+    return store.current().select(_below("local_path", root).alias("path"), "state", "attempts", "last_error", "md5")

@@ -161,6 +161,20 @@ def _(spark, d):
     return ladder.cached_hashes(inventory(spark, d), cache)
 
 
+@query("cached_twins", cte("fx_inventory", "fx_ledger") + """
+SELECT i.path, CASE WHEN l.first_seen_seq % 5 <> 0 THEN l.md5 END AS md5,
+  l.md5 IS NOT NULL AND l.first_seen_seq % 5 <> 0 AS hit
+FROM fx_inventory i LEFT JOIN fx_ledger l ON lower(i.path) = lower(l.local_path)
+ AND i.length = l.size AND i.mtime_ms = l.mtime_utc AND l.md5 IS NOT NULL""")
+def _(spark, d):
+    """A cache that holds every key twice, in another case, and for some of them another hash too."""
+    known = ledger(spark, d).select("local_path", "size", "mtime_utc", "md5", "sha256", "first_seen_seq")
+    other = known.withColumn("local_path", F.upper("local_path")).withColumn("md5", F.upper("md5"))
+    wrong = known.where("first_seen_seq % 5 = 0 AND md5 IS NOT NULL").withColumn("md5", F.lit("0" * 32))
+    cache = known.unionByName(other).unionByName(wrong)
+    return ladder.cached_hashes(inventory(spark, d), cache).select("path", F.lower("md5").alias("md5"), "hit")
+
+
 @query("find_by_content", cte("fx_contents") + """
 SELECT c.path, c.length, c.md5, s.path AS already_uploaded_as FROM fx_contents c
 LEFT JOIN (SELECT length, md5, min_by(path, doc_id) AS path FROM fx_contents
