@@ -167,12 +167,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: i
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _unlinked_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that are in different components and look similar, each pair once.
+def _open_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket that are in different components and look similar, as one row (job, a, b) of two lists of
+    ids for each two blocks of the bucket.
 
     ``members`` has bucket, id, component, n_shingles, signature, bands. A bucket is cut into blocks by a hash of
-    the id; blocks meet two by two, so a bucket of any size is spread over tasks and only pairs that pass come
-    out, in the first bucket that both are in.
+    the id; blocks meet two by two, so a bucket of any size is spread over tasks. Each pair is in one row only, that of the
+    first bucket that both are in.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, "bucket").withColumn(
@@ -191,23 +192,87 @@ def _unlinked_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for row, bucket in enumerate(batch.column("bucket").to_pylist()):
                 ids, parts, n, bits, keys = side(batch.column("left"), row)
                 ids2, parts2, m, bits2, keys2 = side(batch.column("right"), row)
                 near = (parts[:, None] != parts2) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
                 i, j = np.nonzero(near)
                 x = bits[i] ^ bits2[j]
-                alike = np.bitwise_count((x | x >> np.uint64(1)) & low).sum(axis=1) <= most
-                i, j = i[alike], j[alike]
+                unequal = np.bitwise_count((x | x >> np.uint64(1)) & low).sum(axis=1)
                 same = keys[i] == keys2[j]
-                once = keys[i, same.argmax(axis=1)] == bucket
+                once = (unequal <= most) & (keys[i, same.argmax(axis=1)] == bucket)
                 # Within one block both orders of a pair come up.
                 once &= (ids[i] < ids2[j]) | (not np.array_equal(ids, ids2))
                 i, j = i[once], j[once]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[j])),
-                                                  pa.array(np.maximum(ids[i], ids2[j]))], ["a", "b"])
+                likely = np.argsort(unequal[once], kind="stable")
+                if len(i):
+                    found.append((ids[i][likely], ids2[j][likely]))
+            lists = [pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *(len(f[k]) for f in found)]), pa.int32()),
+                pa.array(np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(lists, ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a array<long>, b array<long>").withColumn("job", F.monotonically_increasing_id())
+
+
+def _linked_in_blocks(jobs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs of stored jobs connect.
+
+    A document's set moves once for each job that names it, not once for each pair. The likeliest pairs are compared first, and
+    a pair that is connected by then is not compared.
+    """
+    named = jobs.select("job", F.explode(F.array_distinct(F.concat("a", "b"))).alias("id"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(
+        named.select("id").distinct(), "id", "left_semi")
+
+    def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    sets = texts.mapInArrow(packed_sets, "id long, set binary")
+    rows = jobs.select("job", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("set"), "a", "b").union(
+        named.join(sets, "id").select("job", "id", "set", F.lit(None), F.lit(None)))
+
+    def linked(pairs: tuple, held: dict) -> Iterator[tuple]:
+        up = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in zip(*pairs, strict=True):
+            one, other = top(a), top(b)
+            if one != other and any(alike(x, y) for x in held.get(a, ()) for y in held.get(b, ())):
+                up[max(one, other)] = min(one, other)
+                yield a, b
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, pairs, held = None, ((), ()), {}
+        for batch in batches:
+            found = []
+            packed_column = batch.column("set")
+            for row, (now, id_) in enumerate(zip(batch.column("job").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                if now != job:
+                    found += linked(pairs, held)
+                    job, held = now, {}
+                if id_ is None:
+                    pairs = batch.column("a")[row].as_py(), batch.column("b")[row].as_py()
+                else:
+                    # Rows that share an id are one document, alike if any of its texts is.
+                    held.setdefault(id_, []).append(np.frombuffer(packed_column[row].as_py(), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = list(linked(pairs, held))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("job").sortWithinPartitions("job", F.asc_nulls_first("id")).mapInArrow(run, "a long, b long")
 
 
 def _placed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -232,8 +297,10 @@ def _linked_by_leaders(buckets: DataFrame, signatures: DataFrame, docs: DataFram
     links = parts = None
     for number in range(LEADERS):
         placed = buckets.withColumn("component", F.col("id")) if parts is None else _placed(buckets, parts)
+        # At first the buckets of a cluster should agree on one leader, so that a document meets few of them.
+        by = F.xxhash64(F.lit(number), "id") if number == 0 else F.xxhash64(F.lit(number), "bucket", "id")
         led = placed.groupBy("bucket").agg(
-            F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(number), "bucket", "id")).alias("leader"),
+            F.min_by(F.struct("id", "component"), by).alias("leader"),
             F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket", "leader.*")
         led = led.toDF("bucket", "leader", "of_leader")
         pairs = placed.join(led, "bucket").where("component <> of_leader").select(
@@ -275,8 +342,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     links, parts = _linked_by_leaders(buckets, signatures, docs, key, text, percent)
     placed = _placed(buckets, parts)
-    open_pairs = stage(_unlinked_pairs(placed.join(_mixed(placed), "bucket").join(signatures, "id"), percent), "open")
-    more = stage(confirmed(open_pairs, docs, key, text, percent), "confirmed")
+    jobs = stage(_open_blocks(placed.join(_mixed(placed), "bucket").join(signatures, "id"), percent), "open")
+    more = stage(_linked_in_blocks(jobs, docs, key, text, percent), "confirmed")
 
     found = connected_components(links.union(more).union(same))
     return (whole.select("key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left")
