@@ -196,6 +196,14 @@ def _(spark, d):
     return R.locked_streak(R.readiness(observations(spark, d), QUIET_MS), max_checks=1)
 
 
+@query("locked_hand_back", Q.HANDED_BACK + f"""
+SELECT path, observed_ms, seq, reason, locked AS streak, locked > {Q.MAX_CHECKS} AS handed_back FROM gate""")
+def _(spark, d):
+    """The gate that forgets a file it hands back, in batch."""
+    verdicts = R.readiness(observations(spark, d), QUIET_MS, max_checks=Q.MAX_CHECKS)
+    return R.locked_streak(verdicts, Q.MAX_CHECKS)
+
+
 @query("stream_gate_bounded", Q.READINESS + """,
 final AS (SELECT path, min(rn) FILTER (reason IN (0, 1, 5)) AS done, max(rn) AS last FROM gate
   WHERE observed_ms <= 1705363200000 GROUP BY path)

@@ -171,3 +171,26 @@ walk AS (
     CASE WHEN {forced} OR o.{time} - w.last >= {wait_ms} THEN o.{time} ELSE w.last END,
     {forced} OR o.{time} - w.last >= {wait_ms}
   FROM walk w JOIN ordered o ON o.{key} = w.{key} AND o.rn = w.rn + 1)"""
+
+#: The same for a gate that hands a file back after more than so many locked looks in a row, and then forgets it.
+MAX_CHECKS = 1
+_SAME = "g.since IS NOT NULL AND g.watched = o.length AND o.probe NOT IN (1, 5)"
+_LOCKED = f"CASE WHEN {_SAME} AND o.probe = 2 THEN g.locked + 1 ELSE 0 END"
+_FORGOTTEN = f"o.probe IN (1, 5) OR ({_SAME} AND o.probe <> 2 AND o.observed_ms - g.since >= 21600000) OR {_LOCKED} > {MAX_CHECKS}"
+HANDED_BACK = cte("fx_observations", recursive=True) + f""",
+looks AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY observed_ms, seq) AS rn
+  FROM fx_observations),
+gate AS (
+  SELECT path, rn, observed_ms, seq, length, probe, CASE WHEN probe IN (1, 5) THEN probe ELSE 4 END AS reason,
+    CASE WHEN probe NOT IN (1, 5) THEN 0 END AS quiet_ms, CASE WHEN probe NOT IN (1, 5) THEN length END AS watched,
+    CASE WHEN probe NOT IN (1, 5) THEN observed_ms END AS since, cast(0 as bigint) AS locked
+  FROM looks WHERE rn = 1
+  UNION ALL
+  SELECT o.path, o.rn, o.observed_ms, o.seq, o.length, o.probe,
+    CASE WHEN o.probe IN (1, 5) THEN o.probe WHEN g.since IS NULL THEN 4 WHEN NOT ({_SAME}) THEN 3 WHEN o.probe = 2 THEN 2
+         WHEN o.observed_ms - g.since < 21600000 THEN 4 ELSE 0 END,
+    CASE WHEN o.probe IN (1, 5) THEN NULL WHEN {_SAME} THEN o.observed_ms - g.since ELSE 0 END,
+    CASE WHEN {_FORGOTTEN} THEN NULL ELSE o.length END,
+    CASE WHEN {_FORGOTTEN} THEN NULL WHEN {_SAME} THEN g.since ELSE o.observed_ms END, {_LOCKED}
+  FROM gate g JOIN looks o ON o.path = g.path AND o.rn = g.rn + 1)"""

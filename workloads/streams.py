@@ -63,6 +63,15 @@ def _(spark, d):
                       "still_watching")
 
 
+@query("stream_hand_back", Q.HANDED_BACK + f"""
+SELECT path, observed_ms, seq, CASE WHEN probe IN (1, 5) THEN 0 ELSE length END AS length, reason,
+  quiet_ms, reason IN (2, 3, 4) AND locked <= {Q.MAX_CHECKS} AS still_watching, locked > {Q.MAX_CHECKS} AS handed_back FROM gate""")
+def _(spark, d):
+    rows = stream(spark, d, "events").selectExpr(*expressions("fx_observations"))
+    out = replay(stream_readiness(rows, QUIET_MS, max_checks=Q.MAX_CHECKS, keep_ms=None), "hand-back")
+    return out.select("path", "observed_ms", "seq", "length", "reason", "quiet_ms", "still_watching", "handed_back")
+
+
 @query("stream_progress", _TOTALS + _TOTALS_TEXT)
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
