@@ -14,8 +14,10 @@ from stowage.functions.paths import path_key
 from stowage.operators.ledger import ledger_fold
 from stowage.operators.sweep import keyed
 from stowage.schema import LEDGER
-from stowage.sinks.folders import finished
+from stowage.sinks.folders import finished, retire
 
+#: Versions that stay for readers that began with them.
+KEPT = 4
 _COLUMNS = [f.name for f in LEDGER.fields]
 # Each stored row also says which change it was last touched by, so that a late one cannot undo it.
 _ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER) + ", applied_seq bigint"
@@ -78,8 +80,19 @@ class LedgerStore:
         only = F.when(F.col("same") == 1, F.col("local_path")).otherwise(twice.cast("string"))
         rows.withColumn("local_path", only).select(*_COLUMNS, "applied_seq").write.mode(
             "overwrite").parquet(f"{self.path}/base/version={number + 1}-upto={upto}")
+        self._retire()
         return number + 1
 
+    def _retire(self) -> None:
+        """Deletes versions before the last ``KEPT``, and the batches that the oldest of those holds.
+
+        Whoever reads an older snapshot has begun several commits ago.
+        """
+        versions = self._finished("base", r"version=(\d+)-upto=(-?\d+)")
+        held = versions[-KEPT:][0][0][1]
+        retire(self.spark, [at for _, at in versions[:-KEPT]] + [
+            at for (batch,), at in self._finished("changes", r"batch=(\d+)") if batch <= held])
+
     def compact(self) -> int:
         """Turns the newest version and all changes since into the next version."""
         return self.commit(*self.snapshot())

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from stowage.operators.progress import describe_totals, latest_progress, transfer_totals
 from stowage.schema import PROGRESS
-from stowage.sinks.folders import finished
+from stowage.sinks.folders import finished, retire
 
 #: Batches after which the table is folded into one row per file again.
 FOLD_EVERY = 16
@@ -17,7 +17,8 @@ class ProgressTable:
     """Newest rows of each batch below ``path``/batches, folded now and then to ``path``/folded.
 
     Reading takes the last fold and the batches since, so at most ``FOLD_EVERY`` of them whatever the
-    stream's age. Folders are written whole under the batch's number: a retry changes nothing.
+    stream's age, and as many folders are kept: a fold deletes what the fold before it covered. Folders are written
+    whole under the batch's number: a retry changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -34,6 +35,9 @@ class ProgressTable:
         since = folds[-1][0] if folds else -1
         if len([n for n, _ in self._folders("batches") if n > since]) >= FOLD_EVERY:
             self.latest().write.mode("overwrite").parquet(f"{self.path}/folded/upto={batch_id}")
+            # What the fold before covers is read by nobody who begins now, and not by those who began with it.
+            retire(self.spark, [at for kind, least in (("batches", since + 1), ("folded", since), ("totals", since))
+                                for n, at in self._folders(kind) if n < least])
         describe_totals(transfer_totals(self.latest())).write.mode("overwrite").parquet(
             f"{self.path}/totals/upto={batch_id}")
 

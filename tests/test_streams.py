@@ -100,6 +100,22 @@ def test_progress_table_folds_its_batches(spark, rows, tmp_path):
     assert table.latest().where("local_path = 'A'").first().bytes == FOLD_EVERY + 1
 
 
+def test_old_folders_are_deleted(spark, rows, tmp_path, monkeypatch):
+    """However long a stream or a ledger lives, a bounded number of folders is listed."""
+    monkeypatch.setattr("stowage.streaming.progress.FOLD_EVERY", 3)
+    table, store = ProgressTable(spark, str(tmp_path / "table")), LedgerStore(spark, str(tmp_path / "store"))
+    store.commit(spark.createDataFrame([("A", "r", 1, 1, None, None, 1, 0, None, 0, None, False, 1)], LEDGER), -1)
+    for batch in range(14):
+        table.store(reports(rows, ("A", 2, batch, batch, batch), (f"f{batch}", 4, 1, batch, batch)), batch)
+        store.record_batch(rows("local_path string, state int, last_error string, seq bigint", ("a", 2, None, batch)), batch)
+        if batch % 2:
+            store.compact()
+    assert table.latest().count() == 15 and table.totals().count() == 1
+    assert len(table._folders("batches")) <= 6 and len(table._folders("folded")) <= 2 and len(table._folders("totals")) <= 7
+    assert store.current().first().attempts == 14
+    assert len(list((tmp_path / "store/base").iterdir())) == 4 and len(list((tmp_path / "store/changes").iterdir())) <= 8
+
+
 def test_ledger_stream_counts_started_uploads(spark, rows, landed, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "store"))
     store.commit(spark.createDataFrame(
