@@ -41,6 +41,45 @@ TEMPLATES = {
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version."),
+    "gpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version."),
+    "lgpl-3.0-notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."),
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
+    "cc0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to "
+        "this work to the public domain worldwide."),
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-4.0-line": "Licensed under CC BY 4.0",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0",
 }
 
 #: A license is in a document that holds at least this share (tenths) of its distinct shingles.
@@ -49,7 +88,7 @@ TENTHS = 8
 BLOCK = 8
 #: Bands of one minimum each. A window that holds the required share shares no band with its template with a
 #: probability below ``MISS`` (see ``band_count``).
-MISS = 0.005
+MISS = 1e-6
 #: Templates up to this size are looked up by windows of their own size, at every place.
 SMALL = 4
 
@@ -75,34 +114,30 @@ def _mask(band: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _small_keys(n: int) -> Column:
-    """Band keys of all windows of ``n`` values of column ``sh``."""
-    if n == 1:
-        return F.col("sh")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("sh") - (n - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.array_min(F.slice("sh", i, F.lit(n))))
+def _longs(values) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
-def _block_minima(band: int) -> Column:
+def _block_minima(masks: Column) -> Column:
+    """For each band the minimum of each block of column ``sh``."""
     blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size("sh") - 1) / BLOCK), F.lit(0)).cast("int"))
-    mask = F.lit(_mask(band))
-    return F.transform(blocks, lambda j: F.array_min(F.transform(
-        F.slice("sh", j * BLOCK + 1, F.lit(BLOCK)), lambda h: h.bitwiseXOR(mask))))
-
+    return F.transform(masks, lambda mask: F.transform(blocks, lambda j: F.array_min(F.transform(
+        F.slice("sh", j * BLOCK + 1, F.lit(BLOCK)), lambda h: h.bitwiseXOR(mask)))))
 
-def _window_keys(n: int) -> Column:
-    """Band keys of the windows for templates of ``n`` shingles, from the blocks' minima."""
-    blocks, step = window_blocks(n)
 
-    def of(name: str) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(name), F.lit(1)), F.lit(step))
-        return F.transform(starts, lambda i: F.array_min(F.slice(name, i, F.lit(blocks))))
+def _window_keys() -> Column:
+    """Band keys of all windows of a shape (``small``, or ``blocks``, ``step`` and ``bands``)."""
+    of = lambda name: F.col(f"shape.{name}")
+    small = F.transform(F.sequence(F.lit(1), F.greatest(F.size("sh") - (of("small") - 1), F.lit(1))),
+                        lambda i: F.array_min(F.slice("sh", i, of("small"))))
+    windows = F.flatten(F.transform(F.slice("least", F.lit(1), of("bands")), lambda band: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(band), F.lit(1)), of("step")), lambda i: F.array_min(F.slice(band, i, of("blocks"))))))
+    return F.when(of("small") > 0, small).otherwise(windows)
 
-    return F.concat(*[of(f"least_{band}") for band in range(band_count(n))])
 
-
-def _longs(values) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def shape_of(n: int) -> tuple[int, int, int, int]:
+    """(small, blocks, step, bands) of the windows that a template of ``n`` shingles is looked up by."""
+    return (n, 0, 1, 1) if n <= SMALL else (0, *window_blocks(n), band_count(n))
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id",
@@ -119,24 +154,28 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str =
     # As many rows as there are templates.
     known = [(r["license"], sorted(r["sh"])) for r in cut.select(
         "license", F.array_distinct(shingles("w")).alias("sh")).orderBy("license").collect()]
+    shapes = sorted({shape_of(len(sh)) for _, sh in known})
+    masks = [_mask(band) for band in range(max((s[3] for s in shapes), default=1))]
+    keys = {name: [min(h ^ mask for h in sh) for mask in masks[:shape_of(len(sh))[3]]] for name, sh in known}
+    catalogue = spark.createDataFrame(
+        [(shapes.index(shape_of(len(sh))), name, len(sh), sh, keys[name]) for name, sh in known],
+        "number int, license string, n_template long, of_template array<long>, keys array<long>")
+
     rows = docs.select(F.col(key).alias("key"), words(F.col(text), MARKS).alias("w")).select(
         "key", shingles("w").alias("sh"))
-    bands = max([band_count(len(sh)) for _, sh in known if len(sh) > SMALL], default=0)
-    rows = rows.select("key", "sh", *[_block_minima(b).alias(f"least_{b}") for b in range(bands)])
-    shapes = {(len(sh) if len(sh) <= SMALL else (*window_blocks(len(sh)), band_count(len(sh)))): len(sh) for _, sh in known}
-    rows = rows.select("key", "sh", *[(_small_keys(n) if n <= SMALL else _window_keys(n)).alias(f"keys_{i}")
-                                      for i, n in enumerate(shapes.values())])
-    places = {shape: i for i, shape in enumerate(shapes)}
-    found = []
-    for name, sh in known:
-        n = len(sh)
-        place = places[n if n <= SMALL else (*window_blocks(n), band_count(n))]
-        keys = [min(h ^ _mask(band) for h in sh) for band in range(band_count(n))]
-        found.append(F.when(F.arrays_overlap(f"keys_{place}", _longs(keys)), F.struct(
-            F.lit(name).alias("license"), F.lit(n).cast("long").alias("n_template"),
-            F.size(F.array_intersect(_longs(sh), "sh")).cast("long").alias("n_found"))))
-    return rows.select(F.col("key").alias(key), F.explode(F.array_compact(F.array(*found))).alias("of")).select(
-        key, "of.*").where(F.col("n_found") * 10 >= F.col("n_template") * TENTHS)
+    # The key of a band is one shingle, so a window can only have it in a text that holds this very shingle: the
+    # windows are worked out for those texts alone.
+    told = sorted({k ^ mask for own in keys.values() for k, mask in zip(own, masks, strict=False)})
+    # By a generator, because a filter would be pushed below the shingles and work them out for each of their places.
+    rows = rows.select("key", F.explode(F.filter(F.array("sh"), lambda s: F.arrays_overlap(s, _longs(told or [0])))).alias("sh"))
+    by_shape = F.expr("array({})".format(", ".join(
+        "named_struct('number', {}, 'small', {}, 'blocks', {}, 'step', {}, 'bands', {})".format(i, *shape)
+        for i, shape in enumerate(shapes or [(1, 0, 1, 1)]))))
+    looked = rows.withColumn("least", _block_minima(_longs(masks))).withColumn("shape", F.explode(by_shape))
+    met = looked.select("key", "sh", F.col("shape.number").alias("number"), _window_keys().alias("of_windows")).join(
+        F.broadcast(catalogue), "number").where(F.arrays_overlap("of_windows", "keys"))
+    return met.select(F.col("key").alias(key), "license", "n_template", F.size(F.array_intersect("of_template", "sh")).cast(
+        "long").alias("n_found")).where(F.col("n_found") * 10 >= F.col("n_template") * TENTHS)
 
 
 def _oracle() -> str:
