@@ -92,8 +92,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     listed = stage(item_shingles(items, item_key), "items")
     # Classes grow with the logarithm of the longest item.
     classes = sorted((r["class"], r["reach"]) for r in listed.select("class", "reach").distinct().collect())
-    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).select(
-        "doc", shingles("w").alias("shingles"))
+
+    def cut_up(of: DataFrame) -> DataFrame:
+        return of.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).select(
+            "doc", shingles("w").alias("shingles"))
+
+    cut = cut_up(docs)
     sketches = [F.struct(F.lit(c).alias("class"), F.lit(r).alias("reach"),
                          _least(class_bounds(c)[0], class_bounds(r)[1]).alias("least")) for c, r in classes]
     index = listed.select("item", "class", "reach", F.explode("shingles").alias("s"))
@@ -105,7 +109,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     else:
         pairs = cut.join(index, F.lit(False)).select("doc", "item")
     pairs = stage(pairs, "candidates")
-    sets = cut.join(pairs.select("doc").distinct(), "doc", "left_semi").join(pairs, "doc").join(
+    # The candidates' documents are picked out before they are cut again.
+    again = docs.join(pairs.select(F.col("doc").alias(key)).distinct(), key, "left_semi")
+    sets = cut_up(again).join(pairs, "doc").join(
         listed.select("item", "n_item", F.col("shingles").alias("of_item")), "item")
     found = sets.select("doc", "item", "n_item", F.size(F.array_intersect("of_item", "shingles")).alias("n_found"))
     return (found.where(F.col("n_found") * 10 >= F.col("n_item") * TENTHS)
