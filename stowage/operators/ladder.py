@@ -188,7 +188,8 @@ def hashed(files: DataFrame, hash_cache: DataFrame | None, hasher: Hasher) -> Da
     """
     if hash_cache is None:
         return hasher(files).withColumn("hit", F.lit(False))
-    looked_up = cached_hashes(files, hash_cache)
+    # Written once: hits, misses and their sizes are read from it, and the cache is joined once.
+    looked_up = stage(cached_hashes(files, hash_cache), "looked-up")
     misses = looked_up.where(~F.col("hit")).drop("hit", "md5", "sha256")
     return looked_up.where("hit").unionByName(hasher(misses).withColumn("hit", F.lit(False)))
 
