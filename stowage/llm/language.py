@@ -29,6 +29,10 @@ SAMPLE = 1500
 BUCKETS = 1 << 15
 #: Weight of a trigram, since neighbours overlap; pseudo-counts of bucket, host and witness.
 TEMPER, BUCKET_PRIOR, HOST_PRIOR, WITNESS_PRIOR = 1 / 3, 0.2, 20.0, 5.0
+#: What a declared language or a suffix that names one is taken to mean before anything is seen: itself, with this probability.
+ITSELF = 0.95
+#: Witnesses are counted over texts with so many trigrams, whose own guess is sure.
+SURE = 60
 #: Share of rows taken to be of no wanted language before anything is seen.
 UNKNOWN_SHARE = 0.01
 NEEDED = 0.5
@@ -42,11 +46,14 @@ _FOLD[97:123] = np.arange(97, 123)
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of letters (everything else is a blank), and the row it is in.
 
-    Runs of blanks and trigrams that are all blank or cross rows are left out.
+    A row has a blank before and behind it, so a single letter is a trigram and a row without letters has none.
+    Runs of blanks and trigrams that cross rows are left out.
     """
     data, offsets = text_bytes(column)
-    row = np.repeat(np.arange(len(column)), np.diff(offsets))
-    folded = _FOLD[data]
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(column)), sizes + 2)
+    folded = np.full(len(row), 32, np.uint8)
+    folded[np.arange(len(data)) + 2 * np.repeat(np.arange(len(column)), sizes) + 1] = _FOLD[data]
     inner = np.ones(len(folded), bool)
     inner[1:] = (folded[1:] != 32) | (folded[:-1] != 32) | (row[1:] != row[:-1])
     folded, row = folded[inner].astype(np.uint32), row[inner]
@@ -113,12 +120,26 @@ def address_suffix(url: Column) -> Column:
     return F.when(host != "", suffix)
 
 
-def _shares(rows: DataFrame, by: str) -> DataFrame:
+def named_language(suffix: Column) -> Column:
+    """The language that an address suffix names: by the first part of the path, else by the label of the host."""
+    part, label = F.element_at(F.split(suffix, "/"), -1), F.element_at(F.split(suffix, "/"), 1)
+    return F.when(part.isin(*LANGUAGES), part).when(label.isin(*LANGUAGES), label)
+
+
+def _shares(rows: DataFrame, by: str, least: int = 1) -> DataFrame:
     """Counts of the guessed language for each value of ``by``, as an array by class."""
-    counts = [F.sum((F.col("guess") == c).cast("long")).cast("double") for c in CLASSES]
+    counts = [F.sum(((F.col("guess") == c) & (F.col("n_trigrams") >= least)).cast("long")).cast("double") for c in CLASSES]
     return rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*counts).alias(f"{by}_n"))
 
 
+def _of(name: Column, values: list[float]) -> Column:
+    """The value of the class that ``name`` names; 0 where it names none."""
+    value = F.lit(0.0)
+    for c, v in zip(CLASSES, values, strict=True):
+        value = F.when(name == c, F.lit(v)).otherwise(value)
+    return value
+
+
 def fuse(evidence: DataFrame) -> DataFrame:
     """Adds ``language``, ``probability`` and ``kept`` to stored rows with told, n_trigrams, host, declared, suffix.
 
@@ -139,19 +160,25 @@ def fuse(evidence: DataFrame) -> DataFrame:
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(counts, above, lambda n, p: (n + HOST_PRIOR * p) / (size + HOST_PRIOR))
 
-    def witness(name: str) -> Column:
+    def witness(name: str, names: Column) -> Column:
         # P(witness | class) up to a factor that is the same for all classes: P(class | witness) / P(class).
         counts = F.col(f"{name}_n")
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        ratio = F.zip_with(counts, everywhere, lambda n, p: F.log((n + WITNESS_PRIOR * p) / (size + WITNESS_PRIOR) / p))
+        # A witness that names a language is smoothed towards that language, any other towards the shares of all rows.
+        before = F.array(*[F.when(names.isNull(), F.lit(p)).when(names == c, F.lit(ITSELF)).otherwise(
+            (1 - ITSELF) * p / (1 - _of(names, share))) for c, p in zip(CLASSES, share, strict=True)])
+        likely = F.zip_with(counts, before, lambda n, p: (n + WITNESS_PRIOR * p) / (size + WITNESS_PRIOR))
+        ratio = F.zip_with(likely, everywhere, lambda q, p: F.log(q / p))
         return F.coalesce(ratio, F.array(*[F.lit(0.0)] * len(CLASSES)))
 
     joined = rows
-    for name in ("host", "domain", "declared", "suffix"):
-        joined = joined.join(_shares(rows, name), name, "left")
+    for name, least in (("host", 1), ("domain", 1), ("declared", SURE), ("suffix", SURE)):
+        joined = joined.join(_shares(rows, name, least), name, "left")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     prior = F.transform(smoothed("host_n", smoothed("domain_n", everywhere)), lambda p: F.log(p))
-    joined = joined.withColumn("logs", add(add(F.col("told"), prior), add(witness("declared"), witness("suffix"))))
+    joined = joined.withColumn("logs", add(add(F.col("told"), prior), add(
+        witness("declared", F.when(F.col("declared").isin(*LANGUAGES), F.col("declared"))),
+        witness("suffix", named_language(F.col("suffix"))))))
     top = F.array_max("logs")
     return joined.withColumn("language", F.when(F.col("n_trigrams") > 0, F.element_at(
         classes, F.array_position("logs", top).cast("int"))).otherwise(F.lit(UNKNOWN))).withColumn(
