@@ -13,7 +13,11 @@ from stowage.schema import STALL_TIMEOUT_MS, TransferState as S
 
 
 class StallWatch(StatefulProcessor):
-    """Arms a timer whenever an upload moves; a timer that fires means it did not move since."""
+    """Tells each run of reports without a move once, when it has lasted for longer than the timeout.
+
+    A later report of the path tells it, or a timer if the watermark gets there first. A report that is still to come
+    is no earlier than the watermark, so both give the same answer, however the stream is cut into batches.
+    """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -21,28 +25,41 @@ class StallWatch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState(
-            "seen", "local_path string, seq bigint, state int, bytes bigint, moved_ms bigint")
+            "seen", "local_path string, seq bigint, state int, bytes bigint, moved_ms bigint, told boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        current = tuple(self.seen.get()) if self.seen.exists() else None
-        for r in batch.itertuples(index=False):
-            if current is not None and r.seq <= current[1]:
-                continue
-            same = current is not None and (r.state, r.bytes) == (current[2], current[3])
-            moved = current[4] if same else int(r.ts_ms)
-            current = (r.local_path, int(r.seq), int(r.state), int(r.bytes), moved)
-        self.seen.update(current)
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable").drop_duplicates("seq")
+        told = False
+        if self.seen.exists():
+            path, seq, state, moved, ms, told = self.seen.get()
+            # The run so far stands first, as a report made when it last moved.
+            head = pd.DataFrame({"local_path": [path], "state": [state], "bytes": [moved], "seq": [seq], "ts_ms": [ms]})
+            batch = pd.concat([head, batch[batch["seq"] > seq]])
+        moves = (batch[["state", "bytes"]].diff() != 0).any(axis=1).to_numpy()
+        moves[0] = True
+        run = moves.cumsum() - 1
+        ts = batch["ts_ms"].to_numpy("int64")
+        begun = ts[moves]
+        # Each report looks back at the run that was in force before it.
+        before = run[:-1]
+        late = (ts[1:] - begun[before] > self.timeout_ms) & (batch["state"].to_numpy()[:-1] == S.UPLOADING)
+        stalls = set(before[late].tolist())
+        ended = run[-1] in stalls or (told and run[-1] == 0)
+        last = batch.iloc[-1]
+        self.seen.update((last["local_path"], int(last["seq"]), int(last["state"]), int(last["bytes"]),
+                          int(begun[-1]), bool(ended)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if current[2] == S.UPLOADING:
-            self.handle.registerTimer(current[4] + self.timeout_ms)
-        yield pd.DataFrame({"local_path": [], "last_change_ms": []}).astype(
-            {"local_path": str, "last_change_ms": "int64"})
+        if last["state"] == S.UPLOADING and not ended:
+            self.handle.registerTimer(int(begun[-1]) + self.timeout_ms + 1)
+        fresh = sorted(stalls - ({0} if told else set()))
+        yield pd.DataFrame({"local_path": batch["local_path"].to_numpy()[moves][fresh], "last_change_ms": begun[fresh]}
+                           ).astype({"local_path": str, "last_change_ms": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        current = self.seen.get()
-        yield pd.DataFrame({"local_path": [current[0]], "last_change_ms": [current[4]]})
+        path, seq, state, moved, ms, _ = self.seen.get()
+        self.seen.update((path, seq, state, moved, ms, True))
+        yield pd.DataFrame({"local_path": [path], "last_change_ms": [ms]})
 
     def close(self) -> None:
         pass
@@ -50,7 +67,8 @@ class StallWatch(StatefulProcessor):
 
 def stream_stalled(progress: DataFrame, timeout_ms: int = STALL_TIMEOUT_MS,
                    lateness: str = "10 seconds") -> DataFrame:
-    """Uploads whose byte count has not moved for the timeout, by the clock of the reports."""
+    """Each stall of an upload, once: its byte count has not moved for longer than the timeout, by the clock of the
+    reports. A stall with no later report comes once the watermark has passed its end."""
     return (progress.select("local_path", "state", "bytes", "seq", "ts_ms",
                             F.timestamp_millis("ts_ms").alias("ts"),
                             path_key(F.col("local_path")).alias("path_key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,34 @@ def test_stalled_stream(spark, rows, landed, tmp_path):
     stream = stream_stalled(landed(frame, PROGRESS, "seq"), 120_000, "200 seconds")
     got = collect(stream, spark, tmp_path)
     assert [(r.local_path, r.last_change_ms) for r in got.collect()] == [("a", t)]
+
+
+def stalls_by_loop(data, timeout, end):
+    found, now = [], {}
+    for path, state, size, _, t in sorted(data, key=lambda r: r[3]) + [(p, 9, 0, 0, end) for p in {r[0] for r in data}]:
+        begun = now.get(path)
+        if begun and begun[0] == 2 and t - begun[2] > timeout and not begun[3]:
+            found.append((path, begun[2]))
+            begun[3] = True
+        if not begun or begun[:2] != [state, size]:
+            now[path] = [state, size, t, False]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_each_stall_is_told_once_however_the_stream_is_cut(spark, rows, tmp_path, files):
+    rng, t = random.Random(5), 1_700_000_000_000
+    data = []
+    for seq in range(160):
+        t += rng.choice([1_000, 20_000, 60_000])
+        data.append((f"f{rng.randrange(4)}", rng.choice([2, 2, 2, 4]), rng.randrange(2), seq, t))
+    end = t + 10**9
+    frame = reports(rows, *data, ("closing", 4, 0, 999, end))
+    step = 161 // files + 1
+    for part in range(files):
+        (frame.where(F.floor(F.least("seq", F.lit(160)) / step) == part).coalesce(1).write.mode("append")
+         .parquet(str(tmp_path / "in")))
+    stream = spark.readStream.schema(PROGRESS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collect(stream_stalled(stream, 120_000), spark, tmp_path)
+    want = stalls_by_loop(data, 120_000, end)
+    assert len(want) > 10 and sorted((r.local_path, r.last_change_ms) for r in got.collect()) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.operators.sweep import sweep, sweep_summary
@@ -13,6 +15,7 @@ from stowage.streaming.ledger import stream_ledger
 from stowage.streaming.notices import stream_notices
 from stowage.streaming.progress import ProgressTable, stream_progress
 from stowage.streaming.readiness import stream_readiness
+from stowage.streaming.stalls import stream_stalled
 from stowage.streaming.sweeps import overflow_resweep, periodic_sweep
 from workloads import sqltext as Q
 from workloads.fixtures import (
@@ -38,6 +41,26 @@ def replay(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{where}/out")
 
 
+def replay_in_turns(rows: DataFrame, closing: DataFrame, build: Callable[[DataFrame], DataFrame], label: str,
+                    turns: int = 2) -> DataFrame:
+    """Lands ``rows`` in slices of ``seq``, then ``closing``, whose time moves the watermark past every timer.
+
+    After each landing the same stream is taken up again and run to its end, so each slice is a micro-batch.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    where = shared_dir(spark, label)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    low, high = low or 0, high or 0
+    turn = F.floor((F.col("seq") - low) * turns / (high - low + 1))
+    for piece in [*(rows.where(turn == t) for t in range(turns)), closing]:
+        piece.select(*rows.columns).write.mode("append").parquet(f"{where}/in")
+        out = build(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+        (out.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint")
+         .trigger(availableNow=True).start(f"{where}/out").awaitTermination())
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
+
+
 @query("stream_notices", Q.kept_first("fx_notices", "path", "ts_ms", QUIET_MS) + """
 SELECT path, kind, ts_ms, seq FROM fx_notices WHERE seq IN (SELECT seq FROM walk WHERE passes)""")
 def _(spark, d):
@@ -83,6 +106,25 @@ def _(spark, d):
     return kept.totals()
 
 
+_STALL_MS, _CLOSING_MS = 21_600_000, 1_900_000_000_000
+
+
+@query("stream_stalled", cte("fx_progress") + f""",
+moved AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state) OR (lag(bytes) OVER w IS DISTINCT FROM bytes) AS moved,
+    coalesce(lead(ts_ms) OVER w, {_CLOSING_MS}) AS next_ms
+  FROM fx_progress WINDOW w AS (PARTITION BY local_path ORDER BY seq)),
+runs AS (SELECT *, count(*) FILTER (moved) OVER (PARTITION BY local_path ORDER BY seq) AS run FROM moved)
+SELECT local_path, min_by(ts_ms, seq) AS last_change_ms FROM runs WHERE state = 2 GROUP BY local_path, run
+HAVING max(next_ms) - min_by(ts_ms, seq) > {_STALL_MS}""")
+def _(spark, d):
+    """Every stall that ever was, each once, those without an end included."""
+    rows = view(spark, d, "fx_progress").select(*[f.name for f in PROGRESS.fields])
+    closing = spark.range(1).select(*[
+        F.lit({"local_path": "closing", "ts_ms": _CLOSING_MS + 20_000, "seq": 0, "bytes": 0, "state": 9}.get(f.name))
+        .cast(f.dataType).alias(f.name) for f in PROGRESS.fields])
+    return replay_in_turns(rows, closing, lambda r: stream_stalled(r, _STALL_MS), "stalled")
+
+
 @query("stream_ledger", cte("fx_ledger", "fx_orders") + """,
 h AS (SELECT lower(l.local_path) AS key, e.event_id AS seq, cast(e.event_id % 10 as int) AS state,
         CASE WHEN e.event_id % 10 = 9 THEN 'failed ' || e.event_id END AS last_error
