@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.llm.components import connected_components
 from stowage.llm.registry import query, table
@@ -26,6 +27,8 @@ SAMPLE = 12_000
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 #: Rows of a list compared in one step.
 BLOCK = 256
+#: Vectors of a length that has at most this many are one list without codes: they are one block, whatever the index.
+FEW = BLOCK
 
 
 @dataclass
@@ -66,6 +69,11 @@ def fit(sample: np.ndarray, n: int) -> Index:
     return Index(centroids, spans, [_means(residual[:, a:b], min(CODES, len(residual)), rng) for a, b in spans])
 
 
+def plain_index(dims: int) -> Index:
+    """One list at the origin, and codes that say nothing: each pair of a label is compared."""
+    return Index(np.zeros((1, dims)), [(0, dims)], [np.zeros((1, dims))])
+
+
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """List, code and quantisation error of each unit vector, and the lists it has to probe."""
     squares = _squares(x, index.centroids)
@@ -133,14 +141,20 @@ def roots(linked: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.n
 ENTRY = "list int, code binary, error double, probes array<int>"
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    """Rows of equally long binary values as float64."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.float32)
-    return flat.reshape(len(column), -1).astype(np.float64)
+def _floats(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of ``dims`` packed numbers as float64; doubles are scaled by powers of two, so that no square overflows."""
+    data = b"".join(column.to_pylist())
+    if len(data) == 4 * dims * len(column):
+        return np.frombuffer(data, np.float32).reshape(-1, dims).astype(np.float64)
+    x = np.frombuffer(data, np.float64).reshape(-1, dims)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def indexed(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
-    """Adds list, code, error and probes to rows with ``dims`` and ``vector`` (little-endian float32)."""
+    """Adds list, code, error and probes to rows with ``dims`` and ``vector`` (see ``packed_vectors``).
+
+    Lengths without an index take the plain one.
+    """
     names = classes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +163,9 @@ def indexed(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
             for d in np.unique(dims):
                 for rows in np.array_split(np.flatnonzero(dims == d), int((dims == d).sum() // 2048) + 1):
                     part = batch.take(pa.array(rows))
-                    x = _floats(part.column("vector"))
-                    own, codes, errors, probes = encode(indexes[int(d)], x / np.sqrt((x**2).sum(axis=1))[:, None])
+                    x = _floats(part.column("vector"), int(d))
+                    index = indexes.get(int(d)) or plain_index(int(d))
+                    own, codes, errors, probes = encode(index, x / np.sqrt((x**2).sum(axis=1))[:, None])
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
                          pa.array(errors), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
@@ -189,13 +204,14 @@ def _links(entries: DataFrame, indexes: dict[int, Index]) -> DataFrame:
                 asked, members = (batch.column(c).slice(row, 1).flatten() for c in ("asked", "members"))
                 ids, others = (x.field("id").to_numpy() for x in (asked, members))
                 code = np.frombuffer(b"".join(members.field("code").to_pylist()), np.uint8).reshape(len(others), -1)
-                linked = block_links(indexes[batch.column("dims")[row].as_py()], batch.column("list")[row].as_py(),
-                                     _floats(asked.field("vector")), _floats(members.field("vector")), code,
-                                     members.field("error").to_numpy())
+                dims = batch.column("dims")[row].as_py()
+                index = indexes.get(dims) or plain_index(dims)
+                linked = block_links(index, batch.column("list")[row].as_py(), _floats(asked.field("vector"), dims),
+                                     _floats(members.field("vector"), dims), code, members.field("error").to_numpy())
                 linked &= ids[:, None] != others[None, :]
                 # A member that probes the query's list finds this link itself, there.
                 probes = members.field("probes")
-                finds = np.zeros((len(others), len(indexes[batch.column("dims")[row].as_py()].centroids)), bool)
+                finds = np.zeros((len(others), len(index.centroids)), bool)
                 finds[np.repeat(np.arange(len(others)), pc.list_value_length(probes).to_numpy()),
                       probes.flatten().to_numpy()] = True
                 alone = linked & ~finds[:, asked.field("own").to_numpy()].T
@@ -213,14 +229,15 @@ def _links(entries: DataFrame, indexes: dict[int, Index]) -> DataFrame:
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Returns (key, n_links, component_id, kept) for each row; ``key`` holds integers.
 
-    Vectors of one label (not null) and one length are linked from a cosine of ``COSINE`` on. Equal
+    Vectors of one label (not null) and one length are linked from a cosine of ``COSINE`` on, worked out in double
+    precision from the column's own numbers (floats as floats, all other kinds as doubles). Equal
     vectors are one class and are never spelt out in pairs. Null, empty and zero vectors and those with null or
     non-finite parts are linked with nothing. Rows that share an id are counted as so many vectors and come out
     alike; a null id is linked with nothing. An empty table gives an empty one; other columns are not looked at.
     """
-    spark = rows.sparkSession
+    kind = "float" if isinstance(rows.schema[vector].dataType.elementType, T.FloatType) else "double"
     plain = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"),
-                        F.col(vector).cast("array<float>").alias("v"))
+                        F.col(vector).cast(f"array<{kind}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         "v", lambda x: x != 0)
     plain = plain.select("id", "label", F.when(F.coalesce(finite, F.lit(False)) & F.col("id").isNotNull()
@@ -231,13 +248,14 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     classes = usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = stage(classes.select(F.col("rep").alias("id"), "label", "h1", "h2", "copies", "v",
                                    F.size("v").alias("dims")), "classes")
+    pack = packed_vectors(classes, kind)
     indexes = {}
-    for d, n in [(r["dims"], r["n"]) for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()]:
-        sample = classes.where(F.col("dims") == d).orderBy(F.xxhash64("id"), "id", "h1").limit(SAMPLE).select("v").toArrow()
-        x = np.array(sample["v"].combine_chunks().flatten(), np.float64).reshape(-1, d)
+    common = classes.groupBy("dims").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
+    for d, n in [(r["dims"], r["n"]) for r in common.collect()]:
+        sample = classes.where(F.col("dims") == d).orderBy(F.xxhash64("id"), "id", "h1").limit(SAMPLE)
+        x = _floats(packed_vectors(sample, kind).select("vector").toArrow()["vector"].combine_chunks(), d)
         indexes[d] = fit(x / np.sqrt((x**2).sum(axis=1))[:, None], n)
 
-    pack = packed_vectors(classes)
     entries = stage(indexed(pack, indexes), "entries")
     found = stage(_links(entries, indexes), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
@@ -254,19 +272,20 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         "kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def packed_vectors(classes: DataFrame) -> DataFrame:
-    """Vectors as little-endian float32 bytes, so that blocks of them are read without a list per row."""
+def packed_vectors(classes: DataFrame, kind: str) -> DataFrame:
+    """Vectors as the bytes of their floats or doubles, so that blocks of them are read without a list per row."""
     names = ["id", "label", "copies", "dims"]
+    number = np.float32 if kind == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v")
-            vectors = [np.asarray(v.values, np.float32).tobytes() for v in lists]
+            vectors = [np.asarray(v.values, number).tobytes() for v in lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(vectors, pa.binary())],
                                              [*names, "vector"])
 
-    kind = classes.schema["label"].dataType.simpleString()
-    return classes.select(*names, "v").mapInArrow(run, f"id long, label {kind}, copies long, dims int, vector binary")
+    label = classes.schema["label"].dataType.simpleString()
+    return classes.select(*names, "v").mapInArrow(run, f"id long, label {label}, copies long, dims int, vector binary")
 
 
 @query("op3_near_vectors")
