@@ -141,21 +141,32 @@ def roots(linked: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.n
 ENTRY = "list int, code binary, error double, probes array<int>"
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as float64; doubles are scaled by powers of two, so that no square overflows."""
+    if x.dtype == np.float32:
+        return x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _floats(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of ``dims`` packed numbers as float64; doubles are scaled by powers of two, so that no square overflows."""
+    """Rows of ``dims`` packed floats or doubles."""
     data = b"".join(column.to_pylist())
-    if len(data) == 4 * dims * len(column):
-        return np.frombuffer(data, np.float32).reshape(-1, dims).astype(np.float64)
-    x = np.frombuffer(data, np.float64).reshape(-1, dims)
-    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    number = np.float32 if len(data) == 4 * dims * len(column) else np.float64
+    return _scaled(np.frombuffer(data, number).reshape(-1, dims))
+
+
+def _numbers(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list column whose lists have ``dims`` floats or doubles."""
+    return column.flatten().to_numpy().reshape(-1, dims)
 
 
 def indexed(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
-    """Adds list, code, error and probes to rows with ``dims`` and ``vector`` (see ``packed_vectors``).
+    """Adds list, code, error and probes to (id, label, copies, dims, v), and packs v into the bytes of its numbers, so
+    that blocks of vectors are read without a list per row.
 
     Lengths without an index take the plain one.
     """
-    names = classes.columns
+    names = ["id", "label", "copies", "dims"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,16 +174,18 @@ def indexed(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
             for d in np.unique(dims):
                 for rows in np.array_split(np.flatnonzero(dims == d), int((dims == d).sum() // 2048) + 1):
                     part = batch.take(pa.array(rows))
-                    x = _floats(part.column("vector"), int(d))
+                    numbers = _numbers(part.column("v"), int(d))
+                    x = _scaled(numbers)
                     index = indexes.get(int(d)) or plain_index(int(d))
                     own, codes, errors, probes = encode(index, x / np.sqrt((x**2).sum(axis=1))[:, None])
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
-                         pa.array(errors), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
-                        [*names, "list", "code", "error", "probes"])
+                        [*(part.column(c) for c in names), pa.array([v.tobytes() for v in numbers], pa.binary()),
+                         pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
+                        [*names, "vector", "list", "code", "error", "probes"])
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{ddl}, {ENTRY}")
+    label = classes.schema["label"].dataType.simpleString()
+    return classes.select(*names, "v").mapInArrow(
+        run, f"id long, label {label}, copies long, dims int, vector binary, {ENTRY}")
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -248,15 +261,14 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     classes = usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = stage(classes.select(F.col("rep").alias("id"), "label", "h1", "h2", "copies", "v",
                                    F.size("v").alias("dims")), "classes")
-    pack = packed_vectors(classes, kind)
     indexes = {}
     common = classes.groupBy("dims").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
     for d, n in [(r["dims"], r["n"]) for r in common.collect()]:
-        sample = classes.where(F.col("dims") == d).orderBy(F.xxhash64("id"), "id", "h1").limit(SAMPLE)
-        x = _floats(packed_vectors(sample, kind).select("vector").toArrow()["vector"].combine_chunks(), d)
+        sample = classes.where(F.col("dims") == d).orderBy(F.xxhash64("id"), "id", "h1").limit(SAMPLE).select("v").toArrow()
+        x = _scaled(_numbers(sample["v"].combine_chunks(), d))
         indexes[d] = fit(x / np.sqrt((x**2).sum(axis=1))[:, None], n)
 
-    entries = stage(indexed(pack, indexes), "entries")
+    entries = stage(indexed(classes, indexes), "entries")
     found = stage(_links(entries, indexes), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -272,22 +284,6 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         "kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def packed_vectors(classes: DataFrame, kind: str) -> DataFrame:
-    """Vectors as the bytes of their floats or doubles, so that blocks of them are read without a list per row."""
-    names = ["id", "label", "copies", "dims"]
-    number = np.float32 if kind == "float" else np.float64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("v")
-            vectors = [np.asarray(v.values, number).tobytes() for v in lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(vectors, pa.binary())],
-                                             [*names, "vector"])
-
-    label = classes.schema["label"].dataType.simpleString()
-    return classes.select(*names, "v").mapInArrow(run, f"id long, label {label}, copies long, dims int, vector binary")
-
-
 @query("op3_near_vectors")
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
