@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from stowage.operators import readiness as R
 from stowage.operators.ledger import ledger_fold
 from stowage.operators.progress import latest_progress
+from stowage.operators.sweep import sweep_summary
 from stowage.schema import LEDGER, NOTICES, OBSERVATIONS, PROGRESS
 from stowage.sinks.ledger_store import LedgerStore
 from stowage.streaming.ledger import stream_ledger
@@ -18,7 +20,9 @@ from stowage.streaming.progress import FOLD_EVERY, ProgressTable, stream_progres
 from stowage.streaming.readiness import stream_readiness
 from stowage.streaming.stalls import stream_stalled
 from stowage.streaming.sweeps import overflow_resweep
+from tests.conftest import SMALL
 from tests.test_looks import LOOKS, random_looks
+from workloads.registry import QUERIES
 
 
 @pytest.fixture
@@ -148,6 +152,20 @@ def test_overflow_starts_one_sweep_per_batch(rows, landed, tmp_path, spark):
     assert seen == [None, "share is away"]
 
 
+def test_a_sweep_that_outlasts_its_interval_ends(spark, monkeypatch):
+    turns = []
+
+    def slow(swept):
+        turns.append(1)
+        if len(turns) > 2:
+            raise OSError("the clock goes on")
+        time.sleep(6.5)
+        return sweep_summary(swept)
+
+    monkeypatch.setattr("workloads.streams.sweep_summary", slow)
+    assert QUERIES["periodic_sweep"](spark, SMALL).count() == 1 and len(turns) == 1
+
+
 def test_stalled_stream(spark, rows, landed, tmp_path):
     t = 1_700_000_000_000
     frame = reports(rows, ("a", 2, 10, 0, t), ("a", 2, 10, 1, t + 100_000), ("b", 2, 5, 2, t),

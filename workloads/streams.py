@@ -180,13 +180,12 @@ class _Reports:
     """Writes each sweep's summary as a row set of its own."""
 
     def __init__(self, spark: SparkSession, where: str):
-        self.spark, self.where, self.count = spark, where, 0
+        self.spark, self.where = spark, where
 
     def __call__(self, batch_id: int, swept: DataFrame | None, problem: str | None) -> None:
         if problem is not None:
             raise RuntimeError(problem)
         sweep_summary(swept).write.mode("overwrite").parquet(f"{self.where}/sweep={batch_id}")
-        self.count += 1
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.where).drop("sweep").distinct()
@@ -196,13 +195,11 @@ class _Reports:
 def _(spark, d):
     where = shared_dir(spark, "periodic")
     reports = _Reports(spark, f"{where}/reports")
-    run = periodic_sweep(
+    # One turn of the clock, however long its sweep takes: a clock that goes on has no idle moment to stop it in
+    # once a sweep outlasts its interval.
+    periodic_sweep(
         spark, lambda: sweep(inventory(spark, d), ledger(spark, d), BASE, ROOT), reports,
-        f"{where}/checkpoint", minutes=0.1, floor_minutes=0.1).start()
-    # The clock never ends by itself: stop it between two turns, once a sweep has been reported.
-    while run.isActive and (reports.count == 0 or run.status["isTriggerActive"]):
-        run.awaitTermination(0.2)
-    run.stop()
+        f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return reports.read()
 
 
