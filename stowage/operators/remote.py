@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions.labels import format_bytes
 from stowage.functions.paths import map_drive_path
 from stowage.functions.rules import allows_method, atomic_publish, is_sidecar
+from stowage.plans.staging import stage
 from stowage.schema import SNAPSHOT_LIFETIME_MS, TransferState as S, VerifyMethod
 
 # What a failed verification says.
@@ -32,12 +33,14 @@ def remote_catalog(entries: DataFrame) -> DataFrame:
 def writable_folders(entries: DataFrame) -> DataFrame:
     """The folders a person may choose from, each with a hint on whether it takes uploads."""
     # The sentences are shown to the user.
-    can = F.col("permissions.can_upload")
-    return (entries.where(F.col("is_collection") & ~F.col("name").startswith("."))
-            .select("folder", "name", can.alias("can_upload"),
-                    F.when(can, "You can upload to this folder.").otherwise(
-                        "Read-only. A server administrator would need to grant write access.")
-                    .alias("hint"))
+    can = F.col("can_upload")
+    # Written once: a sort reads its rows twice, and they may be parsed from listings.
+    chosen = stage(entries.where(F.col("is_collection") & ~F.col("name").startswith("."))
+                   .select("folder", "name", F.col("permissions.can_upload").alias("can_upload")), "folders")
+    return (chosen.select("folder", "name", "can_upload",
+                          F.when(can, "You can upload to this folder.").otherwise(
+                              "Read-only. A server administrator would need to grant write access.")
+                          .alias("hint"))
             .orderBy("folder", F.lower("name"), "name"))
 
 

@@ -39,7 +39,12 @@ def parse_listings(documents: DataFrame) -> DataFrame:
                .when(F.col("text").isNull(), NO_FILES)
                .when(F.col("files").isNull(), NOT_JSON))
     named = F.filter(F.transform("files", _folded), lambda e: F.coalesce(e["text"], F.lit("")) != "")
-    rows = (parsed.select("folder", problem.alias("problem"), F.explode_outer(named).alias("e"))
+    # Entries and problem come out of one generator: a condition on either would else be moved below it and, spelt out
+    # over the text, parse each document several times more.
+    nothing = F.lit(None).cast("map<string,string>")
+    found = F.when(problem.isNotNull(), F.array(F.struct(problem.alias("problem"), nothing.alias("e")))).otherwise(
+        F.transform(named, lambda e: F.struct(F.lit(None).cast("string").alias("problem"), e.alias("e"))))
+    rows = (parsed.select("folder", F.explode_outer(found).alias("row")).select("folder", "row.problem", "row.e")
             .where(F.col("problem").isNotNull() | F.col("e").isNotNull()))
 
     def flag(name: str) -> Column:
