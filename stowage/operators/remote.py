@@ -46,7 +46,9 @@ def writable_folders(entries: DataFrame) -> DataFrame:
 
 def listing_order(entries: DataFrame) -> DataFrame:
     """Folders first, then by name, as a directory listing shows them."""
-    return (entries.select(
+    # Written once, as above.
+    listed = stage(entries.select("folder", "name", "is_collection", "length"), "listed")
+    return (listed.select(
         "folder", F.when(F.col("is_collection"), "DIR").otherwise("FILE").alias("kind"),
         F.when(F.col("is_collection"), "").otherwise(format_bytes(F.col("length"))).alias("size"),
         "name", "is_collection")

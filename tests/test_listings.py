@@ -30,3 +30,8 @@ def test_conditions_on_entries_do_not_parse_again(rows):
 def test_sorted_folders_are_parsed_before_the_sort(rows):
     found = R.writable_folders(listing_entries(listed(rows)))
     assert parses(found) == 0 and [(r.folder, r.name, r.can_upload) for r in found.collect()] == [("/x/", "b", False)]
+
+
+def test_sorted_listing_is_parsed_before_the_sort(rows):
+    found = R.listing_order(listing_entries(listed(rows)))
+    assert parses(found) == 0 and [(r.kind, r.name, r.size) for r in found.collect()] == [("DIR", "b", ""), ("FILE", "a.raw", "5 B")]
