@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stowage.functions.labels import readiness_detail, still_in_use_detail
@@ -15,10 +15,18 @@ from stowage.schema import MAX_LOCKED_CHECKS, QUIET_PERIOD_MS, Readiness as R
 _OUT = ("path string, observed_ms bigint, seq bigint, reason int, length bigint, "
         "previous bigint, quiet_ms bigint, checks int, still_watching boolean, "
         "handed_back boolean")
+_REPORT = Row("path", "observed_ms", "seq", "reason", "length", "previous", "quiet_ms", "checks", "still_watching",
+              "handed_back")
+#: Looks are (path, length, probe, observed_ms, seq, path_key).
+_TURN = itemgetter(3, 4)
 
 
 class Gate(StatefulProcessor):
-    """Per path: the length being watched, since when, and the locked looks in a row."""
+    """Per path: the length being watched, since when, and the locked looks in a row.
+
+    Looks come and go as rows: most paths have few of them, and a pandas frame for each path, in and out, costs far
+    more than the looks themselves.
+    """
 
     def __init__(self, quiet_ms: int, max_checks: int, keep_ms: int | None = None):
         self.quiet_ms = quiet_ms
@@ -44,28 +52,21 @@ class Gate(StatefulProcessor):
             return R.SETTLING, watched, now - since, (length, since, 0)
         return R.READY, watched, now - since, None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["observed_ms", "seq"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = tuple(self.watch.get()) if self.watch.exists() else None
-        out = []
-        for look in batch.itertuples(index=False):
-            reason, previous, quiet, state = self._look(
-                state, int(look.length), int(look.probe), int(look.observed_ms))
+        for path, length, probe, now, seq, *_ in sorted(rows, key=_TURN):
+            reason, previous, quiet, state = self._look(state, length, probe, now)
             checks = state[2] if state is not None else 0
             handed_back = checks > self.max_checks
             if handed_back:
                 state, checks = None, checks - 1
             gone = reason in (R.MISSING, R.UNREADABLE)
-            out.append((look.path, look.observed_ms, look.seq, reason, 0 if gone else look.length,
-                        previous, quiet, checks, state is not None, handed_back))
+            yield _REPORT(path, now, seq, int(reason), 0 if gone else length, previous, quiet, checks,
+                          state is not None, handed_back)
         if state is None:
             self.watch.clear()
         else:
-            self.watch.update(tuple(int(v) for v in state))
-        frame = pd.DataFrame(out, columns=["path", "observed_ms", "seq", "reason", "length",
-                                           "previous", "quiet_ms", "checks", "still_watching",
-                                           "handed_back"])
-        yield frame.astype({"previous": "Int64", "quiet_ms": "Int64"})
+            self.watch.update(state)
 
     def close(self) -> None:
         pass
@@ -85,7 +86,7 @@ def stream_readiness(observations: DataFrame, quiet_ms: int = QUIET_PERIOD_MS,
     reports = (observations.select("path", "length", "probe", "observed_ms", "seq",
                                    path_key(F.col("path")).alias("path_key"))
                .groupBy("path_key")
-               .transformWithStateInPandas(
+               .transformWithState(
                    Gate(quiet_ms, max_checks, keep_ms), outputStructType=_OUT, outputMode="Append",
                    timeMode="None" if keep_ms is None else "ProcessingTime"))
     detail = F.when(F.col("handed_back"), still_in_use_detail(F.col("path"), F.col("checks"))

@@ -6,7 +6,7 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from stowage.operators import readiness as R
 from stowage.operators.ledger import ledger_fold
@@ -17,7 +17,7 @@ from stowage.sinks.ledger_store import LedgerStore
 from stowage.streaming.ledger import stream_ledger
 from stowage.streaming.notices import stream_notices
 from stowage.streaming.progress import FOLD_EVERY, ProgressTable, stream_progress
-from stowage.streaming.readiness import stream_readiness
+from stowage.streaming.readiness import Gate, stream_readiness
 from stowage.streaming.stalls import stream_stalled
 from stowage.streaming.sweeps import overflow_resweep
 from tests.conftest import SMALL
@@ -61,6 +61,34 @@ def test_readiness_stream(spark, rows, landed, tmp_path):
     assert got.where("detail IS NULL").count() == 0
 
 
+class _Held:
+    """A value state of one path."""
+
+    def __init__(self, *_, **__):
+        self.now = None
+
+    getValueState = lambda self, *_, **__: self
+    exists = lambda self: self.now is not None
+    get = lambda self: self.now
+
+    def update(self, now):
+        self.now = now
+
+    def clear(self):
+        self.now = None
+
+
+def test_gate_takes_and_gives_rows():
+    """A path costs its looks, not two data frames."""
+    look, gate, held = Row("path", "length", "probe", "observed_ms", "seq", "path_key"), Gate(10, 3), _Held()
+    gate.init(held)
+    first = list(gate.handleInputRows(("a",), iter([look("A", 5, 0, 7, 2, "a"), look("A", 4, 0, 3, 1, "a")]), None))
+    assert [(r.seq, r.reason, r.previous, r.still_watching) for r in first] == [(1, 4, None, True), (2, 3, 4, True)]
+    assert held.now == (5, 7, 0)
+    last = list(gate.handleInputRows(("a",), iter([look("A", 5, 0, 17, 3, "a")]), None))
+    assert [(r.reason, r.quiet_ms, r.still_watching, r.handed_back) for r in last] == [(0, 10, False, False)] and held.now is None
+
+
 def test_held_file_is_handed_back(spark, rows, landed, tmp_path):
     looks = rows(LOOKS, *[("Run.raw", 5, 2, i * 1_000, i) for i in range(7)])
     got = collect(stream_readiness(landed(looks, OBSERVATIONS, "seq"), 10_000, 3, None), spark, tmp_path)
