@@ -43,6 +43,25 @@ def _copy(source: str, target: str, mtime_ms: int | None, sha256: bool) -> tuple
     return count, md5, sha, *(after or (None, None))
 
 
+def _copied(batches: Iterator[pa.RecordBatch], root: str, sha256: bool) -> Iterator[pa.RecordBatch]:
+    """The outcomes of a batch of copies, as one batch: one for each file would cost more than a small file's copy."""
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            begun = time.monotonic()
+            target = f"{root}/{row['target'].lstrip('/')}"
+            count, md5, sha, length, mtime, problem = 0, None, None, None, None, None
+            try:
+                count, md5, sha, length, mtime = _copy(row["path"], target, row["mtime_ms"], sha256)
+            except Exception as error:  # One bad file must not stop the rest.
+                problem = str(error)
+            spent = int((time.monotonic() - begun) * 1000)
+            done.append(dict(
+                path=row["path"], destination=target, bytes=count, md5=md5, sha256=sha,
+                elapsed_ms=spent, error=problem, length_after=length, mtime_after=mtime))
+        yield pa.RecordBatch.from_pylist(done, schema=_ARROW)
+
+
 def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
                 parallelism: int | None = None) -> DataFrame:
     """Copies (path, target, mtime_ms, and length where it is known) below ``dest_root``; one outcome per file.
@@ -56,20 +75,4 @@ def mirror_copy(worklist: DataFrame, dest_root: str, sha256: bool = False,
     listed = worklist.select("path", "target", F.col("mtime_ms").cast("bigint").alias("mtime_ms"),
                              size.cast("bigint").alias("length"))
     root = dest_root.rstrip("/")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                begun = time.monotonic()
-                target = f"{root}/{row['target'].lstrip('/')}"
-                count, md5, sha, length, mtime, problem = 0, None, None, None, None, None
-                try:
-                    count, md5, sha, length, mtime = _copy(row["path"], target, row["mtime_ms"], sha256)
-                except Exception as error:  # One bad file must not stop the rest.
-                    problem = str(error)
-                spent = int((time.monotonic() - begun) * 1000)
-                yield pa.RecordBatch.from_pylist([dict(
-                    path=row["path"], destination=target, bytes=count, md5=md5, sha256=sha,
-                    elapsed_ms=spent, error=problem, length_after=length, mtime_after=mtime)], schema=_ARROW)
-
-    return dealt_out(listed, parallelism, "length").mapInArrow(run, OUTCOMES)
+    return dealt_out(listed, parallelism, "length").mapInArrow(lambda batches: _copied(batches, root, sha256), OUTCOMES)
