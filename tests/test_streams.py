@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -14,6 +15,7 @@ from stowage.operators.progress import latest_progress
 from stowage.operators.sweep import sweep_summary
 from stowage.schema import LEDGER, NOTICES, OBSERVATIONS, PROGRESS
 from stowage.sinks.ledger_store import LedgerStore
+from stowage.streaming import stalls
 from stowage.streaming.ledger import stream_ledger
 from stowage.streaming.notices import stream_notices
 from stowage.streaming.progress import FOLD_EVERY, ProgressTable, stream_progress
@@ -22,6 +24,8 @@ from stowage.streaming.stalls import stream_stalled
 from stowage.streaming.sweeps import overflow_resweep
 from tests.conftest import SMALL
 from tests.test_looks import LOOKS, random_looks
+import workloads.streams  # noqa: F401 (registers its queries)
+from workloads.fixtures import view
 from workloads.registry import QUERIES
 
 
@@ -233,3 +237,24 @@ def test_each_stall_is_told_once_however_the_stream_is_cut(spark, rows, tmp_path
     got = collect(stream_stalled(stream, 120_000), spark, tmp_path)
     want = stalls_by_loop(data, 120_000, end)
     assert len(want) > 10 and sorted((r.local_path, r.last_change_ms) for r in got.collect()) == want
+
+
+def test_a_path_goes_to_its_state_in_few_rows():
+    """A stateful operator takes rows one by one, so the reports of a path come to it in packs, none lost."""
+    data = [{"local_path": f"f{seq % 2}", "seq": seq, "ts_ms": 7 * seq, "state": seq % 5, "bytes": -seq} for seq in range(20_000)]
+    table = pa.Table.from_pylist(data)
+    packs = [p for batch in stalls._pack(iter(table.to_batches(1_024))) for p in batch.to_pylist()]
+    assert len(packs) == 6
+    got = [dict(zip(("seq", "ts_ms", "state", "bytes"), r, strict=True), local_path=p["local_path"])
+           for p in packs for r in zip(p["seq"], p["ts_ms"], p["state"], p["bytes"], strict=True)]
+    assert sorted(got, key=lambda r: r["seq"]) == data and all(p["last_ms"] == max(p["ts_ms"]) for p in packs)
+
+
+def test_no_report_is_lost_where_the_clock_runs_back(spark, tmp_path):
+    """Later numbers with the times of earlier ones: the second turn of the replay is no later than it says."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + 100_000)).write.parquet(str(tmp_path / "events.parquet"))
+    data = view(spark, str(tmp_path), "fx_progress").select("local_path", "state", "bytes", "seq", "ts_ms").collect()
+    want = stalls_by_loop(data, 21_600_000, 1_900_000_000_000)
+    got = QUERIES["stream_stalled"](spark, str(tmp_path)).collect()
+    assert len(want) > 100 and sorted((r.local_path, r.last_change_ms) for r in got) == want

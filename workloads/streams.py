@@ -41,21 +41,30 @@ def replay(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{where}/out")
 
 
-def replay_in_turns(rows: DataFrame, closing: DataFrame, build: Callable[[DataFrame], DataFrame], label: str,
+def replay_in_turns(rows: DataFrame, closing: DataFrame, build: Callable[[DataFrame, str], DataFrame], label: str,
                     turns: int = 2) -> DataFrame:
     """Lands ``rows`` in slices of ``seq``, then ``closing``, whose time moves the watermark past every timer.
 
-    After each landing the same stream is taken up again and run to its end, so each slice is a micro-batch.
+    After each landing the same stream is taken up again and run to its end, so each slice is a micro-batch. ``build``
+    takes the stream and how late its rows may be: as far as the clock runs back from a slice to a later one, at least ten
+    seconds. So no row is dropped as late and no timer is ahead of a row; ``closing`` comes later by as much.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     where = shared_dir(spark, label)
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     low, high = low or 0, high or 0
-    turn = F.floor((F.col("seq") - low) * turns / (high - low + 1))
-    for piece in [*(rows.where(turn == t) for t in range(turns)), closing]:
+    # Where the slices begin; one slice's bounds also tell which row groups of the input it needs.
+    starts = [low - -t * (high - low + 1) // turns for t in range(turns + 1)]
+    turn = sum(((F.col("seq") >= at).cast("int") for at in starts[1:-1]), F.lit(0))
+    spans = rows.groupBy(turn.alias("turn")).agg(F.min("ts_ms"), F.max("ts_ms")).orderBy("turn").collect()
+    back = [last - first + 1 for n, (_, _, last) in enumerate(spans) for _, first, _ in spans[n + 1:]]
+    late = max(10_000, *back)
+    closing = closing.withColumn("ts_ms", F.col("ts_ms") + late)
+    slices = [rows.where(F.col("seq").between(a, b - 1)) for a, b in zip(starts, starts[1:], strict=False)]
+    for piece in [*slices, closing]:
         piece.select(*rows.columns).write.mode("append").parquet(f"{where}/in")
-        out = build(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+        out = build(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), f"{late} milliseconds")
         (out.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint")
          .trigger(availableNow=True).start(f"{where}/out").awaitTermination())
     return spark.read.schema(out.schema).parquet(f"{where}/out")
@@ -118,11 +127,10 @@ SELECT local_path, min_by(ts_ms, seq) AS last_change_ms FROM runs WHERE state =
 HAVING max(next_ms) - min_by(ts_ms, seq) > {_STALL_MS}""")
 def _(spark, d):
     """Every stall that ever was, each once, those without an end included."""
-    rows = view(spark, d, "fx_progress").select(*[f.name for f in PROGRESS.fields])
-    closing = spark.range(1).select(*[
-        F.lit({"local_path": "closing", "ts_ms": _CLOSING_MS + 20_000, "seq": 0, "bytes": 0, "state": 9}.get(f.name))
-        .cast(f.dataType).alias(f.name) for f in PROGRESS.fields])
-    return replay_in_turns(rows, closing, lambda r: stream_stalled(r, _STALL_MS), "stalled")
+    told = {"local_path": "closing", "state": 9, "bytes": 0, "seq": 0, "ts_ms": _CLOSING_MS + 10_000}
+    rows = view(spark, d, "fx_progress").select(*told)
+    closing = spark.range(1).select(*[F.lit(told[f.name]).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return replay_in_turns(rows, closing, lambda r, late: stream_stalled(r, _STALL_MS, late), "stalled")
 
 
 @query("stream_ledger", cte("fx_ledger", "fx_orders") + """,
